@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dokuma.llm.common import U64, mix, parts, span_hash, texts
+from dokuma.llm.common import U64, mix, parts, ramp, span_hash, texts
 from dokuma.llm.pretoken import class_table, code_points, pre_tokens, safe_cuts
 
 #: Distinct missed pre-tokens that a worker remembers before it starts afresh.
@@ -95,12 +95,6 @@ def merge(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return out
 
 
-def _ramp(counts: np.ndarray) -> np.ndarray:
-    """0 .. count-1 for each count, concatenated."""
-    ends = np.cumsum(counts)
-    return np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - counts, counts)
-
-
 class Codec:
     def __init__(self, path: str):
         import tiktoken
@@ -172,7 +166,7 @@ class Codec:
         places = np.concatenate([[0], np.cumsum(counts)])
         ids = np.empty(places[-1], np.uint32)
         ids[places[:-1][hit]] = self.id[token[hit]]
-        ramp = _ramp(counts[miss])
+        ramp = ramp(counts[miss])
         ids[np.repeat(places[miss], counts[miss]) + ramp] = pool[np.repeat(pool_at[inverse], counts[miss]) + ramp]
         return ids, places[np.searchsorted(starts, offsets)]
 
@@ -182,7 +176,7 @@ class Codec:
         if len(token) and token.min() < 0:
             raise ValueError("an id that the vocabulary does not have")
         sizes = self.length[token]
-        return self.bytes[np.repeat(self.at[token], sizes) + _ramp(sizes)], np.concatenate([[0], np.cumsum(sizes)])
+        return self.bytes[np.repeat(self.at[token], sizes) + ramp(sizes)], np.concatenate([[0], np.cumsum(sizes)])
 
 
 @lru_cache(maxsize=2)

@@ -109,3 +109,29 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 def binary_rows(blobs: list[bytes]) -> pa.Array:
     return pa.array(blobs, pa.binary())
+
+
+def pack(table: np.ndarray) -> bytes:
+    """A structured array as bytes, byte plane by byte plane: the planes of small numbers compress to nothing."""
+    planes = [np.ascontiguousarray(table[f]).view(np.uint8).reshape(len(table), -1).T.tobytes() for f in table.dtype.names]
+    return len(table).to_bytes(4, "little") + b"".join(planes)
+
+
+def unpack(blobs: list[bytes], kind: np.dtype) -> np.ndarray:
+    """The rows of all blobs that pack() made of this kind."""
+    sizes = [int.from_bytes(b[:4], "little") for b in blobs]
+    out, row = np.empty(sum(sizes), kind), 0
+    for blob, n in zip(blobs, sizes, strict=True):
+        at, raw = 4, np.frombuffer(blob, np.uint8)
+        for f in kind.names:
+            width = kind[f].itemsize
+            out[f][row : row + n] = np.ascontiguousarray(raw[at : at + n * width].reshape(width, n).T).view(kind[f]).ravel()
+            at += n * width
+        row += n
+    return out
+
+
+def ramp(counts: np.ndarray) -> np.ndarray:
+    """0 .. count-1 for each count, concatenated."""
+    ends = np.cumsum(counts)
+    return np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - counts, counts)
