@@ -135,3 +135,32 @@ def ramp(counts: np.ndarray) -> np.ndarray:
     """0 .. count-1 for each count, concatenated."""
     ends = np.cumsum(counts)
     return np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - counts, counts)
+
+
+def sequence_sums(values: np.ndarray, seed: int = 0) -> np.ndarray:
+    """Prefix sums from which run_hash() takes the hash of any run of values."""
+    up, _ = _power_table(len(values))
+    sums = np.zeros(len(values) + 1, U64)
+    np.cumsum(mix(values ^ U64(seed)) * up[: len(values)], out=sums[1:])
+    return sums
+
+
+def run_hash(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the runs of values from start to end; equal runs have equal hashes."""
+    _, down = _power_table(len(sums))
+    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(U64) * MULT)
+
+
+def by_bucket(table: np.ndarray, bucket: np.ndarray) -> Iterator[tuple[int, bytes]]:
+    """(bucket, packed rows) of each bucket that has any."""
+    if not len(table):
+        return
+    order = np.argsort(bucket, kind="stable")
+    table, bucket = table[order], bucket[order]
+    edges = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+    for a, b in zip(edges, [*edges[1:], len(bucket)], strict=True):
+        yield int(bucket[a]), pack(table[a:b])
+
+
+def batch_of(rows: list[tuple], names: list[str], kinds: list[pa.DataType]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=names)

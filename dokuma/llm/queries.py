@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dokuma.llm import bpe, fst, sharding, suffix, topk
+from dokuma.llm import bpe, fst, lines, sharding, suffix, topk
 from dokuma.session import table
 
 
@@ -16,6 +16,10 @@ def op3_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"), 40)
 
 
+def op4_line_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.line_dedup(table(spark, sf_dir, "documents"))
+
+
 def op6_two_tier_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_column(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
@@ -33,7 +37,7 @@ def op10_branch_and_bound(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_sampled_splitters, op6_two_tier_bpe, op7_interval_expansion, op8_transducer_counts, op10_branch_and_bound)}
+    return {f.__name__: f for f in (op3_sampled_splitters, op4_line_hashing, op6_two_tier_bpe, op7_interval_expansion, op8_transducer_counts, op10_branch_and_bound)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from dokuma.llm.common import BYTE_CODE, MULT, U64, mix, pack, parts, ramp, texts, unpack
+from dokuma.llm.common import BYTE_CODE, MULT, U64, batch_of, by_bucket, mix, pack, parts, ramp, texts, unpack
 from dokuma.session import stage
 
 LEAST = 100
@@ -89,18 +89,6 @@ def segments(data: np.ndarray, offsets: np.ndarray, least: int) -> tuple[np.ndar
     return starts, wins, h32[where[starts]], text, h64
 
 
-def _by_bucket(table: np.ndarray, bucket: np.ndarray) -> Iterator[tuple[int, bytes]]:
-    order = np.argsort(bucket, kind="stable")
-    table, bucket = table[order], bucket[order]
-    edges = np.flatnonzero(np.diff(bucket, prepend=-1))
-    for a, b in zip(edges, [*edges[1:], len(bucket)], strict=True):
-        yield int(bucket[a]), pack(table[a:b])
-
-
-def _batch(rows: list[tuple], names: list[str], kinds: list[pa.DataType]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=names)
-
-
 def _settle(found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sorted occurrences of segments, and which of them come after their segment's first one."""
     found = found[np.lexsort((found["at"], found["key"], found["text"], found["piece"]))]
@@ -114,14 +102,6 @@ def _settle(found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return found, np.concatenate([[False], same])
 
 
-def _by_key(table: np.ndarray, keys: np.ndarray) -> Iterator[tuple[int, bytes]]:
-    order = np.argsort(keys, kind="stable")
-    table, keys = table[order], keys[order]
-    edges = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else []
-    for a, b in zip(edges, [*edges[1:], len(keys)], strict=True) if len(keys) else ():
-        yield int(keys[a]), pack(table[a:b])
-
-
 def unite(at: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Maximal runs that the spans cover: starts and ends."""
     if not len(at):
@@ -219,7 +199,7 @@ def _spans(key: np.ndarray, at: np.ndarray, least: int) -> Iterator[tuple[int, b
     b = np.append(a[1:], len(key)) - 1
     out = np.empty(len(a), SPAN)
     out["at"], out["size"] = at[a], at[b] + least - at[a]
-    yield from _by_key(out, key[a])
+    yield from by_bucket(out, key[a])
 
 
 def row_keys(docs: DataFrame) -> DataFrame:
@@ -249,14 +229,14 @@ def repeated_spans(keyed: DataFrame, least: int = LEAST, crowd: int = CROWD) ->
         def send() -> Iterator[pa.RecordBatch]:
             found = np.concatenate(held)
             found, later = _settle(found)
-            rows = [(b, 0, blob) for b, blob in _by_bucket(found[~later], found["piece"][~later].astype(np.int64) % buckets)]
+            rows = [(b, 0, blob) for b, blob in by_bucket(found[~later], found["piece"][~later].astype(np.int64) % buckets)]
             # later occurrences in this task need no bucket: all their strings start earlier, too
             rest = found[later]
             out = np.empty(len(rest), SPAN)
             out["at"], out["size"] = rest["at"], rest["wins"].astype(np.uint32) + least - 1
-            rows += [(int(k % buckets), 1, k.to_bytes(8, "little", signed=True) + blob) for k, blob in _by_key(out, rest["key"])]
+            rows += [(int(k % buckets), 1, k.to_bytes(8, "little", signed=True) + blob) for k, blob in by_bucket(out, rest["key"])]
             for lo in range(0, len(rows), 2000):
-                yield _batch(rows[lo : lo + 2000], ["bucket", "kind", "blob"], [pa.int64(), pa.int32(), pa.binary()])
+                yield batch_of(rows[lo : lo + 2000], ["bucket", "kind", "blob"], [pa.int64(), pa.int32(), pa.binary()])
 
         for batch in batches:
             offsets, data = texts(batch.column(1))
@@ -283,7 +263,7 @@ def repeated_spans(keyed: DataFrame, least: int = LEAST, crowd: int = CROWD) ->
         rest = found[later]
         out = np.empty(len(rest), SPAN)
         out["at"], out["size"] = rest["at"], rest["wins"].astype(np.uint32) + least - 1
-        rows += [(k, 1, b) for k, b in _by_key(out, rest["key"])]
+        rows += [(k, 1, b) for k, b in by_bucket(out, rest["key"])]
         first = found[~later]
         if len(first):
             new = np.concatenate([[True], first["piece"][1:] != first["piece"][:-1]])
@@ -292,8 +272,8 @@ def repeated_spans(keyed: DataFrame, least: int = LEAST, crowd: int = CROWD) ->
             ask = first[many > 1]
             out = np.empty(len(ask), ASK)
             out["at"], out["wins"], out["group"], out["crowd"] = ask["at"], ask["wins"], ask["piece"], many[many > 1] > crowd
-            rows += [(k, 2, b) for k, b in _by_key(out, ask["key"])]
-        return pa.Table.from_batches([_batch(rows, ["key", "kind", "blob"], [pa.int64(), pa.int32(), pa.binary()])])
+            rows += [(k, 2, b) for k, b in by_bucket(out, ask["key"])]
+        return pa.Table.from_batches([batch_of(rows, ["key", "kind", "blob"], [pa.int64(), pa.int32(), pa.binary()])])
 
     sent = keyed.select("_key", "text").mapInArrow(digest, "bucket long, kind int, blob binary")
     known = stage(sent.groupBy("bucket").applyInArrow(group, "key long, kind int, blob binary"), "segments")
@@ -314,12 +294,12 @@ def repeated_spans(keyed: DataFrame, least: int = LEAST, crowd: int = CROWD) ->
             later = np.concatenate([[False], (w["a"][1:] == w["a"][:-1]) & (w["b"][1:] == w["b"][:-1])])
             for k, blob in _spans(w["key"][later], w["at"][later], least):
                 yield int(k % second), 1, k.to_bytes(8, "little", signed=True) + blob, b""
-            for b, blob in _by_bucket(w[~later], (w["a"][~later] >> U64(8)).astype(np.int64) % second):
+            for b, blob in by_bucket(w[~later], (w["a"][~later] >> U64(8)).astype(np.int64) % second):
                 yield b, 3, blob, b""
 
         def send(rows: list) -> Iterator[pa.RecordBatch]:
             for lo in range(0, len(rows), 2000):
-                yield _batch(rows[lo : lo + 2000], ["bucket", "kind", "blob", "body"], [pa.int64(), pa.int32(), pa.binary(), pa.binary()])
+                yield batch_of(rows[lo : lo + 2000], ["bucket", "kind", "blob", "body"], [pa.int64(), pa.int32(), pa.binary(), pa.binary()])
 
         for batch in batches:
             offsets, data = texts(batch.column(1))
@@ -373,7 +353,7 @@ def repeated_spans(keyed: DataFrame, least: int = LEAST, crowd: int = CROWD) ->
             head = np.flatnonzero(np.concatenate([[True], ~same]))[np.cumsum(np.concatenate([[True], ~same])) - 1]
             later = (w["key"] != w["key"][head]) | (w["at"] != w["at"][head])
             rows += [(k, 1, b) for k, b in _spans(w["key"][later], w["at"][later], least)]
-        return pa.Table.from_batches([_batch(rows, ["key", "kind", "blob"], [pa.int64(), pa.int32(), pa.binary()])])
+        return pa.Table.from_batches([batch_of(rows, ["key", "kind", "blob"], [pa.int64(), pa.int32(), pa.binary()])])
 
     parts_ = keyed.select("_key", "text").join(few, "_key").select("_key", "text", "blobs").mapInArrow(fetch, "bucket long, kind int, blob binary, body binary")
     solved = parts_.groupBy("bucket").applyInArrow(resolve, "key long, kind int, blob binary")
@@ -407,7 +387,7 @@ def removal_digests(docs: DataFrame, least: int = LEAST, crowd: int = CROWD) ->
                     at = y
                 kept.update(text[at:])
                 rows.append((len(text), int((b - a).sum()), len(a), kept.hexdigest()))
-            made = _batch(rows, ["n_bytes", "n_removed", "n_spans", "kept_sha256"], [pa.int64(), pa.int64(), pa.int64(), pa.string()])
+            made = batch_of(rows, ["n_bytes", "n_removed", "n_spans", "kept_sha256"], [pa.int64(), pa.int64(), pa.int64(), pa.string()])
             yield pa.RecordBatch.from_arrays([batch.column(0), *made.columns], names=["doc_id", *made.schema.names])
 
     rows = _with_spans(docs.select("doc_id", "text"), least, crowd).select(F.col("doc_id").cast("long"), "text", "spans")
