@@ -124,6 +124,6 @@ def line_dedup(docs: DataFrame, least_words: int = 5) -> DataFrame:
             made = batch_of(rows, names, [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64()])
             yield pa.RecordBatch.from_arrays([batch.column(0), *made.columns, pa.array(removed, span)], names=["doc_id", *names, "removed"])
 
-    keyed = row_keys(docs.select("doc_id", "text"))
+    keyed, _ = row_keys(docs.select("doc_id", "text"))
     joined = keyed.join(repeated_lines(keyed, least_words), "_key", "left").select(F.col("doc_id").cast("long"), "text", "spans")
     return joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_lines long, removed array<struct<start:bigint,end:bigint>>")

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dokuma.llm import bpe, fst, lines, sharding, suffix, topk
+from dokuma.llm import bpe, forest, fst, lines, sharding, suffix, topk
 from dokuma.session import table
 
 
@@ -32,12 +32,16 @@ def op8_transducer_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fst.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op9_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return forest.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op10_branch_and_bound(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", F.col("vec_id") % 20 == 0, 20)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_sampled_splitters, op4_line_hashing, op6_two_tier_bpe, op7_interval_expansion, op8_transducer_counts, op10_branch_and_bound)}
+    return {f.__name__: f for f in (op3_sampled_splitters, op4_line_hashing, op6_two_tier_bpe, op7_interval_expansion, op8_transducer_counts, op9_lsh_forest, op10_branch_and_bound)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -11,11 +11,11 @@ value has set apart begin with the same string.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dokuma.llm.common import BYTE_CODE, MULT, U64, batch_of, by_bucket, mix, pack, parts, ramp, texts, unpack
@@ -202,16 +202,19 @@ def _spans(key: np.ndarray, at: np.ndarray, least: int) -> Iterator[tuple[int, b
     yield from by_bucket(out, key[a])
 
 
-def row_keys(docs: DataFrame) -> DataFrame:
-    """Adds _key, a long that orders rows as doc_id does and is equal for equal (doc_id, text) only.
-    That is doc_id itself unless one doc_id has several texts; a null doc_id is the least."""
-    least = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))
-    ids = docs.select(least.alias("i"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"))
-    most = ids.groupBy("i").agg((F.max("h") != F.min("h")).alias("d")).agg(F.max("d"), F.min("i"), F.max("i")).first()
-    if not most[0]:
-        return docs.withColumn("_key", least)
-    version = F.dense_rank().over(Window.partitionBy(least).orderBy(F.xxhash64(F.coalesce("text", F.lit("")))))
-    return docs.withColumn("_key", F.greatest(least, F.lit(-(2**42))) * F.lit(2**20) + version)
+def row_keys(docs: DataFrame) -> tuple[DataFrame, Callable[[str], Column]]:
+    """Adds _key, a long that orders rows as doc_id does and is equal for equal (doc_id, text) only, and
+    gives the way back to doc_id. The key is doc_id itself unless one doc_id has several texts; a null
+    doc_id is the least. Ids of such mixed tables must lie between -2^42 and 2^42."""
+    none = F.lit(-(2**63))
+    least, text = F.coalesce(F.col("doc_id").cast("long"), none), F.xxhash64(F.coalesce("text", F.lit("")))
+    mixed = docs.select(least.alias("i"), text.alias("h")).groupBy("i").agg((F.max("h") != F.min("h")).alias("d")).agg(F.max("d")).first()[0]
+    if not mixed:
+        return docs.withColumn("_key", least), lambda c: F.when(F.col(c) != none, F.col(c))
+    version = F.dense_rank().over(Window.partitionBy(least).orderBy(text))
+    lowest = -(2**42)
+    keyed = docs.withColumn("_key", F.greatest(least, F.lit(lowest)) * F.lit(2**20) + version)
+    return keyed, lambda c: F.when(F.shiftright(c, 20) != lowest, F.shiftright(c, 20))
 
 
 def repeated_spans(keyed: DataFrame, least: int = LEAST, crowd: int = CROWD) -> DataFrame:
@@ -362,7 +365,7 @@ def repeated_spans(keyed: DataFrame, least: int = LEAST, crowd: int = CROWD) ->
 
 
 def _with_spans(docs: DataFrame, least: int, crowd: int = CROWD) -> DataFrame:
-    keyed = row_keys(docs)
+    keyed, _ = row_keys(docs)
     return keyed.join(repeated_spans(keyed, least, crowd), "_key", "left")
 
 
