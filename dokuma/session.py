@@ -51,4 +51,6 @@ def stage(df: DataFrame, name: str = "stage") -> DataFrame:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A Parquet table of the data folder, by a path that only Spark's readers need to open."""
+    # rows hold whole texts: batches to Python workers are bounded by bytes, not by rows alone
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
