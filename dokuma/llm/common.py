@@ -9,7 +9,7 @@ import pyarrow as pa
 
 U64 = np.uint64
 #: Bytes of text that one numpy pass takes at once; a longer text forms a part of its own.
-PART_BYTES = 2_000_000
+PART_BYTES = 500_000
 
 _rng = np.random.Generator(np.random.PCG64(20240229))
 BYTE_CODE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * U64(2) + U64(1)
