@@ -26,12 +26,14 @@ PIECE = 32
 #: Beyond so many different segments of one minimizer, its strings are grouped by their own digests.
 CROWD = 2000
 #: Text that a map task digests before it sends what it has found, and text of a bucket.
-FLUSH, BUCKET = 24_000_000, 64_000_000
+FLUSH, BUCKET = 24_000_000, 16_000_000
+#: Text that is transformed at once, and text that a task fetches for others before it sends it.
+TRANSFORM, FETCHED = 300_000, 4_000_000
 
 SEGMENT = np.dtype([("piece", "<u4"), ("text", "<u8"), ("key", "<i8"), ("at", "<u4"), ("wins", "u1")])
 SPAN = np.dtype([("at", "<u4"), ("size", "<u4")])
 ASK = np.dtype([("at", "<u4"), ("wins", "u1"), ("group", "<u8"), ("crowd", "u1")])
-PART = np.dtype([("key", "<i8"), ("at", "<u4"), ("size", "<u4")])
+PART = np.dtype([("key", "<i8"), ("at", "<u4"), ("size", "<u4"), ("group", "<u4"), ("body", "<u4")])
 WINDOW = np.dtype([("a", "<u8"), ("b", "<u8"), ("key", "<i8"), ("at", "<u4")])
 
 
@@ -90,10 +92,17 @@ def segments(data: np.ndarray, offsets: np.ndarray, least: int) -> tuple[np.ndar
 
 
 def _settle(found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted occurrences of segments, and which of them come after their segment's first one."""
-    found = found[np.lexsort((found["at"], found["key"], found["text"], found["piece"]))]
+    """Occurrences by segment, and which of them come after their segment's first one."""
     if not len(found):
         return found, np.zeros(0, bool)
+    found = found[np.argsort((found["piece"].astype(U64) << U64(32)) | (found["text"] >> U64(32)))]
+    near = (found["piece"][1:] == found["piece"][:-1]) & (found["text"][1:] >> U64(32) == found["text"][:-1] >> U64(32))
+    several = np.zeros(len(found), bool)
+    several[1:] |= near
+    several[:-1] |= near
+    at = np.flatnonzero(several)
+    some = found[at]
+    found[at] = some[np.lexsort((some["at"], some["key"], some["text"], some["piece"]))]
     same = (found["piece"][1:] == found["piece"][:-1]) & (found["text"][1:] == found["text"][:-1])
     # a repeated row is the same place again
     again = same & (found["key"][1:] == found["key"][:-1]) & (found["at"][1:] == found["at"][:-1])
@@ -125,7 +134,7 @@ def expand(text: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
     for j in range(depth):
         code = (code << U64(9)) | padded[j : j + n]
     while True:
-        order = np.argsort(code, kind="stable")
+        order = np.argsort(code)
         ranked = code[order]
         rank = np.empty(n, np.int64)
         rank[order] = np.cumsum(np.concatenate([[0], ranked[1:] != ranked[:-1]]))
@@ -284,12 +293,12 @@ def repeated_spans(keyed: DataFrame, least: int = LEAST, crowd: int = CROWD) ->
     asked = stage(asked, "asked")
     wanted = asked.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     # about 14 bytes of request for 135 bytes of text
-    second = max(4 * workers, -(-wanted[0] * 10 // 8_000_000))
+    second = max(4 * workers, -(-wanted[0] * 10 // 4_000_000))
     # keys and requests of up to 4 MB are broadcast; beyond, both sides are shuffled
     few = F.broadcast(asked) if wanted[0] < 4_000_000 else asked
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        windows, held, rows = [], 0, []
+        windows, held, asked_, bodies, fetched = [], 0, [], [], 0
 
         def crowded() -> Iterator[tuple]:
             w = np.concatenate(windows)
@@ -300,43 +309,60 @@ def repeated_spans(keyed: DataFrame, least: int = LEAST, crowd: int = CROWD) ->
             for b, blob in by_bucket(w[~later], (w["a"][~later] >> U64(8)).astype(np.int64) % second):
                 yield b, 3, blob, b""
 
-        def send(rows: list) -> Iterator[pa.RecordBatch]:
-            for lo in range(0, len(rows), 2000):
-                yield batch_of(rows[lo : lo + 2000], ["bucket", "kind", "blob", "body"], [pa.int64(), pa.int32(), pa.binary(), pa.binary()])
-
+        def plain() -> Iterator[tuple]:
+            """Segments by bucket: packed descriptions and their texts, in the same order."""
+            table, raw = np.concatenate(asked_), np.concatenate(bodies)
+            bucket = table["group"].astype(np.int64) * 2654435761 % 2**32 % second
+            order = np.argsort(bucket, kind="stable")
+            table, bucket = table[order], bucket[order]
+            edges = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+            for a, b in zip(edges, [*edges[1:], len(bucket)], strict=True):
+                own = table[a:b]
+                size = own["size"].astype(np.int64)
+                yield int(bucket[a]), 2, pack(own), raw[np.repeat(own["body"].astype(np.int64), size) + ramp(size)].tobytes()
+
+        def send(rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
+            yield batch_of(list(rows), ["bucket", "kind", "blob", "body"], [pa.int64(), pa.int32(), pa.binary(), pa.binary()])
+
+        last = None
         for batch in batches:
             offsets, data = texts(batch.column(1))
             keys, blobs = batch.column(0).to_numpy(zero_copy_only=False), batch.column(2).to_pylist()
-            seen = set()
-            bodies: dict[int, list] = {}
             for i, (key, own) in enumerate(zip(keys.tolist(), blobs, strict=True)):
-                if key in seen:
+                if key == last:
                     continue  # a repeated row
-                seen.add(key)
+                last = key
                 text, ask = data[offsets[i] : offsets[i + 1]], unpack(own, ASK)
-                plain, crowd = ask[ask["crowd"] == 0], ask[ask["crowd"] == 1]
-                for at, wins, g in zip(plain["at"].tolist(), plain["wins"].tolist(), plain["group"].tolist(), strict=True):
-                    bodies.setdefault(g * 2654435761 % 2**32 % second, []).append((key, at, text[at : at + wins + least - 1]))
-                if len(crowd):
+                crowd = ask["crowd"] == 1
+                if not crowd.all():
+                    few_ = ask[~crowd]
+                    size = few_["wins"].astype(np.int64) + least - 1
+                    part = np.empty(len(few_), PART)
+                    part["key"], part["at"], part["size"], part["group"] = key, few_["at"], size, few_["group"]
+                    part["body"] = fetched + np.cumsum(size) - size
+                    asked_.append(part)
+                    bodies.append(text[np.repeat(few_["at"].astype(np.int64), size) + ramp(size)])
+                    fetched += int(size.sum())
+                if crowd.any():
+                    many = ask[crowd]
                     h64 = _hashes(text)[1]
-                    at = np.repeat(crowd["at"].astype(np.int64), crowd["wins"]) + ramp(crowd["wins"].astype(np.int64))
+                    at = np.repeat(many["at"].astype(np.int64), many["wins"]) + ramp(many["wins"].astype(np.int64))
                     w = np.empty(len(at), WINDOW)
                     mid, end = h64[at + (least - 64) // 2], h64[at + least - 64]
                     w["a"], w["b"] = mix(h64[at] * MULT + end + (mid << U64(1))), mix((h64[at] ^ mix(end)) * U64(0xA0761D6478BD642F) + mid)
                     w["key"], w["at"] = key, at
                     windows.append(w)
                     held += len(w)
-            for b, got in bodies.items():
-                table = np.empty(len(got), PART)
-                table["key"], table["at"], table["size"] = [g[0] for g in got], [g[1] for g in got], [len(g[2]) for g in got]
-                rows.append((b, 2, pack(table), b"".join(g[2].tobytes() for g in got)))
-            yield from send(rows)
-            rows = []
-            if held > 1_000_000:
-                yield from send(list(crowded()))
-                windows, held = [], 0
+                if fetched > FETCHED:
+                    yield from send(plain())
+                    asked_, bodies, fetched = [], [], 0
+                if held > 500_000:
+                    yield from send(crowded())
+                    windows, held = [], 0
+        if asked_:
+            yield from send(plain())
         if windows:
-            yield from send(list(crowded()))
+            yield from send(crowded())
 
     def resolve(table: pa.Table) -> pa.Table:
         kinds, blobs, bodies = table.column("kind").to_numpy(), table.column("blob").to_pylist(), table.column("body").to_pylist()
@@ -344,11 +370,24 @@ def repeated_spans(keyed: DataFrame, least: int = LEAST, crowd: int = CROWD) ->
         part = unpack([b for b, k in zip(blobs, kinds, strict=True) if k == 2], PART)
         if len(part):
             raw = np.frombuffer(b"".join(b for b, k in zip(bodies, kinds, strict=True) if k == 2), np.uint8)
-            ends = np.cumsum(part["size"].astype(np.int64))
-            body = [raw[a:b] for a, b in zip(ends - part["size"], ends, strict=True)]
-            # a row repeated in another task asks twice
-            seg, off = repeats_among(body, part["key"], part["at"].astype(np.int64), least)
-            rows += [(k, 1, b) for k, b in _spans(part["key"][seg], part["at"][seg].astype(np.int64) + off, least)]
+            size = part["size"].astype(np.int64)
+            begin = np.cumsum(size) - size
+            order = np.argsort(part["group"], kind="stable")
+            # whole groups, a bounded text at a time
+            group_ = part["group"][order]
+            reach = np.cumsum(size[order])
+            heads = np.flatnonzero(np.concatenate([[True], group_[1:] != group_[:-1]]))
+            begin_at = reach[heads] - size[order][heads]
+            cut = [0]
+            while cut[-1] < len(order):
+                base = reach[cut[-1] - 1] if cut[-1] else 0
+                far = heads[np.searchsorted(begin_at, base + TRANSFORM) :]
+                cut.append(int(far[0]) if len(far) and far[0] > cut[-1] else len(order))
+            for lo, hi in zip(cut, cut[1:], strict=False):
+                at = order[lo:hi]
+                body = [raw[begin[i] : begin[i] + size[i]] for i in at]
+                seg, off = repeats_among(body, part["key"][at], part["at"][at].astype(np.int64), least)
+                rows += [(k, 1, b) for k, b in _spans(part["key"][at][seg], part["at"][at][seg].astype(np.int64) + off, least)]
         w = unpack([b for b, k in zip(blobs, kinds, strict=True) if k == 3], WINDOW)
         if len(w):
             w = w[np.lexsort((w["at"], w["key"], w["b"], w["a"]))]
