@@ -166,8 +166,8 @@ class Codec:
         places = np.concatenate([[0], np.cumsum(counts)])
         ids = np.empty(places[-1], np.uint32)
         ids[places[:-1][hit]] = self.id[token[hit]]
-        ramp = ramp(counts[miss])
-        ids[np.repeat(places[miss], counts[miss]) + ramp] = pool[np.repeat(pool_at[inverse], counts[miss]) + ramp]
+        step = ramp(counts[miss])
+        ids[np.repeat(places[miss], counts[miss]) + step] = pool[np.repeat(pool_at[inverse], counts[miss]) + step]
         return ids, places[np.searchsorted(starts, offsets)]
 
     def decode(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -190,8 +190,8 @@ def _long(c: Codec, text: bytes, limit: int) -> Iterator[np.ndarray]:
         yield c.encode(np.frombuffer(text, np.uint8)[a:b], np.array([0, b - a]))[0]
 
 
-def encode_column(docs: DataFrame, path: str, keep: list[str] | None = None) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every text, and the columns in keep.
+def encode_column(docs: DataFrame, path: str, keep: list[str] | None = None, with_ids: bool = False) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every text, the columns in keep, and the ids if asked for.
 
     A null text is empty and gives 0 tokens. A text of over 8 MB is encoded piece by piece, cut where no
     pre-token is cut. Texts are taken by 2 MB at a time, so memory does not depend on the batch.
@@ -208,11 +208,13 @@ def encode_column(docs: DataFrame, path: str, keep: list[str] | None = None) ->
                 body = data[offsets[lo] : offsets[hi]]
                 count, ids_hash, text_hash = [], [], []
                 if len(body) > 4 * limit:  # one very long text
-                    total, a, b = 0, hashlib.sha256(), hashlib.sha256()
+                    total, a, b, all_ids = 0, hashlib.sha256(), hashlib.sha256(), []
                     for ids in _long(c, body.tobytes(), limit):
                         total += len(ids)
+                        all_ids += [ids] if with_ids else []
                         a.update(ids.astype("<u4"))
                         b.update(c.decode(ids)[0])
+                    ids, at = np.concatenate([*all_ids, np.zeros(0, np.uint32)]), np.array([0, total])
                     count, ids_hash, text_hash = [total], [a.hexdigest()], [b.hexdigest()]
                 else:
                     ids, at = c.encode(body, own)
@@ -223,11 +225,12 @@ def encode_column(docs: DataFrame, path: str, keep: list[str] | None = None) ->
                         ids_hash.append(hashlib.sha256(ids[a:b]).hexdigest())
                         text_hash.append(hashlib.sha256(raw[byte_at[a] : byte_at[b]]).hexdigest())
                 kept = [batch.column(i).slice(lo, hi - lo) for i in range(1, batch.num_columns)]
-                yield pa.RecordBatch.from_arrays([*kept, pa.array(count, pa.int64()), pa.array(ids_hash, pa.string()), pa.array(text_hash, pa.string())], names=[*names, "n_tokens", "ids_sha256", "decoded_sha256"])
+                lists = [pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids.astype(np.int32)))] if with_ids else []
+                yield pa.RecordBatch.from_arrays([*kept, pa.array(count, pa.int64()), pa.array(ids_hash, pa.string()), pa.array(text_hash, pa.string()), *lists], names=[*names, "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * with_ids])
 
     chosen = docs.select(F.col("text"), F.col("doc_id").cast("long").alias("doc_id"), *[F.col(k) for k in keep])
     names = chosen.columns[1:]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema.fields[1:]) + ", n_tokens long, ids_sha256 string, decoded_sha256 string"
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema.fields[1:]) + ", n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
     return chosen.mapInArrow(run, schema)
 
 

@@ -206,17 +206,8 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept of every row.
-
-    A set holds the distinct 5-word shingles of a text, A-Z in lower case; a shorter text is one shingle,
-    a text without words (or null) has none and is linked with nothing. Rows of equal sets form a class
-    at once; the classes' earliest rows go through the forest. Links join sets with at least `percent`
-    hundredths of their union in common. component_id is the least doc_id that links reach, kept tells
-    whether it is the row's own. Rows that repeat a doc_id and text share a result; a null doc_id is
-    the least. An empty table gives an empty table.
-    """
-    keyed, back = row_keys(docs.select("doc_id", "text"))
+def _roots(keyed: DataFrame, percent: int) -> DataFrame:
+    """_key, n (set size) and _root (the least key of its component) of every row."""
     about = stage(_describe(keyed), "signatures")
     classes = stage(about.where("n > 0").groupBy("d1", "d2").agg(F.min(F.struct("_key", "sig")).alias("r")).select("d1", "d2", F.col("r._key").alias("_key"), F.col("r.sig").alias("sig")), "classes")
     pairs = stage(_neighbours(_orders(classes)), "pairs")
@@ -231,5 +222,30 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     if not late.isEmpty():
         roots = stage(components(late.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))), "roots")
     final = classes.join(roots, F.col("_key") == F.col("node"), "left").select("d1", "d2", F.coalesce("root", "_key").alias("_root"))
-    rows = about.where("n > 0").join(final, ["d1", "d2"]).select("_key", "n", "_root").unionByName(about.where("n = 0").select("_key", "n", F.col("_key").alias("_root")))
+    return about.where("n > 0").join(final, ["d1", "d2"]).select("_key", "n", "_root").unionByName(about.where("n = 0").select("_key", "n", F.col("_key").alias("_root")))
+
+
+def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept of every row.
+
+    A set holds the distinct 5-word shingles of a text, A-Z in lower case; a shorter text is one shingle,
+    a text without words (or null) has none and is linked with nothing. Rows of equal sets form a class
+    at once; the classes' earliest rows go through the forest. Links join sets with at least `percent`
+    hundredths of their union in common. component_id is the least doc_id that links reach, kept tells
+    whether it is the row's own. Rows that repeat a doc_id and text share a result; a null doc_id is
+    the least. An empty table gives an empty table.
+    """
+    keyed, back = row_keys(docs.select("doc_id", "text"))
+    rows = _roots(keyed, percent)
     return rows.select(back("_key").alias("doc_id"), F.col("n").alias("n_shingles"), back("_root").alias("component_id"), (F.col("_key") == F.col("_root")).alias("kept"))
+
+
+def drop_near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
+    """One document of each component: the one of least doc_id. Of rows that repeat it, one stays."""
+    keyed, _ = row_keys(docs)
+    roots = stage(_roots(keyed.select("_key", "text"), percent).select("_key", "_root"), "kept")
+    kept = roots.where("_key = _root").groupBy("_key").agg(F.count("*").alias("_times"))
+    out = keyed.join(kept, "_key")
+    if not kept.where("_times > 1").isEmpty():
+        out = out.where("_times = 1").unionByName(out.where("_times > 1").dropDuplicates(["_key"]))
+    return out.select(*docs.columns)

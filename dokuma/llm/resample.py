@@ -161,7 +161,7 @@ def _kth(rows: DataFrame, column: str, k: int) -> float:
 
 
 def resample(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, log_weight, draw (weight plus Gumbel noise) and kept of every row.
+    """doc_id, text_hash (xxhash64), log_weight, draw (weight plus Gumbel noise) and kept of every row.
 
     A null or empty text has no evidence against it. Labels of unknown documents and null labels are
     left out; a document labelled twice takes its lowest quality and highest toxicity. Without labels of a
@@ -176,7 +176,7 @@ def resample(docs: DataFrame, labels: DataFrame) -> DataFrame:
         classes = classes.where(F.pmod(F.xxhash64("doc_id"), F.lit(2**40)) < F.lit(2**40 * LABELLED // n))
     classes = stage(classes, "classes")
     share = {r[0]: r[1] for r in classes.groupBy("kind").count().collect()}
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
     weights = stage(_weights(base, classes), "weights")
     size = {r[0]: r[1] for r in weights.groupBy("kind").agg(F.sum("weight")).collect()}
     ratios = log_ratios(_counts(base, weights), [size.get(k, 0.0) for k in range(3)]) if share.get(TARGET) else np.zeros((2, BUCKETS), np.float32)
@@ -195,10 +195,10 @@ def resample(docs: DataFrame, labels: DataFrame) -> DataFrame:
                 against = [np.bincount(doc, weights=np.maximum(r[i, bucket[0]], r[i, bucket[1]]), minlength=hi - lo) for i in (0, 1)]
                 mixture = prior[0] + sum(p * np.exp(np.minimum(-a, 600)) for p, a in zip(prior[1:], against, strict=True))
                 out.append(-np.log(mixture))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(out) if out else np.zeros(0), pa.float64())], names=["doc_id", "log_weight"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(np.concatenate(out) if out else np.zeros(0), pa.float64())], names=["doc_id", "text_hash", "log_weight"])
 
-    weighted = base.mapInArrow(run, "doc_id long, log_weight double")
-    uniform = (F.pmod(F.xxhash64(F.lit("gumbel"), "doc_id"), F.lit(2**53)) + 0.5) / F.lit(float(2**53))
+    weighted = base.mapInArrow(run, "doc_id long, text_hash long, log_weight double")
+    uniform = (F.pmod(F.xxhash64(F.lit("gumbel"), F.coalesce("doc_id", F.lit(0))), F.lit(2**53)) + 0.5) / F.lit(float(2**53))
     drawn = stage(weighted.withColumn("draw", F.col("log_weight") - F.log(-F.log(uniform))), "draws")
     k = drawn.where(F.col("log_weight") >= F.lit(_cut(drawn, classes))).count()
     if k <= 0:
@@ -216,3 +216,10 @@ def _cut(drawn: DataFrame, classes: DataFrame) -> float:
         return float("-inf")
     error = lambda c: sum(n for b, n in good.items() if b < c) / sum(good.values()) + sum(n for b, n in bad.items() if b >= c) / sum(bad.values())
     return min(sorted(good.keys() | bad.keys()), key=error) / 4
+
+
+def keep_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The documents that resampling keeps."""
+    out = resample(docs, labels).where("not kept").select(F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_hash")).distinct()
+    same = docs["doc_id"].cast("long").eqNullSafe(out["_doc"]) & (F.xxhash64(docs["text"]) == out["_hash"])
+    return docs.join(out, same, "left_anti")
