@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dokuma.llm import bpe, decontaminate, forest, fst, lines, resample, sharding, suffix, topk
+from dokuma.llm import bpe, decontaminate, forest, fst, lines, pitman_yor, resample, sharding, suffix, topk
 from dokuma.session import table
 
 
@@ -28,6 +28,10 @@ def op4_line_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.line_dedup(table(spark, sf_dir, "documents"))
 
 
+def op5_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pitman_yor.score(table(spark, sf_dir, "documents"), pitman_yor.held_out_rows(F.col("doc_id")))
+
+
 def op6_two_tier_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_column(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
@@ -49,7 +53,7 @@ def op10_branch_and_bound(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_importance_resampling, op2_seed_and_align, op3_sampled_splitters, op4_line_hashing, op6_two_tier_bpe, op7_interval_expansion, op8_transducer_counts, op9_lsh_forest, op10_branch_and_bound)}
+    return {f.__name__: f for f in (op1_importance_resampling, op2_seed_and_align, op3_sampled_splitters, op4_line_hashing, op5_pitman_yor, op6_two_tier_bpe, op7_interval_expansion, op8_transducer_counts, op9_lsh_forest, op10_branch_and_bound)}
 
 
 def oracle_sql() -> dict[str, str]:
