@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -46,7 +47,21 @@ def stage(df: DataFrame, name: str = "stage") -> DataFrame:
     jvm = spark.sparkContext._jvm
     place = jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
-    return spark.read.schema(schema).parquet(path)
+    out = spark.read.schema(schema).parquet(path)
+    out._staged_at = path
+    return out
+
+
+def forget(*staged: DataFrame) -> None:
+    """Delete tables that stage() wrote, once all that was read from them has been written elsewhere, and let
+    the cleaner drop the shuffle files of plans that are gone."""
+    for df in staged:
+        spark = df.sparkSession
+        jvm = spark.sparkContext._jvm
+        place = jvm.org.apache.hadoop.fs.Path(df._staged_at)
+        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
