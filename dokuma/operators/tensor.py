@@ -9,8 +9,10 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
-ROW = Window.partitionBy("i")
+def _row() -> WindowSpec:
+    return Window.partitionBy("i")
 
 
 def explode_rows(df: DataFrame, i: str, vector: str) -> DataFrame:
@@ -83,7 +85,7 @@ def softmax(a: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
 
 def rmsnorm(a: DataFrame, weight: DataFrame | None = None, eps: float = 1e-5) -> DataFrame:
     """x / sqrt(mean x^2 + eps), times the column's weight (j, w)."""
-    out = a.select("i", "j", (F.col("v") / F.sqrt(F.avg(F.col("v") * F.col("v")).over(ROW) + eps)).alias("v"))
+    out = a.select("i", "j", (F.col("v") / F.sqrt(F.avg(F.col("v") * F.col("v")).over(_row()) + eps)).alias("v"))
     return out if weight is None else out.join(weight, "j").select("i", "j", (F.col("v") * F.col("w")).alias("v"))
 
 
@@ -152,15 +154,15 @@ def cross_entropy_grad(logits: DataFrame, targets: DataFrame, n: int) -> DataFra
 
 def softmax_grad(y: DataFrame, g: DataFrame) -> DataFrame:
     both = y.join(g.withColumnRenamed("v", "g"), ["i", "j"])
-    return both.select("i", "j", (F.col("v") * (F.col("g") - F.sum(F.col("v") * F.col("g")).over(ROW))).alias("v"))
+    return both.select("i", "j", (F.col("v") * (F.col("g") - F.sum(F.col("v") * F.col("g")).over(_row()))).alias("v"))
 
 
 def rmsnorm_grad(x: DataFrame, weight: DataFrame, g: DataFrame, eps: float = 1e-5) -> tuple[DataFrame, DataFrame]:
     """Gradients of x (i, j, v) and of the weight (j, v)."""
     both = x.join(g.withColumnRenamed("v", "g"), ["i", "j"]).join(weight, "j")
-    r = 1 / F.sqrt(F.avg(F.col("v") * F.col("v")).over(ROW) + eps)
-    s = F.sum(F.col("g") * F.col("w") * F.col("v")).over(ROW)
-    rows = both.withColumns({"r": r, "s": s, "n": F.count("*").over(ROW)})
+    r = 1 / F.sqrt(F.avg(F.col("v") * F.col("v")).over(_row()) + eps)
+    s = F.sum(F.col("g") * F.col("w") * F.col("v")).over(_row())
+    rows = both.withColumns({"r": r, "s": s, "n": F.count("*").over(_row())})
     dx = rows.select("i", "j", (F.col("w") * F.col("r") * F.col("g") - F.pow("r", F.lit(3)) / F.col("n") * F.col("v") * F.col("s")).alias("v"))
     return dx, rows.groupBy("j").agg(F.sum(F.col("g") * F.col("v") * F.col("r")).alias("v"))
 
