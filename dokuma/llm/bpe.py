@@ -17,11 +17,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dokuma.llm.common import U64, mix, parts, ramp, span_hash, texts
+from dokuma.llm.common import U64, mix, parts, ramp, span_hash, texts, trimmed
 from dokuma.llm.pretoken import class_table, code_points, pre_tokens, safe_cuts
 
 #: Distinct missed pre-tokens that a worker remembers before it starts afresh.
-REMEMBERED = 300_000
+REMEMBERED = 200_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -193,11 +193,11 @@ def _long(c: Codec, text: bytes, limit: int) -> Iterator[np.ndarray]:
 def encode_column(docs: DataFrame, path: str, keep: list[str] | None = None, with_ids: bool = False) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every text, the columns in keep, and the ids if asked for.
 
-    A null text is empty and gives 0 tokens. A text of over 8 MB is encoded piece by piece, cut where no
-    pre-token is cut. Texts are taken by 2 MB at a time, so memory does not depend on the batch.
+    A null text is empty and gives 0 tokens. A text of over 4 MB is encoded piece by piece, cut where no
+    pre-token is cut. Texts are taken by 1 MB at a time, so memory does not depend on the batch.
     """
     keep = keep or []
-    limit = 2_000_000
+    limit = 1_000_000
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
@@ -231,7 +231,7 @@ def encode_column(docs: DataFrame, path: str, keep: list[str] | None = None, wit
     chosen = docs.select(F.col("text"), F.col("doc_id").cast("long").alias("doc_id"), *[F.col(k) for k in keep])
     names = chosen.columns[1:]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema.fields[1:]) + ", n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
-    return chosen.mapInArrow(run, schema)
+    return chosen.mapInArrow(trimmed(run), schema)
 
 
 def encode_ids(docs: DataFrame, path: str) -> DataFrame:
@@ -241,12 +241,12 @@ def encode_ids(docs: DataFrame, path: str) -> DataFrame:
         c = codec(path)
         for batch in batches:
             offsets, data = texts(batch.column(1))
-            for lo, hi in parts(offsets, 2_000_000):
+            for lo, hi in parts(offsets, 1_000_000):
                 ids, at = c.encode(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
                 lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids.astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), lists], names=["doc_id", "ids"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, ids array<int>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(trimmed(run), "doc_id long, ids array<int>")
 
 
 def decode_ids(ids: DataFrame, path: str) -> DataFrame:
@@ -258,4 +258,4 @@ def decode_ids(ids: DataFrame, path: str) -> DataFrame:
             out = [c.decode(np.asarray(x or [], np.int64))[0].tobytes() for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["doc_id", "bytes"])
 
-    return ids.select("doc_id", "ids").mapInArrow(run, "doc_id long, bytes binary")
+    return ids.select("doc_id", "ids").mapInArrow(trimmed(run), "doc_id long, bytes binary")

@@ -10,8 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from dokuma.llm.common import LOWER, U64, batch_of, mix, parts, span_hash, texts
-from dokuma.session import stage
+from dokuma.llm.common import LOWER, U64, batch_of, mix, parts, span_hash, texts, trimmed
+from dokuma.session import small, stage
 
 #: Words of a seed; of this many seeds in a row of an item, the rarest in the corpus is looked for.
 SEED, RARE = 3, 4
@@ -122,7 +122,7 @@ def _corpus_counts(docs: DataFrame, wanted: np.ndarray) -> np.ndarray:
 
     out = np.zeros(len(wanted), np.int64)
     if len(wanted):
-        for r in docs.select("text").mapInArrow(run, "at long, n long").groupBy("at").agg(F.sum("n")).collect():  # a row for each wanted seed at most
+        for r in docs.select("text").mapInArrow(trimmed(run), "at long, n long").groupBy("at").agg(F.sum("n")).collect():  # a row for each wanted seed at most
             out[r[0]] = r[1]
     return out
 
@@ -195,7 +195,7 @@ def _leaks(docs: DataFrame, items: dict[int, np.ndarray]) -> DataFrame:
                 if rows:
                     yield batch_of(rows, names, kinds)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, item_id long, score double, matched_words long, item_words long, start long, end long")
+    return docs.select("doc_id", "text").mapInArrow(trimmed(run), "doc_id long, item_id long, score double, matched_words long, item_words long, start long, end long")
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

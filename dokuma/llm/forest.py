@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dokuma.llm.common import LOWER, MULT, U64, batch_of, mix, parts, ramp, run_hash, sequence_sums, span_hash, texts, words
+from dokuma.llm.common import LOWER, MULT, U64, batch_of, mix, parts, ramp, run_hash, sequence_sums, span_hash, texts, trimmed, words
 from dokuma.llm.components import components
 from dokuma.llm.suffix import row_keys
 from dokuma.session import stage
@@ -73,7 +73,7 @@ def _describe(keyed: DataFrame) -> DataFrame:
                 sig = signatures(hashes, at).astype(">u4")
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(np.diff(at), pa.int64()), *digests, pa.array([r.tobytes() for r in sig], pa.binary())], names=["_key", "n", "d1", "d2", "sig"])
 
-    return keyed.select("_key", "text").mapInArrow(run, "_key long, n long, d1 long, d2 long, sig binary")
+    return keyed.select("_key", "text").mapInArrow(trimmed(run), "_key long, n long, d1 long, d2 long, sig binary")
 
 
 def _orders(reps: DataFrame) -> DataFrame:
@@ -93,7 +93,7 @@ def _orders(reps: DataFrame) -> DataFrame:
             fixed = lambda a, w: pa.Array.from_buffers(pa.binary(w), a.size // w, [None, pa.py_buffer(np.ascontiguousarray(a))]).cast(pa.binary())
             yield pa.RecordBatch.from_arrays([fixed(v, DEPTH * 4 + 1), pa.array(key), fixed(np.repeat(sketch, TREES, 0), SKETCH)], names=["v", "key", "sketch"])
 
-    return reps.select("_key", "sig").mapInArrow(run, "v binary, key long, sketch binary")
+    return reps.select("_key", "sig").mapInArrow(trimmed(run), "v binary, key long, sketch binary")
 
 
 def _neighbours(orders: DataFrame) -> DataFrame:
@@ -144,7 +144,7 @@ def _neighbours(orders: DataFrame) -> DataFrame:
 
     spark = orders.sparkSession
     many = max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    made = stage(orders.repartitionByRange(many, "v", "key").sortWithinPartitions("v", "key").mapInArrow(run, "a long, b long, early boolean, task int, edge int, v binary, sketch binary"), "neighbours")
+    made = stage(orders.repartitionByRange(many, "v", "key").sortWithinPartitions("v", "key").mapInArrow(trimmed(run), "a long, b long, early boolean, task int, edge int, v binary, sketch binary"), "neighbours")
 
     def border(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = sorted((r for b in batches for r in b.to_pylist()), key=lambda r: (r["task"], r["edge"]))
@@ -170,11 +170,8 @@ def _sets(keyed: DataFrame, involved: DataFrame) -> DataFrame:
                 body = np.ascontiguousarray((hashes >> U64(24)).astype(">u8").view(np.uint8).reshape(-1, 8)[:, 3:]).tobytes()
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(np.diff(at), pa.int64()), pa.array([body[5 * x : 5 * y] for x, y in zip(at, at[1:], strict=False)], pa.binary())], names=["key", "n", "body"])
 
-    n = involved.count()
-    # up to half a million keys (4 MB) are broadcast; beyond, both sides are shuffled
-    few = F.broadcast(involved) if n <= 500_000 else involved
-    texts_ = keyed.select("_key", "text").join(few, F.col("_key") == F.col("key"), "left_semi")
-    return stage(texts_.mapInArrow(run, "key long, n long, body binary").dropDuplicates(["key"]), "sets")
+    texts_ = keyed.select("_key", "text").join(small(stage(involved, "involved")), F.col("_key") == F.col("key"), "left_semi")
+    return stage(texts_.mapInArrow(trimmed(run), "key long, n long, body binary").dropDuplicates(["key"]), "sets")
 
 
 def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -203,7 +200,7 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     possible = sized.where(100 * F.least("n", "m") >= percent * F.greatest("n", "m")).select("a", "b", "n", "m")
     first = possible.join(sets.select(F.col("key").alias("a"), F.col("body").alias("x")), "a")
     both = first.join(sets.select(F.col("key").alias("b"), F.col("body").alias("y")), "b").select("a", "b", "n", "m", "x", "y")
-    return both.mapInArrow(run, "a long, b long")
+    return both.mapInArrow(trimmed(run), "a long, b long")
 
 
 def _roots(keyed: DataFrame, percent: int) -> DataFrame:

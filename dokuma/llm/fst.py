@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dokuma.llm.common import parts, span_hash, texts
+from dokuma.llm.common import parts, span_hash, texts, trimmed
 from dokuma.llm.pretoken import LETTER, NUMBER, OTHER, WHITE, class_table, safe_cuts
 
 # symbols of the segmenter: the space, other white space, letters (those of contractions apart),
@@ -371,4 +371,4 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 1024) -> DataFrame:
             n = np.concatenate(counts) if counts else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(offsets), pa.int64()), pa.array(n, pa.int64()), pa.array(n > limit)], names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(trimmed(run), "doc_id long, n_bytes long, n_tokens long, over_limit boolean")

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dokuma.llm.common import LOWER, batch_of, by_bucket, parts, run_hash, sequence_sums, span_hash, texts, unpack, words
+from dokuma.llm.common import LOWER, batch_of, by_bucket, parts, run_hash, sequence_sums, span_hash, texts, trimmed, unpack, words
 from dokuma.llm.suffix import BUCKET, FLUSH, SPAN, row_keys, unite
 
 UNIT = np.dtype([("a", "<u8"), ("b", "<u8"), ("key", "<i8"), ("at", "<u4"), ("size", "<u4")])
@@ -91,7 +91,7 @@ def repeated_lines(keyed: DataFrame, least_words: int) -> DataFrame:
         rows += list(_spans(found[later]))
         return pa.Table.from_batches([batch_of(rows, ["_key", "blob"], [pa.int64(), pa.binary()])])
 
-    sent = keyed.select("_key", "text").mapInArrow(digest, "bucket long, kind int, blob binary")
+    sent = keyed.select("_key", "text").mapInArrow(trimmed(digest), "bucket long, kind int, blob binary")
     return sent.groupBy("bucket").applyInArrow(group, "_key long, blob binary").groupBy("_key").agg(F.collect_list("blob").alias("spans"))
 
 
@@ -126,4 +126,4 @@ def line_dedup(docs: DataFrame, least_words: int = 5) -> DataFrame:
 
     keyed, _ = row_keys(docs.select("doc_id", "text"))
     joined = keyed.join(repeated_lines(keyed, least_words), "_key", "left").select(F.col("doc_id").cast("long"), "text", "spans")
-    return joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_lines long, removed array<struct<start:bigint,end:bigint>>")
+    return joined.mapInArrow(trimmed(run), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_lines long, removed array<struct<start:bigint,end:bigint>>")

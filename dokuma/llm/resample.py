@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dokuma.llm.common import LOWER, U64, mix, parts, span_hash, texts, words
+from dokuma.llm.common import LOWER, U64, mix, parts, span_hash, texts, trimmed, words
 from dokuma.llm.forest import shingles
 from dokuma.session import stage
 
@@ -96,7 +96,7 @@ def _counts(docs: DataFrame, classes: DataFrame) -> np.ndarray:
     labelled = docs.join(F.broadcast(classes), "doc_id").select("text", "kind", "weight")
     out = np.zeros((3 * SLICES, width))
     # 3 * SLICES rows, 24 MB at most, whatever the input
-    for row in labelled.mapInArrow(run, "slice int, blob binary").groupBy("slice").applyInArrow(join, "slice int, blob binary").collect():
+    for row in labelled.mapInArrow(trimmed(run), "slice int, blob binary").groupBy("slice").applyInArrow(join, "slice int, blob binary").collect():
         out[row[0]] = np.frombuffer(row[1], np.float64)
     return out.reshape(3, BUCKETS)
 
@@ -136,7 +136,7 @@ def _weights(docs: DataFrame, classes: DataFrame) -> DataFrame:
                     low[i] = np.concatenate([low[i], least])
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(x.astype(np.int64)) for x in low)], names=["doc_id", "kind", "m0", "m1"])
 
-    rows = stage(docs.join(F.broadcast(classes), "doc_id").select("doc_id", "kind", "text").mapInArrow(run, "doc_id long, kind int, m0 long, m1 long"), "minima")
+    rows = stage(docs.join(F.broadcast(classes), "doc_id").select("doc_id", "kind", "text").mapInArrow(trimmed(run), "doc_id long, kind int, m0 long, m1 long"), "minima")
     for m in ("m0", "m1"):
         rows = rows.join(rows.groupBy(m, "kind").agg(F.count("*").alias(f"n{m}")), [m, "kind"])
     return rows.groupBy("doc_id", "kind").agg(F.first(1 / F.greatest("nm0", "nm1")).alias("weight"))
@@ -197,7 +197,7 @@ def resample(docs: DataFrame, labels: DataFrame) -> DataFrame:
                 out.append(-np.log(mixture))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(np.concatenate(out) if out else np.zeros(0), pa.float64())], names=["doc_id", "text_hash", "log_weight"])
 
-    weighted = base.mapInArrow(run, "doc_id long, text_hash long, log_weight double")
+    weighted = base.mapInArrow(trimmed(run), "doc_id long, text_hash long, log_weight double")
     uniform = (F.pmod(F.xxhash64(F.lit("gumbel"), F.coalesce("doc_id", F.lit(0))), F.lit(2**53)) + 0.5) / F.lit(float(2**53))
     drawn = stage(weighted.withColumn("draw", F.col("log_weight") - F.log(-F.log(uniform))), "draws")
     k = drawn.where(F.col("log_weight") >= F.lit(_cut(drawn, classes))).count()

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from dokuma.llm.common import BYTE_CODE, MULT, U64, batch_of, by_bucket, mix, pack, parts, ramp, texts, unpack
+from dokuma.llm.common import BYTE_CODE, MULT, U64, batch_of, by_bucket, mix, pack, parts, ramp, release, texts, trimmed, unpack
 from dokuma.session import stage
 
 LEAST = 100
@@ -285,9 +285,10 @@ def repeated_spans(keyed: DataFrame, least: int = LEAST, crowd: int = CROWD) ->
             out = np.empty(len(ask), ASK)
             out["at"], out["wins"], out["group"], out["crowd"] = ask["at"], ask["wins"], ask["piece"], many[many > 1] > crowd
             rows += [(k, 2, b) for k, b in by_bucket(out, ask["key"])]
+        release()
         return pa.Table.from_batches([batch_of(rows, ["key", "kind", "blob"], [pa.int64(), pa.int32(), pa.binary()])])
 
-    sent = keyed.select("_key", "text").mapInArrow(digest, "bucket long, kind int, blob binary")
+    sent = keyed.select("_key", "text").mapInArrow(trimmed(digest), "bucket long, kind int, blob binary")
     known = stage(sent.groupBy("bucket").applyInArrow(group, "key long, kind int, blob binary"), "segments")
     asked = known.where("kind = 2").groupBy(F.col("key").alias("_key")).agg(F.collect_list("blob").alias("blobs"), F.sum(F.octet_length("blob")).alias("n")).where("n > 0")
     asked = stage(asked, "asked")
@@ -393,11 +394,12 @@ def repeated_spans(keyed: DataFrame, least: int = LEAST, crowd: int = CROWD) ->
             w = w[np.lexsort((w["at"], w["key"], w["b"], w["a"]))]
             same = (w["a"][1:] == w["a"][:-1]) & (w["b"][1:] == w["b"][:-1])
             head = np.flatnonzero(np.concatenate([[True], ~same]))[np.cumsum(np.concatenate([[True], ~same])) - 1]
+        release()
             later = (w["key"] != w["key"][head]) | (w["at"] != w["at"][head])
             rows += [(k, 1, b) for k, b in _spans(w["key"][later], w["at"][later], least)]
         return pa.Table.from_batches([batch_of(rows, ["key", "kind", "blob"], [pa.int64(), pa.int32(), pa.binary()])])
 
-    parts_ = keyed.select("_key", "text").join(few, "_key").select("_key", "text", "blobs").mapInArrow(fetch, "bucket long, kind int, blob binary, body binary")
+    parts_ = keyed.select("_key", "text").join(asked, "_key").select("_key", "text", "blobs").mapInArrow(trimmed(fetch), "bucket long, kind int, blob binary, body binary")
     solved = parts_.groupBy("bucket").applyInArrow(resolve, "key long, kind int, blob binary")
     every = known.where("kind = 1").unionByName(solved)
     return every.groupBy(F.col("key").alias("_key")).agg(F.collect_list("blob").alias("spans"))
@@ -433,7 +435,7 @@ def removal_digests(docs: DataFrame, least: int = LEAST, crowd: int = CROWD) ->
             yield pa.RecordBatch.from_arrays([batch.column(0), *made.columns], names=["doc_id", *made.schema.names])
 
     rows = _with_spans(docs.select("doc_id", "text"), least, crowd).select(F.col("doc_id").cast("long"), "text", "spans")
-    return rows.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return rows.mapInArrow(trimmed(run), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def remove_repeats(docs: DataFrame, least: int = LEAST) -> DataFrame:
