@@ -33,7 +33,13 @@ class PerfectHash:
     """A minimal perfect hash: n distinct 64-bit keys to slots 0 to n - 1, by one displacement a bucket."""
 
     def __init__(self, keys: np.ndarray):
-        self.n, self.buckets = len(keys), max(1, len(keys) // 4)
+        self.n, self.buckets, self.seed = len(keys), max(1, len(keys) // 2), 0
+        while not self._build(keys):
+            self.seed += 1
+            if self.seed > 200:
+                raise ValueError("no perfect hash found: are the keys distinct?")
+
+    def _build(self, keys: np.ndarray) -> bool:
         bucket, base = self._places(keys)
         order = np.argsort(bucket, kind="stable")
         ends = np.searchsorted(bucket[order], np.arange(self.buckets + 1))
@@ -47,19 +53,22 @@ class PerfectHash:
                 singles.append((b, own[0]))
             elif len(own):
                 if len(np.unique(own)) < len(own):
-                    raise ValueError("two keys share bucket and place: choose other hashes")
-                while True:
-                    tries = rng.integers(0, self.n, 64)
+                    return False  # two keys share bucket and place: other hashes
+                for tries in (*rng.integers(0, self.n, (40, 64)), np.arange(self.n)):  # at random, then all
                     good = free[(own[:, None] + tries) % self.n].all(0)
                     if good.any():
                         self.shift[b] = tries[np.argmax(good)]
                         free[(own + self.shift[b]) % self.n] = False
                         break
+                else:
+                    return False
         for (b, place), slot in zip(singles, np.flatnonzero(free), strict=True):
             self.shift[b] = (slot - place) % self.n
+        return True
 
     def _places(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        return ((keys >> U64(20)) % U64(self.buckets)).astype(np.int64), (mix(keys) % U64(self.n)).astype(np.int64)
+        mixed = mix(keys + U64(self.seed))
+        return ((mixed >> U64(40)) % U64(self.buckets)).astype(np.int64), (mixed % U64(self.n)).astype(np.int64)
 
     def __call__(self, keys: np.ndarray) -> np.ndarray:
         bucket, base = self._places(keys)

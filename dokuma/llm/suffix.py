@@ -111,6 +111,15 @@ def _settle(found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return found, np.concatenate([[False], same])
 
 
+def _later(w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Strings by digest and place, each place once, and which of them are not their digest's first."""
+    w = w[np.lexsort((w["at"], w["key"], w["b"], w["a"]))]
+    same = (w["a"][1:] == w["a"][:-1]) & (w["b"][1:] == w["b"][:-1])
+    again = same & (w["key"][1:] == w["key"][:-1]) & (w["at"][1:] == w["at"][:-1])
+    keep = np.concatenate([[True], ~again])
+    return w[keep], np.concatenate([[False], same])[keep]
+
+
 def unite(at: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Maximal runs that the spans cover: starts and ends."""
     if not len(at):
@@ -295,16 +304,12 @@ def repeated_spans(keyed: DataFrame, least: int = LEAST, crowd: int = CROWD) ->
     wanted = asked.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     # about 14 bytes of request for 135 bytes of text
     second = max(4 * workers, -(-wanted[0] * 10 // 4_000_000))
-    # keys and requests of up to 4 MB are broadcast; beyond, both sides are shuffled
-    few = F.broadcast(asked) if wanted[0] < 4_000_000 else asked
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         windows, held, asked_, bodies, fetched = [], 0, [], [], 0
 
         def crowded() -> Iterator[tuple]:
-            w = np.concatenate(windows)
-            w = w[np.lexsort((w["at"], w["key"], w["b"], w["a"]))]
-            later = np.concatenate([[False], (w["a"][1:] == w["a"][:-1]) & (w["b"][1:] == w["b"][:-1])])
+            w, later = _later(np.concatenate(windows))
             for k, blob in _spans(w["key"][later], w["at"][later], least):
                 yield int(k % second), 1, k.to_bytes(8, "little", signed=True) + blob, b""
             for b, blob in by_bucket(w[~later], (w["a"][~later] >> U64(8)).astype(np.int64) % second):
@@ -391,12 +396,9 @@ def repeated_spans(keyed: DataFrame, least: int = LEAST, crowd: int = CROWD) ->
                 rows += [(k, 1, b) for k, b in _spans(part["key"][at][seg], part["at"][at][seg].astype(np.int64) + off, least)]
         w = unpack([b for b, k in zip(blobs, kinds, strict=True) if k == 3], WINDOW)
         if len(w):
-            w = w[np.lexsort((w["at"], w["key"], w["b"], w["a"]))]
-            same = (w["a"][1:] == w["a"][:-1]) & (w["b"][1:] == w["b"][:-1])
-            head = np.flatnonzero(np.concatenate([[True], ~same]))[np.cumsum(np.concatenate([[True], ~same])) - 1]
-        release()
-            later = (w["key"] != w["key"][head]) | (w["at"] != w["at"][head])
+            w, later = _later(w)
             rows += [(k, 1, b) for k, b in _spans(w["key"][later], w["at"][later], least)]
+        release()
         return pa.Table.from_batches([batch_of(rows, ["key", "kind", "blob"], [pa.int64(), pa.int32(), pa.binary()])])
 
     parts_ = keyed.select("_key", "text").join(asked, "_key").select("_key", "text", "blobs").mapInArrow(trimmed(fetch), "bucket long, kind int, blob binary, body binary")
