@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from dokuma.llm.common import LOWER, U64, mix, parts, span_hash, texts, trimmed, words
 from dokuma.llm.forest import shingles
-from dokuma.session import stage
+from dokuma.session import small, stage
 
 #: Buckets of hashed n-grams, and slices in which their counts are summed. Each n-gram has a bucket in
 #: either half, by independent hashes, and is evidence only where both say so: two that share one bucket
@@ -194,7 +194,7 @@ def resample(docs: DataFrame, labels: DataFrame) -> DataFrame:
                 bucket, doc = features(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
                 against = [np.bincount(doc, weights=np.maximum(r[i, bucket[0]], r[i, bucket[1]]), minlength=hi - lo) for i in (0, 1)]
                 mixture = prior[0] + sum(p * np.exp(np.minimum(-a, 600)) for p, a in zip(prior[1:], against, strict=True))
-                out.append(-np.log(mixture))
+                out.append(0.0 - np.log(mixture))  # never -0.0: Parquet's row-group filters tell it from 0.0
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(np.concatenate(out) if out else np.zeros(0), pa.float64())], names=["doc_id", "text_hash", "log_weight"])
 
     weighted = base.mapInArrow(trimmed(run), "doc_id long, text_hash long, log_weight double")
@@ -220,6 +220,6 @@ def _cut(drawn: DataFrame, classes: DataFrame) -> float:
 
 def keep_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that resampling keeps."""
-    out = resample(docs, labels).where("not kept").select(F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_hash")).distinct()
+    out = small(stage(resample(docs, labels).where("not kept").select(F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_hash")).distinct(), "rejected"))
     same = docs["doc_id"].cast("long").eqNullSafe(out["_doc"]) & (F.xxhash64(docs["text"]) == out["_hash"])
     return docs.join(out, same, "left_anti")
