@@ -8,6 +8,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def build(app: str = "dokuma", master: str | None = None, **conf: str) -> SparkSession:
@@ -64,6 +65,16 @@ def forget(*staged: DataFrame) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+#: Rows of a few numbers each (16 MB at most) up to which a side is broadcast.
+BROADCAST_ROWS = 500_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """df, which is already computed and holds a few numbers a row, marked for broadcast if it has at most
+    BROADCAST_ROWS rows; larger ones are left to a shuffle."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A Parquet table of the data folder, by a path that only Spark's readers need to open."""
     # rows hold whole texts: batches to Python workers are bounded by bytes, not by rows alone
