@@ -232,5 +232,5 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents without a copy of any item."""
-    bad = leaks(docs, benchmark).select("doc_id").distinct()
+    bad = small(leaks(docs, benchmark).select("doc_id").distinct())
     return docs.join(bad, docs["doc_id"].eqNullSafe(bad["doc_id"]), "left_anti")

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from dokuma.llm.common import LOWER, MULT, U64, batch_of, mix, parts, ramp, run_hash, sequence_sums, span_hash, texts, trimmed, words
 from dokuma.llm.components import components
 from dokuma.llm.suffix import row_keys
-from dokuma.session import stage
+from dokuma.session import small, stage
 
 SHINGLE = 5
 #: Sorted orders, and minima in each one's key; neighbours must share the first ROOT of them.
@@ -241,8 +241,9 @@ def drop_near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     """One document of each component: the one of least doc_id. Of rows that repeat it, one stays."""
     keyed, _ = row_keys(docs)
     roots = stage(_roots(keyed.select("_key", "text"), percent).select("_key", "_root"), "kept")
-    kept = roots.where("_key = _root").groupBy("_key").agg(F.count("*").alias("_times"))
-    out = keyed.join(kept, "_key")
-    if not kept.where("_times > 1").isEmpty():
-        out = out.where("_times = 1").unionByName(out.where("_times > 1").dropDuplicates(["_key"]))
+    out = keyed.join(small(roots.where("_key <> _root").select("_key").distinct()), "_key", "left_anti")
+    again = roots.where("_key = _root").groupBy("_key").count().where("count > 1").select("_key")
+    if not again.isEmpty():
+        twice = keyed.join(again, "_key", "left_semi").dropDuplicates(["_key"])
+        out = out.join(again, "_key", "left_anti").unionByName(twice)
     return out.select(*docs.columns)
