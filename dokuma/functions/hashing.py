@@ -73,13 +73,17 @@ def pcg_uniform(seed: int, sequence: int, draws: np.ndarray) -> np.ndarray:
     return pcg_u32(seed, sequence, draws) / 2.0**32
 
 
+def pcg_normal_at(seed: int, sequence: int, index: np.ndarray) -> np.ndarray:
+    """Normal draws by number: two uniforms, the first kept from 0, make draws 2k (cosine) and 2k + 1 (sine)."""
+    index = np.asarray(index)
+    pair = index - index % 2
+    u = np.maximum(pcg_uniform(seed, sequence, pair), 2.0**-32)
+    angle = 2 * np.pi * pcg_uniform(seed, sequence, pair + 1)
+    return np.sqrt(-2 * np.log(u)) * np.where(index % 2 == 0, np.cos(angle), np.sin(angle))
+
+
 def pcg_normal(seed: int, sequence: int, n: int) -> np.ndarray:
-    """The first n normal draws: each two uniforms, the first kept from 0, make two."""
-    pairs = np.arange(-(-n // 2))
-    u = np.maximum(pcg_uniform(seed, sequence, 2 * pairs), 2.0**-32)
-    angle = 2 * np.pi * pcg_uniform(seed, sequence, 2 * pairs + 1)
-    radius = np.sqrt(-2 * np.log(u))
-    return np.stack([radius * np.cos(angle), radius * np.sin(angle)], 1).ravel()[:n]
+    return pcg_normal_at(seed, sequence, np.arange(n))
 
 
 def shuffled(n: int, seed: int, sequence: int) -> np.ndarray:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from dokuma.functions import hashing
 from dokuma.operators import bpe, corpus, morphology, tensor, tokens
 from dokuma.operators.order import numbered, with_neighbour
+from dokuma.plans import model
 from dokuma.sources import files
 from dokuma.streaming import shards
 
@@ -190,3 +191,13 @@ def test_streams(spark, tmp_path):
         stream = spark.readStream.schema("block_id long, text string").parquet(str(tmp_path / "blocks"))
         shards.dedup_shards(stream, str(tmp_path / "seen"), str(tmp_path / "kept"), str(tmp_path / "c2")).awaitTermination()
     assert sorted({r["block_id"] for r in spark.read.parquet(str(tmp_path / "kept")).collect()}) == [1, 2, 4]
+
+
+def test_initial_parameters(spark):
+    plan = model.parameters(7, 4, 2, 6)
+    assert len(plan) == 1 + 10 * 2 + 1 and [p.index for p in plan] == list(range(22))
+    rows = sorted(map(tuple, model.initial(spark, plan, 5, 1).select("param_idx", "i", "j", "v").collect()))
+    drawn = [v for p, _, _, v in rows if plan[p].fill is None]
+    assert np.allclose(drawn, 0.02 * hashing.pcg_normal(5, 1, len(drawn)))
+    assert {v for p, _, _, v in rows if plan[p].fill is not None} == {0.0, 1.0}
+    assert len(rows) == sum(p.rows * p.cols for p in plan)
