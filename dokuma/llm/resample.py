@@ -137,9 +137,13 @@ def _weights(docs: DataFrame, classes: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(x.astype(np.int64)) for x in low)], names=["doc_id", "kind", "m0", "m1"])
 
     rows = stage(docs.join(F.broadcast(classes), "doc_id").select("doc_id", "kind", "text").mapInArrow(trimmed(run), "doc_id long, kind int, m0 long, m1 long"), "minima")
+    out = rows
     for m in ("m0", "m1"):
-        rows = rows.join(rows.groupBy(m, "kind").agg(F.count("*").alias(f"n{m}")), [m, "kind"])
-    return rows.groupBy("doc_id", "kind").agg(F.first(1 / F.greatest("nm0", "nm1")).alias("weight"))
+        # at most LABELLED / 2 rows, as single ones are left out: the join needs no shuffle by a hot key
+        times = small(stage(rows.groupBy(m, "kind").agg(F.count("*").alias(f"n{m}")).where(f"n{m} > 1"), "times"))
+        out = out.join(times, [m, "kind"], "left")
+    one = F.lit(1).cast("long")
+    return out.groupBy("doc_id", "kind").agg(F.max(1 / F.greatest(F.coalesce("nm0", one), F.coalesce("nm1", one))).alias("weight"))
 
 
 def _kth(rows: DataFrame, column: str, k: int) -> float:
