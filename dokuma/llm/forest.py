@@ -1,5 +1,6 @@
 """MinHash near-duplicates by an LSH forest: signatures in several sorted orders, candidates among the
-neighbours of longest common prefix, links confirmed on whole shingle sets, components over the links."""
+neighbours of longest common prefix, links confirmed on whole shingle sets, components over the links.
+Regions too large for that are compared whole, block by block, where components are left to join."""
 
 from __future__ import annotations
 
@@ -10,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dokuma.llm.common import LOWER, MULT, U64, batch_of, mix, parts, ramp, run_hash, sequence_sums, span_hash, texts, trimmed, words
+from dokuma.llm.common import LOWER, MULT, U64, batch_of, mix, parts, ramp, release, run_hash, sequence_sums, span_hash, texts, trimmed, words
 from dokuma.llm.components import components
 from dokuma.llm.suffix import row_keys
 from dokuma.session import small, stage
@@ -18,8 +19,10 @@ from dokuma.session import small, stage
 SHINGLE = 5
 #: Sorted orders, and minima in each one's key; neighbours must share the first ROOT of them.
 TREES, DEPTH, ROOT = 16, 8, 3
-#: Neighbours that are compared in a region, by the region's size: all in a small one.
+#: Neighbours that are compared in a region at first, by the region's size: all in a small one.
 NEAR, SMALL = 3, 9
+#: Rows and shingles of a block of a larger region, about, and shingles that are compared at a time.
+BLOCK_ROWS, BLOCK_SHINGLES, COLUMNS = 512, 400_000, 4096
 #: Bytes of a sketch, and how many must agree: 15 of 32 is 3.7 deviations below a similarity of 0.75.
 SKETCH, AGREE = 32, 15
 
@@ -99,9 +102,9 @@ def _orders(reps: DataFrame) -> DataFrame:
 def _neighbours(orders: DataFrame) -> DataFrame:
     """Candidate pairs a < b among the neighbours of longest common prefix; early marks the nearest
     neighbours of the first orders. The orders are sorted globally, so a region may span tasks; where a
-    region goes on in the next task, the rows at the border are paired in a second step."""
+    region goes on in the next tasks, the rows at the border are paired in a second step."""
     width = DEPTH * 4 + 1
-    names, kinds = ["a", "b", "early", "task", "edge", "v", "sketch"], [pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
+    names, kinds = ["a", "b", "early", "task", "edge", "v", "sketch"], [pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.int64(), pa.binary(), pa.binary()]
 
     def pair(v: np.ndarray, key: np.ndarray, sketch: np.ndarray, fresh: int) -> tuple[np.ndarray, ...]:
         """Pairs whose later row is among the last `fresh` ones."""
@@ -122,7 +125,13 @@ def _neighbours(orders: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        task, held, last = TaskContext.get().partitionId(), None, None
+        task, held, done = TaskContext.get().partitionId(), None, 0
+
+        def edges(rows: tuple[np.ndarray, ...], lo: int, hi: int) -> pa.RecordBatch:
+            """Rows lo to hi, of which the last is row done - 1 of the task."""
+            v, key, sketch = rows
+            return batch_of([(int(key[i]), 0, False, task, done - len(key) + i, v[i].tobytes(), sketch[i].tobytes()) for i in range(lo, hi)], names, kinds)
+
         for batch in batches:
             n = batch.num_rows
             if not n:
@@ -130,33 +139,107 @@ def _neighbours(orders: DataFrame) -> DataFrame:
             v = np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint8).reshape(n, width)
             key = batch.column(1).to_numpy(zero_copy_only=False)
             sketch = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(n, SKETCH)
-            if held is None:
-                yield batch_of([(int(key[0]), 0, False, task, 0, v[0].tobytes(), sketch[0].tobytes())], names, kinds)
-            else:
+            done += n
+            if done - n < SMALL - 1:
+                yield edges((v, key, sketch), 0, min(n, SMALL - 1 - (done - n)))
+            if held is not None:
                 v, key, sketch = (np.concatenate([h, x]) for h, x in zip(held, (v, key, sketch), strict=True))
             a, b, early = pair(v, key, sketch, n)
             held = v[-SMALL:], key[-SMALL:], sketch[-SMALL:]
-            last = (int(key[-1]), 0, False, task, 1, v[-1].tobytes(), sketch[-1].tobytes())
             m, none = len(a), [None] * len(a)
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(early), pa.array(none, pa.int32()), pa.array([2] * m, pa.int32()), pa.array(none, pa.binary()), pa.array(none, pa.binary())], names=names)
-        if last:
-            yield batch_of([last], names, kinds)
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(early), pa.array(none, pa.int32()), pa.array([-1] * m, pa.int64()), pa.array(none, pa.binary()), pa.array(none, pa.binary())], names=names)
+        if done > SMALL - 1:  # those at the start are there already
+            least = max(done - (SMALL - 1), SMALL - 1)
+            yield edges(held, len(held[1]) - (done - least), len(held[1]))
 
     spark = orders.sparkSession
     many = max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    made = stage(orders.repartitionByRange(many, "v", "key").sortWithinPartitions("v", "key").mapInArrow(trimmed(run), "a long, b long, early boolean, task int, edge int, v binary, sketch binary"), "neighbours")
+    made = stage(orders.repartitionByRange(many, "v", "key").sortWithinPartitions("v", "key").mapInArrow(trimmed(run), "a long, b long, early boolean, task int, edge long, v binary, sketch binary"), "neighbours")
 
     def border(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = sorted((r for b in batches for r in b.to_pylist()), key=lambda r: (r["task"], r["edge"]))
         found = []
-        for x, y in zip(rows, rows[1:], strict=False):
-            if x["edge"] == 1 and y["edge"] == 0 and x["v"][: 1 + 4 * ROOT] == y["v"][: 1 + 4 * ROOT] and x["a"] != y["a"] and sum(p == q for p, q in zip(x["sketch"], y["sketch"], strict=True)) >= AGREE:
-                found.append((min(x["a"], y["a"]), max(x["a"], y["a"]), x["v"][0] < NEAR))
+        for d in range(1, SMALL):
+            for x, y in zip(rows, rows[d:], strict=False):
+                if x["task"] != y["task"] and x["v"][: 1 + 4 * ROOT] == y["v"][: 1 + 4 * ROOT] and x["a"] != y["a"] and sum(p == q for p, q in zip(x["sketch"], y["sketch"], strict=True)) >= AGREE:
+                    found.append((min(x["a"], y["a"]), max(x["a"], y["a"]), x["v"][0] < NEAR and d == 1))
         yield batch_of(found, ["a", "b", "early"], [pa.int64(), pa.int64(), pa.bool_()])
 
-    # two rows for each task of the sort
-    borders = made.where("edge < 2").coalesce(1).mapInArrow(border, "a long, b long, early boolean")
-    return made.where("edge = 2").select("a", "b", "early").unionByName(borders).groupBy("a", "b").agg(F.max("early").alias("early"))
+    # SMALL - 1 rows at each end of each task of the sort
+    borders = made.where("edge >= 0").coalesce(1).mapInArrow(border, "a long, b long, early boolean")
+    return made.where("edge < 0").select("a", "b", "early").unionByName(borders).groupBy("a", "b").agg(F.max("early").alias("early"))
+
+
+def _crowds(orders: DataFrame) -> DataFrame:
+    """region, key: the rows of the regions of more than SMALL rows."""
+    rows = orders.select(F.xxhash64(F.substring("v", 1, 1 + 4 * ROOT)).alias("region"), "key")
+    large = stage(rows.groupBy("region").count().where(F.col("count") > SMALL).select("region"), "regions")
+    return stage(rows.join(small(large), "region"), "crowds")
+
+
+def _wide(body: bytes) -> np.ndarray:
+    out = np.zeros((len(body) // 5, 8), np.uint8)
+    out[:, 3:] = np.frombuffer(body, np.uint8).reshape(-1, 5)
+    return out.view(">u8").ravel().astype(np.int64)
+
+
+def common_counts(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
+    """How many values each set of x shares with each of y."""
+    sizes = np.array([len(s) for s in (*x, *y)])
+    _, column, times = np.unique(np.concatenate([*x, *y]), return_inverse=True, return_counts=True)
+    row, keep = np.repeat(np.arange(len(sizes)), sizes), times[column] > 1
+    row, column = row[keep], (np.cumsum(times > 1) - 1)[column[keep]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    total = np.zeros((len(x), len(y)), np.float32)  # whole numbers, exact up to 2^24
+    for lo in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+        a, b = np.searchsorted(column, [lo, lo + COLUMNS])
+        has = np.zeros((len(sizes), COLUMNS), np.float32)
+        has[row[a:b], column[a:b] - lo] = 1
+        total += has[: len(x)] @ has[len(x) :].T
+    return total.astype(np.int64)
+
+
+def _join_crowds(crowds: DataFrame, roots: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between components that lie in one large region: all its rows are compared on whole sets.
+
+    Rows are dealt to blocks by hash and each two blocks are a task's group, so a hot region is many groups."""
+
+    def run(table: pa.Table) -> pa.Table:
+        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
+        block, root, n = (table.column(c).to_numpy() for c in ("block", "root", "n"))
+        bodies = table.column("body").to_pylist()
+        x, y = np.flatnonzero(block == i), np.flatnonzero(block == j)
+        links = []
+        if len(x) and len(y) and (root != root[0]).any():
+            sets_ = [_wide(b) for b in bodies]
+            common = common_counts([sets_[k] for k in x], [sets_[k] for k in y])
+            hit = (100 * common >= percent * (n[x][:, None] + n[y][None] - common)) & (root[x][:, None] != root[y][None])
+            p, q = np.nonzero(hit)
+            pairs = np.unique(np.sort(np.stack([root[x[p]], root[y[q]]], 1), 1), axis=0)
+            least: dict[int, int] = {}
+
+            def find(k: int) -> int:
+                while least.get(k, k) != k:
+                    k = least[k] = least.get(least[k], least[k])
+                return k
+
+            for a, b in pairs.tolist():  # only the links that join
+                if (u := find(a)) != (w := find(b)):
+                    least[max(u, w)] = min(u, w)
+                    links.append((a, b))
+        release()
+        return pa.Table.from_batches([batch_of(links, ["a", "b"], [pa.int64(), pa.int64()])])
+
+    joined = crowds.join(roots, F.col("key") == F.col("node"), "left").select("region", "key", F.coalesce("root", "key").alias("root"))
+    rows = joined.join(sets, "key")
+    live = rows.groupBy("region").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("m"), F.sum("n").alias("s")).where("lo <> hi")
+    blocks = F.greatest(F.ceil(F.col("m") / BLOCK_ROWS), F.ceil(F.col("s") / BLOCK_SHINGLES)).cast("int")
+    live = small(stage(live.select("region", blocks.alias("blocks")), "live"))
+    dealt = rows.join(live, "region").withColumn("block", F.pmod(F.xxhash64("key"), "blocks").cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("region", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "root", "n", "body")
+    return dealt.groupBy("region", "i", "j").applyInArrow(run, "a long, b long").distinct()
 
 
 def _sets(keyed: DataFrame, involved: DataFrame) -> DataFrame:
@@ -177,19 +260,14 @@ def _sets(keyed: DataFrame, involved: DataFrame) -> DataFrame:
 def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs whose whole sets have 100 * intersection >= percent * union."""
 
-    def wide(body: bytes) -> np.ndarray:
-        out = np.zeros((len(body) // 5, 8), np.uint8)
-        out[:, 3:] = np.frombuffer(body, np.uint8).reshape(-1, 5)
-        return out.view(">u8").ravel().astype(np.int64)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b, n, m, x, y = (batch.column(i).to_pylist() for i in range(6))
             rows, kept, of = [], None, None
             for i in range(len(a)):
                 if of != a[i]:
-                    of, kept = a[i], wide(x[i])
-                both = np.sort(np.concatenate([kept, wide(y[i])]))
+                    of, kept = a[i], _wide(x[i])
+                both = np.sort(np.concatenate([kept, _wide(y[i])]))
                 common = int((both[1:] == both[:-1]).sum())
                 if 100 * common >= percent * (n[i] + m[i] - common):
                     rows.append((a[i], b[i]))
@@ -207,8 +285,8 @@ def _roots(keyed: DataFrame, percent: int) -> DataFrame:
     """_key, n (set size) and _root (the least key of its component) of every row."""
     about = stage(_describe(keyed), "signatures")
     classes = stage(about.where("n > 0").groupBy("d1", "d2").agg(F.min(F.struct("_key", "sig")).alias("r")).select("d1", "d2", F.col("r._key").alias("_key"), F.col("r.sig").alias("sig")), "classes")
-    pairs = stage(_neighbours(_orders(classes)), "pairs")
-    sets = _sets(keyed, pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct())
+    pairs, crowds = stage(_neighbours(_orders(classes)), "pairs"), _crowds(_orders(classes))
+    sets = _sets(keyed, pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).unionByName(crowds.select("key")).distinct())
     early = stage(_confirm(pairs.where("early"), sets, percent), "early")
     roots = stage(components(early), "roots")
     # what is not joined yet: the other candidates across components
@@ -216,8 +294,13 @@ def _roots(keyed: DataFrame, percent: int) -> DataFrame:
     rest = pairs.where("not early").join(root("a", "ra"), "a", "left").join(root("b", "rb"), "b", "left")
     rest = rest.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
     late = stage(_confirm(rest, sets, percent), "late")
+    joined = lambda links: stage(components(links.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))), "roots")
     if not late.isEmpty():
-        roots = stage(components(late.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))), "roots")
+        roots = joined(late)
+    # what neighbours alone do not find in a large region
+    crowded = stage(_join_crowds(crowds, roots, sets, percent), "crowded")
+    if not crowded.isEmpty():
+        roots = joined(crowded)
     final = classes.join(roots, F.col("_key") == F.col("node"), "left").select("d1", "d2", F.coalesce("root", "_key").alias("_root"))
     return about.where("n > 0").join(final, ["d1", "d2"]).select("_key", "n", "_root").unionByName(about.where("n = 0").select("_key", "n", F.col("_key").alias("_root")))
 

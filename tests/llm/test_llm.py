@@ -175,6 +175,34 @@ def test_near_duplicates(docs, empty, rows):
     assert Counter(r["doc_id"] for r in kept.collect()) == Counter(d for d, (_, _, k) in expected.items() if k)
 
 
+def test_near_duplicates_in_a_crowd(spark):
+    """Boilerplate puts hundreds of texts just under the threshold to each other and hides the partners."""
+    rng = random.Random(21)
+    word = lambda: "".join(rng.choices("abcdefghij", k=6))
+    boilerplate, crowd, expected = [word() for _ in range(160)], [], {}
+    for i in range(1200):
+        own = [word() for _ in range(29)]
+        crowd.append((i, " ".join(boilerplate + own)))  # 156 of 214 shingles in common with the others
+        expected[i] = (185, i, True)
+        if i % 30 == 0:  # 160 of 210 in common with the partner
+            crowd.append((9000 - i, " ".join(boilerplate + own[:4] + [word() for _ in range(25)])))
+            expected[9000 - i] = (185, i, False)
+    got = forest.near_duplicates(spark.createDataFrame(crowd, "doc_id long, text string").repartition(4))
+    assert by_id(got, "n_shingles", "component_id", "kept") == expected
+
+
+def test_neighbours_across_tasks(spark):
+    rows = [(bytes([0]) + b"\1" * 32, i, b"s" * 32) for i in range(9)]
+    orders = spark.createDataFrame(rows, "v binary, key long, sketch binary")
+    assert {(r["a"], r["b"]) for r in forest._neighbours(orders).collect()} == {(i, j) for i in range(9) for j in range(i + 1, 9)}
+
+
+def test_common_counts():
+    rng = np.random.default_rng(22)
+    x, y = ([np.unique(rng.integers(0, 9000, rng.integers(1, 6000))) for _ in range(n)] for n in (7, 5))
+    assert forest.common_counts(x, y).tolist() == [[len(np.intersect1d(a, b)) for b in y] for a in x]
+
+
 def test_components(spark):
     rng = random.Random(2)
     path = [(i, i + 1) for i in range(200)] + [(1000 + i, 1000 + rng.randrange(i)) for i in range(1, 60)] + [(5000, 5000), (6001, 6000), (6000, 6001)]
