@@ -25,7 +25,7 @@ def op3_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_line_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lines.line_dedup(table(spark, sf_dir, "documents"))
+    return lines.line_dedup(table(spark, sf_dir, "documents"), least_words=1)
 
 
 def op5_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:

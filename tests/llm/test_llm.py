@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from dokuma.llm import bpe, common, decontaminate, forest, fst, lines, pitman_yor, resample, sharding, suffix, topk
+from dokuma.llm import queries as llm_queries
 from dokuma.llm.components import components
 
 RANKS, JSON = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.path("byte_bpe_50k.json")
@@ -99,6 +100,15 @@ def test_line_dedup(docs, empty, rows):
     assert lines.line_dedup(empty).count() == 0
 
 
+def test_registered_line_dedup_takes_short_lines(spark, tmp_path):
+    """Menu lines and lines without spaces go where they repeat; blank lines stay."""
+    text = ["Home\n\nAbout us\nfirst text\n", "home\n\nabout  us\n日本語の長い行です。\n", "日本語の長い行です。\n\n \nlast text"]
+    spark.createDataFrame(list(enumerate(text)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = by_id(llm_queries.op4_line_hashing(spark, str(tmp_path)), "n_removed", "removed")
+    size = len("日本語の長い行です。\n".encode())
+    assert {d: (n, [tuple(s) for s in spans]) for d, (n, spans) in got.items()} == {0: (0, []), 1: (15, [(0, 5), (6, 16)]), 2: (size, [(0, size)])}
+
+
 def repeats(rows, least=100):
     seen, out = set(), {}
     for d, t in sorted(set(rows), key=lambda r: (r[0] is not None, r[0] or 0)):
