@@ -13,13 +13,17 @@ from pyspark.sql import functions as F
 from dokuma.llm.common import LOWER, U64, batch_of, mix, parts, span_hash, texts, trimmed
 from dokuma.session import small, stage
 
-#: Words of a seed; of this many seeds in a row of an item, the rarest in the corpus is looked for.
-SEED, RARE = 3, 4
+#: Words of a seed; of this many seeds in a row of an item, the rarest in the corpus is looked for, and so
+#: is every seed that occurs up to COMMON times: of an edited copy the rarest ones may be gone.
+SEED, RARE, COMMON = 3, 4, 1000
 #: Items are taken so many words at a time: what is broadcast stays bounded, however many items there are.
 BLOCK_WORDS = 1_000_000
 #: Score of an alignment (1 for a word in common, -1 for a change or a gap) over the item's words, and
 #: words in common, from which on a passage counts as a copy. Shorter items must match as a whole.
 SHARE, LEAST_WORDS = 0.5, 8
+#: Or, whatever the item's length: words in common, and their share of the aligned span (words in common,
+#: changes and gaps), from which on a passage counts as an excerpt.
+EXCERPT, IDENTITY = 13, 0.55
 
 WORD = np.zeros(256, bool)
 WORD[128:] = True
@@ -128,12 +132,13 @@ def _corpus_counts(docs: DataFrame, wanted: np.ndarray) -> np.ndarray:
 
 
 def _rarest(items: dict[int, np.ndarray], counts: dict[int, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Seeds to look for: hash, item and place. Of every RARE seeds in a row the rarest is one."""
+    """Seeds to look for: hash, item and place. Of every RARE seeds in a row the rarest is one, as are all of
+    up to COMMON occurrences."""
     out = []
     for item, words in items.items():
         own = seeds(words)
         n = np.array([counts[h] for h in own.tolist()])
-        picked = set()
+        picked = set(np.flatnonzero((n > 0) & (n <= COMMON)).tolist())
         for lo in range(max(len(own) - RARE + 1, 1) if len(own) else 0):
             picked.add(lo + int(np.argmin(n[lo : lo + RARE])))
         out += [(int(own[p]), item, p) for p in sorted(picked)]
@@ -190,7 +195,8 @@ def _leaks(docs: DataFrame, items: dict[int, np.ndarray]) -> DataFrame:
                     score, hits, begin, stop = align([words_of[i] for _, i, _, _ in some], [w[a:b] for _, _, a, b in some])
                     for (doc, item, a, _), sc, n, x, y in zip(some, score.tolist(), hits.tolist(), begin.tolist(), stop.tolist(), strict=True):
                         size = len(words_of[item])
-                        if sc >= SHARE * size and n >= min(LEAST_WORDS, size):
+                        # n - sc changes and gaps
+                        if sc >= SHARE * size and n >= min(LEAST_WORDS, size) or n >= EXCERPT and n >= IDENTITY * (2 * n - sc):
                             rows.append((ids[lo + doc], item, sc / size, n, size, int(starts[a + x] - own[doc]), int(ends[a + y - 1] - own[doc])))
                 if rows:
                     yield batch_of(rows, names, kinds)
@@ -201,6 +207,7 @@ def _leaks(docs: DataFrame, items: dict[int, np.ndarray]) -> DataFrame:
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """One row for each (document, item) of which some passage is a copy: doc_id, item_id, score (alignment
     score over the item's words), matched_words, item_words, start and end (bytes of the passage in the text).
+    A copy has a score of SHARE, or is an excerpt: EXCERPT words in common at IDENTITY within the passage.
 
     Null or empty texts and items take no part, nor do items of fewer than SEED words. Of several passages
     the best counts, ties to the earlier one. Items with one id are each looked for, and the best counts.

@@ -371,6 +371,17 @@ def test_leaks(spark, empty):
     assert decontaminate.leaks(empty, bench).count() == 0 and decontaminate.leaks(docs, bench.limit(0)).count() == 0
 
 
+def test_leaks_of_excerpts_and_heavy_edits(spark):
+    rng = random.Random(23)
+    word = lambda: "".join(rng.choices("abcdefghij", k=5))
+    item = [word() for _ in range(400)]
+    edited = lambda w, n: [word() if k % 10 in range(10 - n, 10) else x for k, x in enumerate(w)]
+    passages = [item[100:290], item[50:79], item[7:20], edited(item, 3), edited(item[:60], 4), item, item[30:36]]
+    rows = [(d, " ".join([word() for _ in range(50)] + p + [word() for _ in range(50)])) for d, p in enumerate(passages)]
+    found = decontaminate.leaks(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")).collect()
+    assert {r["doc_id"] for r in found} == {0, 1, 2, 3, 4, 5}  # six words are no excerpt
+
+
 def test_resampling(spark, empty):
     rng = random.Random(13)
     plain = [f"w{i}" for i in range(400)]
