@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import os
+import re
 import tempfile
 import uuid
 
@@ -32,6 +33,8 @@ def shared_dir(spark: SparkSession) -> str:
         made = spark.sparkContext._jsc.sc().getCheckpointDir()
         if made.isDefined():
             return made.get()
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = tempfile.mkdtemp(prefix="dokuma-checkpoint-")
         spark.sparkContext.setCheckpointDir(f"file://{found}")
         return f"file://{found}"
@@ -65,14 +68,64 @@ def forget(*staged: DataFrame) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-#: Rows of a few numbers each (16 MB at most) up to which a side is broadcast.
-BROADCAST_ROWS = 500_000
-
-
-def small(df: DataFrame) -> DataFrame:
-    """df, which is already computed and holds a few numbers a row, marked for broadcast if it has at most
-    BROADCAST_ROWS rows; larger ones are left to a shuffle."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+#: Rows that one bitmap stands for, and bytes of the bitmaps that are broadcast at a time.
+BITS, BITMAPS = 32768, 64 << 20
+
+
+def free_name(wish: str, *taken: str) -> str:
+    """wish, or wish with underscores before it until no column in `taken` has that name."""
+    used = {c.lower() for c in taken}
+    while wish.lower() in used:
+        wish = f"_{wish}"
+    return wish
+
+
+class Rows:
+    """A table written to the shared folder, whose rows have a number each (column `id`), and from which
+    subsets are read back without a shuffle of its rows.
+
+    A row's number holds its file and its place in it. A subset is a bitmap over the places: 4 kB for 32768
+    rows of a file. Bitmaps are broadcast BITMAPS bytes at a time, each time for the files that they are
+    about, so the plan is the same for a table of any size and what is broadcast stays bounded.
+    """
+
+    def __init__(self, df: DataFrame, name: str = "rows"):
+        self.columns, self.id = df.columns, free_name("_row", *df.columns)
+        self.df = stage(df.withColumn(self.id, F.monotonically_increasing_id()), name)
+        spark, path = df.sparkSession, self.df._staged_at
+        place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        files = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(place)
+        self._files: dict[int, list[str]] = {}
+        for f in files:
+            named = re.match(r"part-(\d+)-", f.getPath().getName())
+            if named:
+                self._files.setdefault(int(named[1]), []).append(f.getPath().toString())
+
+    def where(self, marked: DataFrame, keep: bool = True) -> DataFrame:
+        """The rows whose numbers are (or, if not `keep`, are not) in `marked`, a table of one column."""
+        number = F.col(marked.columns[0])
+        bucket, bits = free_name("_bucket", *self.df.columns), free_name("_bits", *self.df.columns)
+        maps = marked.select(F.floor(number / BITS).alias(bucket), (number % BITS).alias("at"))
+        maps = stage(maps.groupBy(bucket).agg(F.bitmap_construct_agg("at").alias(bits)), "bitmaps")
+        # a count for each file
+        sizes = {r[0]: r[1] for r in maps.groupBy(F.shiftright(bucket, 18).alias("file")).count().collect()}
+        blocks, held = [[]], 0
+        for file in sorted(self._files):
+            if held and held + sizes.get(file, 0) > BITMAPS // (BITS // 8):
+                blocks, held = [*blocks, []], 0
+            blocks[-1].append(file)
+            held += sizes.get(file, 0)
+        out = None
+        for block in blocks:
+            rows = self.df if len(blocks) == 1 else self.df.sparkSession.read.schema(self.df.schema).parquet(*(f for k in block for f in self._files[k]))
+            own = maps if len(blocks) == 1 else maps.where(F.col(bucket).between(block[0] << 18, (block[-1] + 1 << 18) - 1))
+            at = F.col(self.id) % BITS
+            byte = F.conv(F.hex(F.substring(F.col(bits), F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("long")
+            hit = F.coalesce(F.getbit(byte, (at % 8).cast("int")) == 1, F.lit(False))
+            joined = rows.withColumn(bucket, F.floor(F.col(self.id) / BITS)).join(F.broadcast(own), bucket, "left")
+            some = joined.where(hit if keep else ~hit).select(*self.df.columns)
+            out = some if out is None else out.unionByName(some)
+        return out
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
