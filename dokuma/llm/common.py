@@ -9,6 +9,8 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import Column
+from pyspark.sql import functions as F
 
 U64 = np.uint64
 #: Bytes of text that one numpy pass takes at once; a longer text forms a part of its own.
@@ -185,3 +187,36 @@ def release() -> None:
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):  # not the GNU C library
         ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+#: What numpy tables and rows call the two parts of a document's key, and what sets null ids apart.
+KEY = [("key", "<i8"), ("tie", "<i8")]
+_SIGN = -(2**63)
+
+
+def key_columns(id_col: str = "doc_id", text: str = "text") -> tuple[Column, Column]:
+    """key and tie, two longs that together order rows as (id, hash of the text) do, null ids first. They are
+    equal for equal (id, text) only, up to chance collisions of 63 bits among the texts of one id."""
+    h = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+    number = F.col(id_col).cast("long")
+    tie = F.when(number.isNull(), h.bitwiseOR(F.lit(_SIGN))).otherwise(h.bitwiseAND(F.lit(2**63 - 1)))
+    return F.coalesce(number, F.lit(_SIGN)), tie
+
+
+def by_key(table: np.ndarray, key: np.ndarray, tie: np.ndarray) -> Iterator[tuple[int, int, bytes]]:
+    """(key, tie, packed rows) of each document that has any."""
+    if not len(table):
+        return
+    order = np.lexsort((tie, key))
+    table, key, tie = table[order], key[order], tie[order]
+    edges = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (tie[1:] != tie[:-1])]))
+    for a, b in zip(edges, [*edges[1:], len(key)], strict=True):
+        yield int(key[a]), int(tie[a]), pack(table[a:b])
+
+
+def keyed_blob(key: int, tie: int, blob: bytes) -> bytes:
+    return key.to_bytes(8, "little", signed=True) + tie.to_bytes(8, "little", signed=True) + blob
+
+
+def split_blob(blob: bytes) -> tuple[int, int, bytes]:
+    return int.from_bytes(blob[:8], "little", signed=True), int.from_bytes(blob[8:16], "little", signed=True), blob[16:]

@@ -7,23 +7,38 @@ from pyspark.sql import functions as F
 
 from dokuma.session import stage
 
+#: Links of one node that a task takes, about; a node with more is spread over several.
+HUB = 100_000
 
-def components(links: DataFrame, rounds: int = 60) -> DataFrame:
+
+def _with_least(links: DataFrame, least: DataFrame, hub: int) -> DataFrame:
+    """u, v, m: each link with its u's least neighbour; least: u, m, n (links of u). A hub's links are salted and
+    its row copied, so that they meet in many tasks. Hubs are few: two for every `hub` links at most."""
+    salts = F.ceil(F.col("n") / hub).cast("int")
+    hubs = least.where(F.col("n") > hub).select("u", salts.alias("copies"))
+    one = F.lit(1)
+    spread = links.join(hubs, "u", "left").select("u", "v", F.pmod(F.xxhash64("v"), F.coalesce("copies", one)).cast("int").alias("salt"))
+    copied = least.select("u", "m", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
+    return spread.join(copied, ["u", "salt"]).select("u", "v", "m")
+
+
+def components(links: DataFrame, rounds: int = 60, hub: int = HUB) -> DataFrame:
     """node, root of every node that some link (a, b) names; root is the least node of its component.
 
-    Each step joins the links with each node's least neighbour, so no node's neighbours are gathered in
-    one task; the number of steps grows with the logarithm of the longest path.
+    Each step joins the links with each node's least neighbour; a node's links are spread over as many tasks
+    as they need, and the number of steps grows with the logarithm of the longest path. Links of a node
+    with itself, repeated and reversed links are allowed; no links give an empty table.
     """
     edges = stage(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "links")
     seen = None
     for _ in range(rounds):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
         # large star: larger neighbours move to the least one
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = _with_least(both, least, hub).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         # small star: smaller neighbours and the node itself move to the least one
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(low.select("u", F.col("m").alias("v"))).distinct()
+        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        small = _with_least(large, low, hub).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(low.select("u", F.col("m").alias("v"))).distinct()
         edges = stage(small, "star")
         now = edges.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")), F.lit(0))).first()
         if seen == tuple(now):

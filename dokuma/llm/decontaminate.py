@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from dokuma.llm.common import LOWER, U64, batch_of, mix, parts, span_hash, texts, trimmed
-from dokuma.session import small, stage
+from dokuma.session import Rows, stage
 
 #: Words of a seed; of this many seeds in a row of an item, the rarest in the corpus is looked for, and so
 #: is every seed that occurs up to COMMON times: of an edited copy the rarest ones may be gone.
@@ -238,6 +238,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents without a copy of any item."""
-    bad = small(leaks(docs, benchmark).select("doc_id").distinct())
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["doc_id"]), "left_anti")
+    """The documents without a copy of any item, with all their columns, whatever their names. Each row is judged
+    by its own text, so null and repeated ids are allowed; null and empty texts stay; repeated rows share
+    their fate; an empty table gives an empty table, and without items all rows stay."""
+    rows = Rows(docs, "texts")
+    found = leaks(rows.df.select(F.col(rows.id).alias("doc_id"), "text"), benchmark)
+    return rows.where(found.select("doc_id"), keep=False).select(*docs.columns)

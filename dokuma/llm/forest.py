@@ -1,6 +1,9 @@
 """MinHash near-duplicates by an LSH forest: signatures in several sorted orders, candidates among the
 neighbours of longest common prefix, links confirmed on whole shingle sets, components over the links.
-Regions too large for that are compared whole, block by block, where components are left to join."""
+
+The depth adapts to the region: a region (rows that share so many minima) is descended into until what is left
+is small enough for all its pairs. What shares only a crowded region is then compared whole, block by
+block, where components are left to join. Rows of equal sets are one node, known by one row's number."""
 
 from __future__ import annotations
 
@@ -11,16 +14,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dokuma.llm.common import LOWER, MULT, U64, batch_of, mix, parts, ramp, release, run_hash, sequence_sums, span_hash, texts, trimmed, words
+from dokuma.llm.common import LOWER, U64, batch_of, key_columns, mix, parts, ramp, release, run_hash, sequence_sums, span_hash, texts, trimmed, words
 from dokuma.llm.components import components
-from dokuma.llm.suffix import row_keys
-from dokuma.session import small, stage
+from dokuma.session import Rows, stage
 
 SHINGLE = 5
 #: Sorted orders, and minima in each one's key; neighbours must share the first ROOT of them.
 TREES, DEPTH, ROOT = 16, 8, 3
-#: Neighbours that are compared in a region at first, by the region's size: all in a small one.
-NEAR, SMALL = 3, 9
+#: Rows of a region up to which all its pairs are candidates; in a larger one that has no smaller region
+#: within, so many nearest neighbours are, and the rest are compared in blocks.
+SMALL, NEAR = 9, 3
 #: Rows and shingles of a block of a larger region, about, and shingles that are compared at a time.
 BLOCK_ROWS, BLOCK_SHINGLES, COLUMNS = 512, 400_000, 4096
 #: Bytes of a sketch, and how many must agree: 15 of 32 is 3.7 deviations below a similarity of 0.75.
@@ -61,12 +64,12 @@ def signatures(hashes: np.ndarray, at: np.ndarray) -> np.ndarray:
     return out
 
 
-def _describe(keyed: DataFrame) -> DataFrame:
-    """_key, n (set size), d1 and d2 (a digest of the set), sig (minima, big-endian)."""
+def _describe(rows: DataFrame) -> DataFrame:
+    """row, doc_id, tie, n (set size), d1 and d2 (a digest of the set), sig (minima, big-endian)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            offsets, data = texts(batch.column(1))
+            offsets, data = texts(batch.column(3))
             for lo, hi in parts(offsets):
                 hashes, at = shingles(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
                 digests = []
@@ -74,9 +77,10 @@ def _describe(keyed: DataFrame) -> DataFrame:
                     sums = np.concatenate([np.zeros(1, U64), np.cumsum(mix(hashes ^ seed), dtype=U64)])
                     digests.append(pa.array(mix(sums[at[1:]] - sums[at[:-1]]).astype(np.int64), pa.int64()))
                 sig = signatures(hashes, at).astype(">u4")
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(np.diff(at), pa.int64()), *digests, pa.array([r.tobytes() for r in sig], pa.binary())], names=["_key", "n", "d1", "d2", "sig"])
+                kept = [batch.column(i).slice(lo, hi - lo) for i in range(3)]
+                yield pa.RecordBatch.from_arrays([*kept, pa.array(np.diff(at), pa.int64()), *digests, pa.array([r.tobytes() for r in sig], pa.binary())], names=["row", "doc_id", "tie", "n", "d1", "d2", "sig"])
 
-    return keyed.select("_key", "text").mapInArrow(trimmed(run), "_key long, n long, d1 long, d2 long, sig binary")
+    return rows.mapInArrow(trimmed(run), "row long, doc_id long, tie long, n long, d1 long, d2 long, sig binary")
 
 
 def _orders(reps: DataFrame) -> DataFrame:
@@ -96,7 +100,7 @@ def _orders(reps: DataFrame) -> DataFrame:
             fixed = lambda a, w: pa.Array.from_buffers(pa.binary(w), a.size // w, [None, pa.py_buffer(np.ascontiguousarray(a))]).cast(pa.binary())
             yield pa.RecordBatch.from_arrays([fixed(v, DEPTH * 4 + 1), pa.array(key), fixed(np.repeat(sketch, TREES, 0), SKETCH)], names=["v", "key", "sketch"])
 
-    return reps.select("_key", "sig").mapInArrow(trimmed(run), "v binary, key long, sketch binary")
+    return reps.select("node", "sig").mapInArrow(trimmed(run), "v binary, key long, sketch binary")
 
 
 def _neighbours(orders: DataFrame) -> DataFrame:
@@ -109,14 +113,20 @@ def _neighbours(orders: DataFrame) -> DataFrame:
     def pair(v: np.ndarray, key: np.ndarray, sketch: np.ndarray, fresh: int) -> tuple[np.ndarray, ...]:
         """Pairs whose later row is among the last `fresh` ones."""
         n = len(key)
-        root = v[:, : 1 + 4 * ROOT]
-        same = (root[1:] == root[:-1]).all(1)
-        run = np.concatenate([[0], np.cumsum(~same)])
-        size = np.bincount(run)[run]
+        # minima in common with the row before, and the regions of each depth
+        same = (v[1:, 1:] == v[:-1, 1:]).reshape(n - 1, DEPTH, 4).all(2)
+        shared = np.where(v[1:, 0] == v[:-1, 0], np.cumprod(same, 1).sum(1), -1)
+        regions = []
+        for depth in range(ROOT, DEPTH + 1):
+            run = np.concatenate([[0], np.cumsum(shared < depth)])
+            regions.append((run, np.bincount(run)[run] <= SMALL))
         found = []
         for d in range(1, SMALL):
             later = np.arange(max(d, n - fresh), n)
-            later = later[(run[later] == run[later - d]) & ((size[later] <= SMALL) | (d <= NEAR))]
+            fits = np.zeros(len(later), bool)
+            for depth, (run, few) in enumerate(regions):
+                fits |= (run[later] == run[later - d]) & (few[later] | (depth == 0 and d <= NEAR))
+            later = later[fits]
             later = later[((sketch[later] == sketch[later - d]).sum(1) >= AGREE) & (key[later] != key[later - d])]
             found.append((key[later - d], key[later], (v[later, 0] < NEAR) & (d == 1)))
         a, b, early = (np.concatenate(x) for x in zip(*found, strict=True))
@@ -172,15 +182,13 @@ def _neighbours(orders: DataFrame) -> DataFrame:
 
 def _crowds(orders: DataFrame) -> DataFrame:
     """region, key: the rows of the regions of more than SMALL rows."""
-    rows = orders.select(F.xxhash64(F.substring("v", 1, 1 + 4 * ROOT)).alias("region"), "key")
-    large = stage(rows.groupBy("region").count().where(F.col("count") > SMALL).select("region"), "regions")
-    return stage(rows.join(small(large), "region"), "crowds")
+    rows = stage(orders.select(F.xxhash64(F.substring("v", 1, 1 + 4 * ROOT)).alias("region"), "key"), "regions")
+    large = rows.groupBy("region").count().where(F.col("count") > SMALL).select("region")
+    return stage(rows.join(large, "region"), "crowds")
 
 
 def _wide(body: bytes) -> np.ndarray:
-    out = np.zeros((len(body) // 5, 8), np.uint8)
-    out[:, 3:] = np.frombuffer(body, np.uint8).reshape(-1, 5)
-    return out.view(">u8").ravel().astype(np.int64)
+    return np.frombuffer(body, ">u8").astype(U64)
 
 
 def common_counts(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
@@ -231,30 +239,33 @@ def _join_crowds(crowds: DataFrame, roots: DataFrame, sets: DataFrame, percent:
         release()
         return pa.Table.from_batches([batch_of(links, ["a", "b"], [pa.int64(), pa.int64()])])
 
-    joined = crowds.join(roots, F.col("key") == F.col("node"), "left").select("region", "key", F.coalesce("root", "key").alias("root"))
-    rows = joined.join(sets, "key")
-    live = rows.groupBy("region").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("m"), F.sum("n").alias("s")).where("lo <> hi")
-    blocks = F.greatest(F.ceil(F.col("m") / BLOCK_ROWS), F.ceil(F.col("s") / BLOCK_SHINGLES)).cast("int")
-    live = small(stage(live.select("region", blocks.alias("blocks")), "live"))
-    dealt = rows.join(live, "region").withColumn("block", F.pmod(F.xxhash64("key"), "blocks").cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("region", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "root", "n", "body")
+    joined = stage(crowds.join(roots, F.col("key") == F.col("node"), "left").select("region", "key", F.coalesce("root", "key").alias("root")).join(sets.select("key", "n"), "key"), "joined")
+    # rows of a region's largest component need no comparison with each other
+    sizes = joined.groupBy("region", "root").agg(F.count("*").alias("m"), F.sum("n").alias("s"))
+    of = sizes.groupBy("region").agg(F.max(F.struct("m", "root", "s")).alias("top"), F.sum("m").alias("m"), F.sum("s").alias("s"), F.count("*").alias("roots")).where("roots > 1")
+    blocks = lambda m, s: F.greatest(F.ceil(m / BLOCK_ROWS), F.ceil(s / BLOCK_SHINGLES)).cast("int")
+    live = stage(of.select("region", F.col("top.root").alias("giant"), blocks(F.col("top.m"), F.col("top.s")).alias("big"), blocks(F.col("m") - F.col("top.m"), F.col("s") - F.col("top.s")).alias("rest")), "live")
+    dealt = joined.drop("n").join(live, "region")
+    inner = F.col("root") == F.col("giant")
+    dealt = dealt.withColumn("block", F.when(inner, F.pmod(F.xxhash64("key"), "big")).otherwise(F.col("big") + F.pmod(F.xxhash64("key"), "rest")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.when(inner, F.col("big")).otherwise(F.lit(0)), F.col("big") + F.col("rest") - 1)))
+    dealt = dealt.select("key", "region", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "root")
+    dealt = dealt.join(sets, "key").select("region", "i", "j", "block", "root", "n", "body")
     return dealt.groupBy("region", "i", "j").applyInArrow(run, "a long, b long").distinct()
 
 
-def _sets(keyed: DataFrame, involved: DataFrame) -> DataFrame:
-    """Shingle sets (40 bits of each hash, in rising order) of the rows that candidates name."""
+def _sets(rows: Rows, involved: DataFrame) -> DataFrame:
+    """Whole shingle sets (hashes of 64 bits, in rising order) of the rows that candidates name."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             offsets, data = texts(batch.column(1))
             for lo, hi in parts(offsets):
                 hashes, at = shingles(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
-                body = np.ascontiguousarray((hashes >> U64(24)).astype(">u8").view(np.uint8).reshape(-1, 8)[:, 3:]).tobytes()
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(np.diff(at), pa.int64()), pa.array([body[5 * x : 5 * y] for x, y in zip(at, at[1:], strict=False)], pa.binary())], names=["key", "n", "body"])
+                body = hashes.astype(">u8").tobytes()
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(np.diff(at), pa.int64()), pa.array([body[8 * x : 8 * y] for x, y in zip(at, at[1:], strict=False)], pa.binary())], names=["key", "n", "body"])
 
-    texts_ = keyed.select("_key", "text").join(small(stage(involved, "involved")), F.col("_key") == F.col("key"), "left_semi")
-    return stage(texts_.mapInArrow(trimmed(run), "key long, n long, body binary").dropDuplicates(["key"]), "sets")
+    return stage(rows.where(involved).select(rows.id, "text").mapInArrow(trimmed(run), "key long, n long, body binary"), "sets")
 
 
 def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -281,12 +292,15 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(trimmed(run), "a long, b long")
 
 
-def _roots(keyed: DataFrame, percent: int) -> DataFrame:
-    """_key, n (set size) and _root (the least key of its component) of every row."""
-    about = stage(_describe(keyed), "signatures")
-    classes = stage(about.where("n > 0").groupBy("d1", "d2").agg(F.min(F.struct("_key", "sig")).alias("r")).select("d1", "d2", F.col("r._key").alias("_key"), F.col("r.sig").alias("sig")), "classes")
+def _components(rows: Rows, percent: int) -> tuple[DataFrame, DataFrame]:
+    """What is known of each row (row, doc_id, tie, n, d1, d2), and of each class of equal sets: d1, d2 and `least`,
+    the first row (doc_id, tie, row; null ids first) of its component."""
+    _, tie = key_columns()
+    about = stage(_describe(rows.df.select(F.col(rows.id).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), tie.alias("tie"), "text")), "signatures")
+    order = F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", "tie", "row")
+    classes = stage(about.where("n > 0").groupBy("d1", "d2").agg(F.min(F.struct("row", "sig")).alias("r"), F.min(order).alias("least")).select("d1", "d2", F.col("r.row").alias("node"), F.col("r.sig").alias("sig"), "least"), "classes")
     pairs, crowds = stage(_neighbours(_orders(classes)), "pairs"), _crowds(_orders(classes))
-    sets = _sets(keyed, pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).unionByName(crowds.select("key")).distinct())
+    sets = _sets(rows, pairs.select("a").unionByName(pairs.select(F.col("b").alias("a"))).unionByName(crowds.select(F.col("key").alias("a"))))
     early = stage(_confirm(pairs.where("early"), sets, percent), "early")
     roots = stage(components(early), "roots")
     # what is not joined yet: the other candidates across components
@@ -297,36 +311,36 @@ def _roots(keyed: DataFrame, percent: int) -> DataFrame:
     joined = lambda links: stage(components(links.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))), "roots")
     if not late.isEmpty():
         roots = joined(late)
-    # what neighbours alone do not find in a large region
+    # what neighbours alone do not find in a crowded region
     crowded = stage(_join_crowds(crowds, roots, sets, percent), "crowded")
     if not crowded.isEmpty():
         roots = joined(crowded)
-    final = classes.join(roots, F.col("_key") == F.col("node"), "left").select("d1", "d2", F.coalesce("root", "_key").alias("_root"))
-    return about.where("n > 0").join(final, ["d1", "d2"]).select("_key", "n", "_root").unionByName(about.where("n = 0").select("_key", "n", F.col("_key").alias("_root")))
+    rooted = stage(classes.select("d1", "d2", "node", "least").join(roots, "node", "left").select("d1", "d2", F.coalesce("root", "node").alias("root"), "least"), "rooted")
+    first = rooted.groupBy("root").agg(F.min("least").alias("least"))
+    return about.drop("sig"), rooted.drop("least").join(first, "root").select("d1", "d2", "least")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row.
 
     A set holds the distinct 5-word shingles of a text, A-Z in lower case; a shorter text is one shingle,
-    a text without words (or null) has none and is linked with nothing. Rows of equal sets form a class
-    at once; the classes' earliest rows go through the forest. Links join sets with at least `percent`
-    hundredths of their union in common. component_id is the least doc_id that links reach, kept tells
-    whether it is the row's own. Rows that repeat a doc_id and text share a result; a null doc_id is
-    the least. An empty table gives an empty table.
+    a text without words (or null) has none and is linked with nothing. Links join sets with at least
+    `percent` hundredths of their union in common. component_id is the least doc_id that links reach (null is
+    the least), kept tells whether it is the row's own doc_id. Repeated rows, and rows that share a doc_id, are
+    each judged by their own text. An empty table gives an empty table; columns other than doc_id and text
+    are not looked at.
     """
-    keyed, back = row_keys(docs.select("doc_id", "text"))
-    rows = _roots(keyed, percent)
-    return rows.select(back("_key").alias("doc_id"), F.col("n").alias("n_shingles"), back("_root").alias("component_id"), (F.col("_key") == F.col("_root")).alias("kept"))
+    about, found = _components(Rows(docs.select("doc_id", "text"), "texts"), percent)
+    full = about.where("n > 0").join(found, ["d1", "d2"]).select("doc_id", F.col("n").alias("n_shingles"), F.col("least.doc_id").alias("component_id"))
+    bare = about.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    return full.unionByName(bare).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def drop_near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
-    """One document of each component: the one of least doc_id. Of rows that repeat it, one stays."""
-    keyed, _ = row_keys(docs)
-    roots = stage(_roots(keyed.select("_key", "text"), percent).select("_key", "_root"), "kept")
-    out = keyed.join(small(roots.where("_key <> _root").select("_key").distinct()), "_key", "left_anti")
-    again = roots.where("_key = _root").groupBy("_key").count().where("count > 1").select("_key")
-    if not again.isEmpty():
-        twice = keyed.join(again, "_key", "left_semi").dropDuplicates(["_key"])
-        out = out.join(again, "_key", "left_anti").unionByName(twice)
-    return out.select(*docs.columns)
+    """One row of each component, the one of least doc_id (of several such, of the least text hash), and all
+    rows without words. The rows keep all their columns, whatever their names; null ids, repeated ids and
+    empty tables are allowed, as in near_duplicates."""
+    rows = Rows(docs, "texts")
+    about, found = _components(rows, percent)
+    stay = found.select(F.col("least.row").alias("row")).distinct().unionByName(about.where("n = 0").select("row"))
+    return rows.where(stay).select(*docs.columns)

@@ -2,9 +2,10 @@
 every document a log importance weight; Gumbel noise and a top-k draw the documents that stay.
 
 Target text is that of the labelled rows of quality 1 that are not toxic. Raw text is modelled as a
-mixture: target text, text of low quality and toxic text, each a hashed n-gram model. The weight is the
-ratio of the target model to the mixture; k is the number of rows whose weight passes the cut that sets
-labelled target rows and others apart best.
+mixture: target text, text of low quality and toxic text, each a hashed n-gram model. Both are models of
+passages of some 32 words, so that no length of good text makes up for a bad passage: a passage's weight is the
+ratio of the target model to the mixture, and a document has the weight of its least passage. k is the number
+of rows whose weight passes the cut that sets labelled target rows and others apart best.
 """
 
 from __future__ import annotations
@@ -18,22 +19,39 @@ from pyspark.sql import functions as F
 
 from dokuma.llm.common import LOWER, U64, mix, parts, span_hash, texts, trimmed, words
 from dokuma.llm.forest import shingles
-from dokuma.session import small, stage
+from dokuma.session import Rows, stage
 
 #: Buckets of hashed n-grams, and slices in which their counts are summed. Each n-gram has a bucket in
-#: either half, by independent hashes, and is evidence only where both say so: two that share one bucket
+#: either half, by independent hashes, and the lesser evidence of the two counts: two that share one bucket
 #: seldom share the other.
 BUCKETS, SLICES = 1 << 20, 64
-#: Labelled rows that the models are fitted on, at most: the documented bound of the fit.
-LABELLED = 500_000
-#: A bucket counts as evidence where the rates differ by so many deviations and by such a factor; a count
-#: is added to both sides. It must be common, too, in one of the two: thousands of rare n-grams, each of
-#: slight weight, would add up against any long text.
-DEVIATIONS, FACTOR, COMMON, SMOOTH = 6.0, 12.0, 0.01, 0.5
+#: Labelled rows that the models are fitted on, at most: the documented bound of the fit; and the tasks that
+#: count their n-grams, so that what is summed does not grow with the input either.
+LABELLED, COUNTERS = 500_000, 16
+#: Words of a passage; a rest of less than half joins the passage before.
+PASSAGE = 32
+#: A count that is added to both sides, shared out as the classes are, and the prior chance that the rates of an n-gram differ at
+#: all. An n-gram's log ratio is weighted by the posterior chance that they do (a spike and a slab): thousands
+#: of rare n-grams, each of slight and doubtful weight, would else add up against any text.
+SMOOTH, DIFFERS = 1.0, 1e-7
 ENDING = np.isin(np.arange(256), np.frombuffer(b".,;:!?", np.uint8)).astype(np.int64)
 TARGET, LOW, TOXIC = 0, 1, 2
 
 
+def passages(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Offsets of passages of PASSAGE words, which cover all texts, and the first passage of each text."""
+    w0, _, first = words(data, offsets)
+    n = np.diff(first)
+    number = np.maximum((n + PASSAGE // 2) // PASSAGE, 1)
+    text = np.repeat(np.arange(len(n)), number)
+    begin = np.cumsum(number) - number
+    inner = np.arange(len(text)) - begin[text]
+    starts = offsets[:-1][text]
+    later = np.flatnonzero(inner)
+    starts[later] = w0[first[text[later]] + PASSAGE * inner[later]]
+    return np.append(starts, offsets[-1:]), np.append(begin, len(text))
+
+
 def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The two buckets of each distinct n-gram of each text, (2, n), and the text of each: words as written, words in
     lower case, their first four and last two bytes, word pairs, and a word that comes two or five to eight times in a row.
@@ -61,70 +79,74 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return np.stack([keys & (half - 1), half + ((keys >> 19) & (half - 1))]), keys >> 38
 
 
-def _counts(docs: DataFrame, classes: DataFrame) -> np.ndarray:
-    """Weight of the labelled rows with each n-gram by class: (3, BUCKETS)."""
+def _counts(labelled: DataFrame) -> np.ndarray:
+    """Weight of the labelled passages with each n-gram by class: (3, BUCKETS). labelled: text, kind, weight."""
     width = BUCKETS // SLICES
 
-    def add(held: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-        at, weight = (np.concatenate(x) for x in zip(*held, strict=True))
-        return np.bincount(at, weights=weight, minlength=3 * BUCKETS)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, held = np.zeros(3 * BUCKETS), []
+        total = np.zeros(3 * BUCKETS)
         for batch in batches:
             offsets, data = texts(batch.column(0))
             kind, weight = (batch.column(i).to_numpy(zero_copy_only=False) for i in (1, 2))
             for lo, hi in parts(offsets, 1_000_000):
-                bucket, doc = features(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
-                base = kind[lo + doc].astype(np.int64) * BUCKETS
-                held += [(base + b, weight[lo + doc]) for b in bucket]
-                if sum(len(x) for x, _ in held) > 2 * BUCKETS:
-                    total += add(held)
-                    held = []
-        if held:
-            total += add(held)
+                cuts, first = passages(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
+                bucket, at = features(data[offsets[lo] : offsets[hi]], cuts)
+                doc = lo + np.searchsorted(first, at, "right") - 1
+                for half in bucket:
+                    own, inverse = np.unique(kind[doc].astype(np.int64) * BUCKETS + half, return_inverse=True)
+                    total[own] += np.bincount(inverse, weights=weight[doc])
         rows = total.reshape(3, SLICES, width)
         keep = [(k, s) for k in range(3) for s in range(SLICES) if rows[k, s].any()]
-        yield pa.RecordBatch.from_arrays([pa.array([k * SLICES + s for k, s in keep], pa.int32()), pa.array([rows[k, s].tobytes() for k, s in keep], pa.binary())], names=["slice", "blob"])
+        yield pa.RecordBatch.from_arrays([pa.array([k * SLICES + s for k, s in keep], pa.int32()), pa.array([rows[k, s].astype(np.float32).tobytes() for k, s in keep], pa.binary())], names=["slice", "blob"])
 
     def join(table: pa.Table) -> pa.Table:
         total = np.zeros(width)
         for blob in table.column("blob").to_pylist():
-            total += np.frombuffer(blob, np.float64)
+            total += np.frombuffer(blob, np.float32)
         return pa.table({"slice": table.column("slice")[:1], "blob": pa.array([total.tobytes()], pa.binary())})
 
-    labelled = docs.join(F.broadcast(classes), "doc_id").select("text", "kind", "weight")
     out = np.zeros((3 * SLICES, width))
-    # 3 * SLICES rows, 24 MB at most, whatever the input
-    for row in labelled.mapInArrow(trimmed(run), "slice int, blob binary").groupBy("slice").applyInArrow(join, "slice int, blob binary").collect():
+    # COUNTERS blobs a slice, and 3 * SLICES rows at the driver, 24 MB at most, whatever the input
+    dealt = labelled.select("text", "kind", "weight").repartition(COUNTERS)
+    for row in dealt.mapInArrow(trimmed(run), "slice int, blob binary").groupBy("slice").applyInArrow(join, "slice int, blob binary").collect():
         out[row[0]] = np.frombuffer(row[1], np.float64)
     return out.reshape(3, BUCKETS)
 
 
-def log_ratios(counts: np.ndarray, size: list[float]) -> np.ndarray:
-    """log of the target's rate over the class's, for low quality and toxic text; 0 where the two do not
-    differ by more than sampling explains. Ratios are truncated at 1, as importance weights are to bound
-    their variance: plain words, however many, do not outweigh what speaks against a text."""
-    n = np.maximum(size, 1).astype(float)
-    t, out = counts[TARGET], np.zeros((2, BUCKETS), np.float32)
+def log_ratios(counts: np.ndarray) -> np.ndarray:
+    """log of the target model's probability over that of the class's, for low quality and toxic text: both signs, each
+    weighted by the posterior chance that the two differ."""
+    size = np.maximum(counts.sum(1) / 2, 1e-9)
+    out = np.zeros((2, BUCKETS), np.float32)
     for i, k in enumerate((LOW, TOXIC)):
-        c = counts[k]
-        rate = (t + c) / (n[TARGET] + n[k])
-        error = np.sqrt(rate / n[TARGET] + rate / n[k]) + 1e-300
-        differ = np.abs(t / n[TARGET] - c / n[k]) > DEVIATIONS * error
-        ratio = np.log((t + SMOOTH) / n[TARGET]) - np.log((c + SMOOTH) / n[k])
-        differ &= (np.abs(ratio) > np.log(FACTOR)) & (np.maximum(t / n[TARGET], c / n[k]) >= COMMON)
-        out[i, differ] = np.minimum(ratio[differ], 0)
+        share = size[TARGET] / (size[TARGET] + size[k])
+        t, c = counts[TARGET] + SMOOTH * share, counts[k] + SMOOTH * (1 - share)
+        ratio = np.log(t / size[TARGET]) - np.log(c / size[k])
+        evidence = ratio**2 / (1 / t + 1 / c) / 2
+        out[i] = ratio / (1 + np.exp(np.clip(-np.log(DIFFERS) - evidence, -50, 50)))
     return out
 
 
-def _weights(docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """doc_id, kind and weight of the labelled rows. Copies and near copies, known by two minima over their
+def log_weights(data: np.ndarray, offsets: np.ndarray, ratios: np.ndarray, prior: list[float]) -> np.ndarray:
+    """The log importance weight of each text: that of its least passage. prior: the classes' shares of raw text."""
+    cuts, first = passages(data, offsets)
+    bucket, at = features(data, cuts)
+    mixture = np.full(len(cuts) - 1, prior[TARGET])
+    for i, p in enumerate(prior[1:]):
+        a, b = ratios[i, bucket[0]], ratios[i, bucket[1]]
+        agreed = np.where(np.sign(a) == np.sign(b), np.where(np.abs(a) < np.abs(b), a, b), 0)
+        mixture += p * np.exp(np.clip(-np.bincount(at, weights=agreed, minlength=len(mixture)), -600, 600))
+    own = -np.log(mixture)
+    return (np.minimum.reduceat(own, first[:-1]) if len(first) > 1 else own) + 0.0  # never -0.0: Parquet's row-group filters tell it from 0.0
+
+
+def _weighted(docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """text, kind and weight of the labelled rows. Copies and near copies, known by two minima over their
     shingles, share one row's weight: a text that was copied a thousand times is evidence once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            offsets, data = texts(batch.column(2))
+            offsets, data = texts(batch.column(1))
             low = [np.zeros(0, U64), np.zeros(0, U64)]
             for lo, hi in parts(offsets):
                 hashes, at = shingles(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
@@ -134,16 +156,16 @@ def _weights(docs: DataFrame, classes: DataFrame) -> DataFrame:
                     if len(full):
                         least[full] = np.minimum.reduceat(mix(hashes ^ seed), at[full])
                     low[i] = np.concatenate([low[i], least])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(x.astype(np.int64)) for x in low)], names=["doc_id", "kind", "m0", "m1"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(x.astype(np.int64)) for x in low)], names=["kind", "text", "m0", "m1"])
 
-    rows = stage(docs.join(F.broadcast(classes), "doc_id").select("doc_id", "kind", "text").mapInArrow(trimmed(run), "doc_id long, kind int, m0 long, m1 long"), "minima")
+    rows = stage(docs.join(F.broadcast(classes), "doc_id").select("kind", "text").mapInArrow(trimmed(run), "kind int, text string, m0 long, m1 long"), "minima")
     out = rows
     for m in ("m0", "m1"):
-        # at most LABELLED / 2 rows, as single ones are left out: the join needs no shuffle by a hot key
-        times = small(stage(rows.groupBy(m, "kind").agg(F.count("*").alias(f"n{m}")).where(f"n{m} > 1"), "times"))
+        # single ones are left out: LABELLED / 2 rows at most, if labelled ids are not repeated
+        times = rows.groupBy(m, "kind").agg(F.count("*").alias(f"n{m}")).where(f"n{m} > 1")
         out = out.join(times, [m, "kind"], "left")
     one = F.lit(1).cast("long")
-    return out.groupBy("doc_id", "kind").agg(F.max(1 / F.greatest(F.coalesce("nm0", one), F.coalesce("nm1", one))).alias("weight"))
+    return out.select("text", "kind", (1 / F.greatest(F.coalesce("nm0", one), F.coalesce("nm1", one))).alias("weight"))
 
 
 def _kth(rows: DataFrame, column: str, k: int) -> float:
@@ -164,44 +186,32 @@ def _kth(rows: DataFrame, column: str, k: int) -> float:
     return lo
 
 
-def resample(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, text_hash (xxhash64), log_weight, draw (weight plus Gumbel noise) and kept of every row.
-
-    A null or empty text has no evidence against it. Labels of unknown documents and null labels are
-    left out; a document labelled twice takes its lowest quality and highest toxicity. Without labels of a
-    class, that class plays no part; without target labels all rows stay. Rows that repeat a doc_id
-    share its noise. Ties in draw stay together.
-    """
+def _draws(base: DataFrame, labels: DataFrame) -> DataFrame:
+    """base (row, doc_id, text_hash, text) without the text, and with log_weight, draw and kept."""
     per_doc = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("q"), F.max(F.coalesce("toxic", F.lit(0))).alias("t"))
     kind = F.when(F.col("t") == 1, TOXIC).when(F.col("q") == 0, LOW).otherwise(TARGET)
-    classes = per_doc.select("doc_id", kind.cast("int").alias("kind"))
+    classes = per_doc.select(F.col("doc_id").cast("long").alias("doc_id"), kind.cast("int").alias("kind"))
     n = classes.count()
     if n > LABELLED:
         classes = classes.where(F.pmod(F.xxhash64("doc_id"), F.lit(2**40)) < F.lit(2**40 * LABELLED // n))
     classes = stage(classes, "classes")
     share = {r[0]: r[1] for r in classes.groupBy("kind").count().collect()}
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
-    weights = stage(_weights(base, classes), "weights")
-    size = {r[0]: r[1] for r in weights.groupBy("kind").agg(F.sum("weight")).collect()}
-    ratios = log_ratios(_counts(base, weights), [size.get(k, 0.0) for k in range(3)]) if share.get(TARGET) else np.zeros((2, BUCKETS), np.float32)
     total = max(sum(share.values()), 1)
-    prior = [max(share.get(k, 0), 1e-9) / total for k in (TARGET, LOW, TOXIC)] if share.get(TARGET) else [1.0, 1e-9, 1e-9]
+    ratios, prior = np.zeros((2, BUCKETS), np.float32), [1.0, 1e-9, 1e-9]
+    if share.get(TARGET):
+        ratios = log_ratios(_counts(_weighted(base.select("doc_id", "text"), classes)))
+        prior = [max(share.get(k, 0), 1e-9) / total for k in (TARGET, LOW, TOXIC)]
+        ratios[[k not in share for k in (LOW, TOXIC)]] = 0
     # two arrays of BUCKETS floats, 8 MB whatever the input
-    shared = docs.sparkSession.sparkContext.broadcast(ratios)
+    shared = base.sparkSession.sparkContext.broadcast(ratios)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        r = shared.value
         for batch in batches:
-            offsets, data = texts(batch.column(1))
-            out = []
-            for lo, hi in parts(offsets, 1_000_000):
-                bucket, doc = features(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
-                against = [np.bincount(doc, weights=np.maximum(r[i, bucket[0]], r[i, bucket[1]]), minlength=hi - lo) for i in (0, 1)]
-                mixture = prior[0] + sum(p * np.exp(np.minimum(-a, 600)) for p, a in zip(prior[1:], against, strict=True))
-                out.append(0.0 - np.log(mixture))  # never -0.0: Parquet's row-group filters tell it from 0.0
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(np.concatenate(out) if out else np.zeros(0), pa.float64())], names=["doc_id", "text_hash", "log_weight"])
+            offsets, data = texts(batch.column(3))
+            out = [log_weights(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], shared.value, prior) for lo, hi in parts(offsets, 1_000_000)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), pa.array(np.concatenate(out) if out else np.zeros(0), pa.float64())], names=["row", "doc_id", "text_hash", "log_weight"])
 
-    weighted = base.mapInArrow(trimmed(run), "doc_id long, text_hash long, log_weight double")
+    weighted = base.select("row", "doc_id", "text_hash", "text").mapInArrow(trimmed(run), "row long, doc_id long, text_hash long, log_weight double")
     uniform = (F.pmod(F.xxhash64(F.lit("gumbel"), F.coalesce("doc_id", F.lit(0))), F.lit(2**53)) + 0.5) / F.lit(float(2**53))
     drawn = stage(weighted.withColumn("draw", F.col("log_weight") - F.log(-F.log(uniform))), "draws")
     k = drawn.where(F.col("log_weight") >= F.lit(_cut(drawn, classes))).count()
@@ -210,6 +220,22 @@ def resample(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return drawn.withColumn("kept", F.col("draw") >= F.lit(_kth(drawn, "draw", k)))
 
 
+def _base(docs: DataFrame, row) -> DataFrame:
+    return docs.select(row.cast("long").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
+
+
+def resample(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id, text_hash (xxhash64), log_weight, draw (weight plus Gumbel noise) and kept of every row.
+
+    A null or empty text has no evidence for or against it. Labels of unknown documents and null labels are
+    left out; a document labelled twice takes its lowest quality and highest toxicity. Without labels of a
+    class, that class plays no part; without target labels all rows stay. Rows that repeat a doc_id
+    share its noise and, if labelled, each count. Ties in draw stay together. An empty table gives an empty
+    table; columns other than doc_id and text are not looked at.
+    """
+    return _draws(_base(docs, F.lit(0)), labels).drop("row")
+
+
 def _cut(drawn: DataFrame, classes: DataFrame) -> float:
     """The log weight that sets target rows and others apart with the least sum of both error rates, by a
     histogram of the labelled rows in steps of a quarter."""
@@ -223,7 +249,8 @@ def _cut(drawn: DataFrame, classes: DataFrame) -> float:
 
 
 def keep_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that resampling keeps."""
-    out = small(stage(resample(docs, labels).where("not kept").select(F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_hash")).distinct(), "rejected"))
-    same = docs["doc_id"].cast("long").eqNullSafe(out["_doc"]) & (F.xxhash64(docs["text"]) == out["_hash"])
-    return docs.join(out, same, "left_anti")
+    """The rows that resampling keeps, with all their columns, whatever their names; nulls, repeated rows and empty tables
+    are treated as in resample."""
+    rows = Rows(docs, "texts")
+    drawn = _draws(_base(rows.df, F.col(rows.id)), labels)
+    return rows.where(drawn.where("not kept").select("row"), keep=False).select(*docs.columns)

@@ -12,14 +12,15 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dokuma.llm.common import BYTE_CODE, MULT, U64, batch_of, by_bucket, mix, pack, parts, ramp, release, texts, trimmed, unpack
-from dokuma.session import stage
+from dokuma.llm.common import BYTE_CODE, KEY, MULT, U64, batch_of, by_bucket, by_key, key_columns, keyed_blob, mix, pack, parts, ramp, release, split_blob, texts, trimmed, unpack
+from dokuma.session import Rows, free_name, stage
 
 LEAST = 100
 PIECE = 32
@@ -30,11 +31,11 @@ FLUSH, BUCKET = 24_000_000, 16_000_000
 #: Text that is transformed at once, and text that a task fetches for others before it sends it.
 TRANSFORM, FETCHED = 300_000, 4_000_000
 
-SEGMENT = np.dtype([("piece", "<u4"), ("text", "<u8"), ("key", "<i8"), ("at", "<u4"), ("wins", "u1")])
+SEGMENT = np.dtype([("piece", "<u4"), ("text", "<u8"), *KEY, ("at", "<u4"), ("wins", "u1")])
 SPAN = np.dtype([("at", "<u4"), ("size", "<u4")])
 ASK = np.dtype([("at", "<u4"), ("wins", "u1"), ("group", "<u8"), ("crowd", "u1")])
-PART = np.dtype([("key", "<i8"), ("at", "<u4"), ("size", "<u4"), ("group", "<u4"), ("body", "<u4")])
-WINDOW = np.dtype([("a", "<u8"), ("b", "<u8"), ("key", "<i8"), ("at", "<u4")])
+PART = np.dtype([*KEY, ("at", "<u4"), ("size", "<u4"), ("group", "<u4"), ("body", "<u4")])
+WINDOW = np.dtype([("a", "<u8"), ("b", "<u8"), *KEY, ("at", "<u4")])
 
 
 def _doubled(h: np.ndarray, by: int) -> np.ndarray:
@@ -102,10 +103,10 @@ def _settle(found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     several[:-1] |= near
     at = np.flatnonzero(several)
     some = found[at]
-    found[at] = some[np.lexsort((some["at"], some["key"], some["text"], some["piece"]))]
+    found[at] = some[np.lexsort((some["at"], some["tie"], some["key"], some["text"], some["piece"]))]
     same = (found["piece"][1:] == found["piece"][:-1]) & (found["text"][1:] == found["text"][:-1])
     # a repeated row is the same place again
-    again = same & (found["key"][1:] == found["key"][:-1]) & (found["at"][1:] == found["at"][:-1])
+    again = same & (found["key"][1:] == found["key"][:-1]) & (found["tie"][1:] == found["tie"][:-1]) & (found["at"][1:] == found["at"][:-1])
     found = found[np.concatenate([[True], ~again])]
     same = (found["piece"][1:] == found["piece"][:-1]) & (found["text"][1:] == found["text"][:-1])
     return found, np.concatenate([[False], same])
@@ -113,9 +114,9 @@ def _settle(found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _later(w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Strings by digest and place, each place once, and which of them are not their digest's first."""
-    w = w[np.lexsort((w["at"], w["key"], w["b"], w["a"]))]
+    w = w[np.lexsort((w["at"], w["tie"], w["key"], w["b"], w["a"]))]
     same = (w["a"][1:] == w["a"][:-1]) & (w["b"][1:] == w["b"][:-1])
-    again = same & (w["key"][1:] == w["key"][:-1]) & (w["at"][1:] == w["at"][:-1])
+    again = same & (w["key"][1:] == w["key"][:-1]) & (w["tie"][1:] == w["tie"][:-1]) & (w["at"][1:] == w["at"][:-1])
     keep = np.concatenate([[True], ~again])
     return w[keep], np.concatenate([[False], same])[keep]
 
@@ -178,7 +179,7 @@ def expand(text: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
     return order, apart[:n]
 
 
-def repeats_among(body: list[np.ndarray], key: np.ndarray, at: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+def repeats_among(body: list[np.ndarray], key: np.ndarray, tie: np.ndarray, at: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
     """Which strings of `least` bytes of the segments start earlier, too: (segment, offset)."""
     sizes = np.array([len(b) for b in body], np.int64)
     ends = np.cumsum(sizes + 1)
@@ -197,47 +198,40 @@ def repeats_among(body: list[np.ndarray], key: np.ndarray, at: np.ndarray, least
     pos, group = order[rows], group[rows]
     seg = segment[pos]
     off = pos - (ends - sizes - 1)[seg]
-    k, p = key[seg], at[seg] + off
-    by = np.lexsort((p, k, group))
-    seg, off, k, p, group = seg[by], off[by], k[by], p[by], group[by]
+    k, t, p = key[seg], tie[seg], at[seg] + off
+    by = np.lexsort((p, t, k, group))
+    seg, off, k, t, p, group = seg[by], off[by], k[by], t[by], p[by], group[by]
     head = np.concatenate([[True], group[1:] != group[:-1]]) if len(group) else np.zeros(0, bool)
     first = np.flatnonzero(head)[np.cumsum(head) - 1] if len(group) else np.zeros(0, np.int64)
-    later = (k != k[first]) | (p != p[first])
+    later = (k != k[first]) | (t != t[first]) | (p != p[first])
     return seg[later], off[later]
 
 
-def _spans(key: np.ndarray, at: np.ndarray, least: int) -> Iterator[tuple[int, bytes]]:
-    """Strings that start at (key, at), as united spans by key."""
-    order = np.lexsort((at, key))
-    key, at = key[order], at[order].astype(np.int64)
+def _spans(key: np.ndarray, tie: np.ndarray, at: np.ndarray, least: int) -> Iterator[tuple[int, int, bytes]]:
+    """Strings that start at (key, tie, at), as united spans by key and tie."""
+    order = np.lexsort((at, tie, key))
+    key, tie, at = key[order], tie[order], at[order].astype(np.int64)
     if not len(key):
         return
-    new = np.concatenate([[True], (key[1:] != key[:-1]) | (at[1:] > at[:-1] + least)])
+    new = np.concatenate([[True], (key[1:] != key[:-1]) | (tie[1:] != tie[:-1]) | (at[1:] > at[:-1] + least)])
     a = np.flatnonzero(new)
     b = np.append(a[1:], len(key)) - 1
     out = np.empty(len(a), SPAN)
     out["at"], out["size"] = at[a], at[b] + least - at[a]
-    yield from by_bucket(out, key[a])
-
-
-def row_keys(docs: DataFrame) -> tuple[DataFrame, Callable[[str], Column]]:
-    """Adds _key, a long that orders rows as doc_id does and is equal for equal (doc_id, text) only, and
-    gives the way back to doc_id. The key is doc_id itself unless one doc_id has several texts; a null
-    doc_id is the least. Ids of such mixed tables must lie between -2^42 and 2^42."""
-    none = F.lit(-(2**63))
-    least, text = F.coalesce(F.col("doc_id").cast("long"), none), F.xxhash64(F.coalesce("text", F.lit("")))
-    mixed = docs.select(least.alias("i"), text.alias("h")).groupBy("i").agg((F.max("h") != F.min("h")).alias("d")).agg(F.max("d")).first()[0]
-    if not mixed:
-        return docs.withColumn("_key", least), lambda c: F.when(F.col(c) != none, F.col(c))
-    version = F.dense_rank().over(Window.partitionBy(least).orderBy(text))
-    lowest = -(2**42)
-    keyed = docs.withColumn("_key", F.greatest(least, F.lit(lowest)) * F.lit(2**20) + version)
-    return keyed, lambda c: F.when(F.shiftright(c, 20) != lowest, F.shiftright(c, 20))
-
-
-def repeated_spans(keyed: DataFrame, least: int = LEAST, crowd: int = CROWD) -> DataFrame:
-    """_key and spans (a list of packed span arrays) of every row some of whose bytes are covered by a
-    string of `least` bytes that also starts earlier. keyed: _key and text."""
+    yield from by_key(out, key[a], tie[a])
+
+
+def _whole(rest: np.ndarray, least: int) -> Iterator[tuple[int, int, bytes]]:
+    """Segments as spans, by key and tie."""
+    out = np.empty(len(rest), SPAN)
+    out["at"], out["size"] = rest["at"], rest["wins"].astype(np.uint32) + least - 1
+    return by_key(out, rest["key"], rest["tie"])
+
+
+def repeated_spans(keyed: DataFrame, fetched: Callable[[DataFrame], DataFrame], least: int = LEAST, crowd: int = CROWD) -> DataFrame:
+    """key, tie and spans (a list of packed span arrays) of every row some of whose bytes are covered by a
+    string of `least` bytes that also starts earlier. keyed: key, tie and text; fetched adds the text to
+    rows of key, tie and others, each once."""
     if not 64 <= least <= 255 - PIECE:
         raise ValueError("least must be from 64 to 223 bytes")
     total = keyed.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
@@ -252,23 +246,20 @@ def repeated_spans(keyed: DataFrame, least: int = LEAST, crowd: int = CROWD) ->
             found, later = _settle(found)
             rows = [(b, 0, blob) for b, blob in by_bucket(found[~later], found["piece"][~later].astype(np.int64) % buckets)]
             # later occurrences in this task need no bucket: all their strings start earlier, too
-            rest = found[later]
-            out = np.empty(len(rest), SPAN)
-            out["at"], out["size"] = rest["at"], rest["wins"].astype(np.uint32) + least - 1
-            rows += [(int(k % buckets), 1, k.to_bytes(8, "little", signed=True) + blob) for k, blob in by_bucket(out, rest["key"])]
+            rows += [((k ^ t) % buckets, 1, keyed_blob(k, t, blob)) for k, t, blob in _whole(found[later], least)]
             for lo in range(0, len(rows), 2000):
                 yield batch_of(rows[lo : lo + 2000], ["bucket", "kind", "blob"], [pa.int64(), pa.int32(), pa.binary()])
 
         for batch in batches:
-            offsets, data = texts(batch.column(1))
-            keys = batch.column(0).to_numpy(zero_copy_only=False)
+            offsets, data = texts(batch.column(2))
+            keys, ties = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
             for lo, hi in parts(offsets):
                 own = offsets[lo : hi + 1] - offsets[lo]
                 starts, wins, piece, text, _ = segments(data[offsets[lo] : offsets[hi]], own, least)
                 doc = np.searchsorted(own, starts, "right") - 1
                 table = np.empty(len(starts), SEGMENT)
                 table["piece"], table["text"], table["wins"] = (piece >> U64(32)).astype(np.uint32), text, wins
-                table["key"], table["at"] = keys[lo + doc], starts - own[doc]
+                table["key"], table["tie"], table["at"] = keys[lo + doc], ties[lo + doc], starts - own[doc]
                 held.append(table)
                 size += int(own[-1])
                 if size > FLUSH:
@@ -277,14 +268,14 @@ def repeated_spans(keyed: DataFrame, least: int = LEAST, crowd: int = CROWD) ->
         if held:
             yield from send()
 
+    names, types = ["kind", "key", "tie", "blob"], [pa.int32(), pa.int64(), pa.int64(), pa.binary()]
+    answer = "kind int, key long, tie long, blob binary"
+
     def group(table: pa.Table) -> pa.Table:
         blobs, kinds = table.column("blob").to_pylist(), table.column("kind").to_numpy()
-        rows = [(int.from_bytes(b[:8], "little", signed=True), 1, b[8:]) for b, k in zip(blobs, kinds, strict=True) if k == 1]
+        rows = [(1, *split_blob(b)) for b, k in zip(blobs, kinds, strict=True) if k == 1]
         found, later = _settle(unpack([b for b, k in zip(blobs, kinds, strict=True) if k == 0], SEGMENT))
-        rest = found[later]
-        out = np.empty(len(rest), SPAN)
-        out["at"], out["size"] = rest["at"], rest["wins"].astype(np.uint32) + least - 1
-        rows += [(k, 1, b) for k, b in by_bucket(out, rest["key"])]
+        rows += [(1, *r) for r in _whole(found[later], least)]
         first = found[~later]
         if len(first):
             new = np.concatenate([[True], first["piece"][1:] != first["piece"][:-1]])
@@ -293,13 +284,13 @@ def repeated_spans(keyed: DataFrame, least: int = LEAST, crowd: int = CROWD) ->
             ask = first[many > 1]
             out = np.empty(len(ask), ASK)
             out["at"], out["wins"], out["group"], out["crowd"] = ask["at"], ask["wins"], ask["piece"], many[many > 1] > crowd
-            rows += [(k, 2, b) for k, b in by_bucket(out, ask["key"])]
+            rows += [(2, *r) for r in by_key(out, ask["key"], ask["tie"])]
         release()
-        return pa.Table.from_batches([batch_of(rows, ["key", "kind", "blob"], [pa.int64(), pa.int32(), pa.binary()])])
+        return pa.Table.from_batches([batch_of(rows, names, types)])
 
-    sent = keyed.select("_key", "text").mapInArrow(trimmed(digest), "bucket long, kind int, blob binary")
-    known = stage(sent.groupBy("bucket").applyInArrow(group, "key long, kind int, blob binary"), "segments")
-    asked = known.where("kind = 2").groupBy(F.col("key").alias("_key")).agg(F.collect_list("blob").alias("blobs"), F.sum(F.octet_length("blob")).alias("n")).where("n > 0")
+    sent = keyed.select("key", "tie", "text").mapInArrow(trimmed(digest), "bucket long, kind int, blob binary")
+    known = stage(sent.groupBy("bucket").applyInArrow(group, answer), "segments")
+    asked = known.where("kind = 2").groupBy("key", "tie").agg(F.collect_list("blob").alias("blobs"), F.sum(F.octet_length("blob")).alias("n")).where("n > 0")
     asked = stage(asked, "asked")
     wanted = asked.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     # about 14 bytes of request for 135 bytes of text
@@ -310,8 +301,8 @@ def repeated_spans(keyed: DataFrame, least: int = LEAST, crowd: int = CROWD) ->
 
         def crowded() -> Iterator[tuple]:
             w, later = _later(np.concatenate(windows))
-            for k, blob in _spans(w["key"][later], w["at"][later], least):
-                yield int(k % second), 1, k.to_bytes(8, "little", signed=True) + blob, b""
+            for k, t, blob in _spans(w["key"][later], w["tie"][later], w["at"][later], least):
+                yield (k ^ t) % second, 1, keyed_blob(k, t, blob), b""
             for b, blob in by_bucket(w[~later], (w["a"][~later] >> U64(8)).astype(np.int64) % second):
                 yield b, 3, blob, b""
 
@@ -330,21 +321,16 @@ def repeated_spans(keyed: DataFrame, least: int = LEAST, crowd: int = CROWD) ->
         def send(rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
             yield batch_of(list(rows), ["bucket", "kind", "blob", "body"], [pa.int64(), pa.int32(), pa.binary(), pa.binary()])
 
-        last = None
         for batch in batches:
-            offsets, data = texts(batch.column(1))
-            keys, blobs = batch.column(0).to_numpy(zero_copy_only=False), batch.column(2).to_pylist()
-            for i, (key, own) in enumerate(zip(keys.tolist(), blobs, strict=True)):
-                if key == last:
-                    continue  # a repeated row
-                last = key
+            offsets, data = texts(batch.column(2))
+            for i, (key, tie, own) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(3).to_pylist(), strict=True)):
                 text, ask = data[offsets[i] : offsets[i + 1]], unpack(own, ASK)
                 crowd = ask["crowd"] == 1
                 if not crowd.all():
                     few_ = ask[~crowd]
                     size = few_["wins"].astype(np.int64) + least - 1
                     part = np.empty(len(few_), PART)
-                    part["key"], part["at"], part["size"], part["group"] = key, few_["at"], size, few_["group"]
+                    part["key"], part["tie"], part["at"], part["size"], part["group"] = key, tie, few_["at"], size, few_["group"]
                     part["body"] = fetched + np.cumsum(size) - size
                     asked_.append(part)
                     bodies.append(text[np.repeat(few_["at"].astype(np.int64), size) + ramp(size)])
@@ -356,7 +342,7 @@ def repeated_spans(keyed: DataFrame, least: int = LEAST, crowd: int = CROWD) ->
                     w = np.empty(len(at), WINDOW)
                     mid, end = h64[at + (least - 64) // 2], h64[at + least - 64]
                     w["a"], w["b"] = mix(h64[at] * MULT + end + (mid << U64(1))), mix((h64[at] ^ mix(end)) * U64(0xA0761D6478BD642F) + mid)
-                    w["key"], w["at"] = key, at
+                    w["key"], w["tie"], w["at"] = key, tie, at
                     windows.append(w)
                     held += len(w)
                 if fetched > FETCHED:
@@ -372,7 +358,7 @@ def repeated_spans(keyed: DataFrame, least: int = LEAST, crowd: int = CROWD) ->
 
     def resolve(table: pa.Table) -> pa.Table:
         kinds, blobs, bodies = table.column("kind").to_numpy(), table.column("blob").to_pylist(), table.column("body").to_pylist()
-        rows = [(int.from_bytes(b[:8], "little", signed=True), 1, b[8:]) for b, k in zip(blobs, kinds, strict=True) if k == 1]
+        rows = [(1, *split_blob(b)) for b, k in zip(blobs, kinds, strict=True) if k == 1]
         part = unpack([b for b, k in zip(blobs, kinds, strict=True) if k == 2], PART)
         if len(part):
             raw = np.frombuffer(b"".join(b for b, k in zip(bodies, kinds, strict=True) if k == 2), np.uint8)
@@ -392,31 +378,50 @@ def repeated_spans(keyed: DataFrame, least: int = LEAST, crowd: int = CROWD) ->
             for lo, hi in zip(cut, cut[1:], strict=False):
                 at = order[lo:hi]
                 body = [raw[begin[i] : begin[i] + size[i]] for i in at]
-                seg, off = repeats_among(body, part["key"][at], part["at"][at].astype(np.int64), least)
-                rows += [(k, 1, b) for k, b in _spans(part["key"][at][seg], part["at"][at][seg].astype(np.int64) + off, least)]
+                seg, off = repeats_among(body, part["key"][at], part["tie"][at], part["at"][at].astype(np.int64), least)
+                rows += [(1, *r) for r in _spans(part["key"][at][seg], part["tie"][at][seg], part["at"][at][seg].astype(np.int64) + off, least)]
         w = unpack([b for b, k in zip(blobs, kinds, strict=True) if k == 3], WINDOW)
         if len(w):
             w, later = _later(w)
-            rows += [(k, 1, b) for k, b in _spans(w["key"][later], w["at"][later], least)]
+            rows += [(1, *r) for r in _spans(w["key"][later], w["tie"][later], w["at"][later], least)]
         release()
-        return pa.Table.from_batches([batch_of(rows, ["key", "kind", "blob"], [pa.int64(), pa.int32(), pa.binary()])])
+        return pa.Table.from_batches([batch_of(rows, names, types)])
 
-    parts_ = keyed.select("_key", "text").join(asked, "_key").select("_key", "text", "blobs").mapInArrow(trimmed(fetch), "bucket long, kind int, blob binary, body binary")
-    solved = parts_.groupBy("bucket").applyInArrow(resolve, "key long, kind int, blob binary")
+    parts_ = fetched(asked).select("key", "tie", "text", "blobs").mapInArrow(trimmed(fetch), "bucket long, kind int, blob binary, body binary")
+    solved = parts_.groupBy("bucket").applyInArrow(resolve, answer)
     every = known.where("kind = 1").unionByName(solved)
-    return every.groupBy(F.col("key").alias("_key")).agg(F.collect_list("blob").alias("spans"))
+    return every.groupBy("key", "tie").agg(F.collect_list("blob").alias("spans"))
+
+
+def with_spans(docs: DataFrame, find: Callable[[DataFrame, Callable[[DataFrame], DataFrame]], DataFrame]) -> tuple[DataFrame, str]:
+    """docs with the spans that `find` gives by key and tie (null: none), and that column's name.
+
+    docs are written once, with a number for each row; only the texts of rows that have spans, or are asked
+    for, are shuffled, by that number, which no two rows share."""
+    rows = Rows(docs, "texts")
+    named = {c: free_name(c, *rows.df.columns) for c in ("key", "tie", "spans")}
+    key, tie = key_columns()
+    keyed = rows.df.withColumns({named["key"]: key, named["tie"]: tie})
+    places = stage(keyed.select(F.col(named["key"]).alias("key"), F.col(named["tie"]).alias("tie"), F.col(rows.id).alias("row")), "places")
 
+    def fetched(asked: DataFrame) -> DataFrame:
+        once = places.groupBy("key", "tie").agg(F.min("row").alias("row"))
+        wanted = stage(asked.join(once, ["key", "tie"]), "wanted")
+        return rows.where(wanted.select("row")).select(F.col(rows.id).alias("row"), "text").join(wanted, "row")
 
-def _with_spans(docs: DataFrame, least: int, crowd: int = CROWD) -> DataFrame:
-    keyed, _ = row_keys(docs)
-    return keyed.join(repeated_spans(keyed, least, crowd), "_key", "left")
+    plain = keyed.select(F.col(named["key"]).alias("key"), F.col(named["tie"]).alias("tie"), "text")
+    found = stage(places.join(find(plain, fetched), ["key", "tie"]).select(F.col("row").alias(rows.id), F.col("spans").alias(named["spans"])), "spans")
+    marked = found.select(rows.id)
+    out = rows.where(marked).join(found, rows.id).unionByName(rows.where(marked, keep=False).withColumn(named["spans"], F.lit(None).cast("array<binary>")))
+    return out.select(*docs.columns, named["spans"]), named["spans"]
 
 
 def removal_digests(docs: DataFrame, least: int = LEAST, crowd: int = CROWD) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row.
 
-    A null or short text loses nothing. Rows that repeat doc_id and text are one place and share a
-    result. Of rows with one doc_id and different texts, the order of their hashes decides.
+    A null, empty or short text loses nothing; an empty table gives an empty table. Any ids are allowed, a null
+    doc_id is the least. Rows that repeat doc_id and text are one place and share a result. Of rows with
+    one doc_id and different texts, the order of their hashes decides. Other columns are not looked at.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -436,13 +441,14 @@ def removal_digests(docs: DataFrame, least: int = LEAST, crowd: int = CROWD) ->
             made = batch_of(rows, ["n_bytes", "n_removed", "n_spans", "kept_sha256"], [pa.int64(), pa.int64(), pa.int64(), pa.string()])
             yield pa.RecordBatch.from_arrays([batch.column(0), *made.columns], names=["doc_id", *made.schema.names])
 
-    rows = _with_spans(docs.select("doc_id", "text"), least, crowd).select(F.col("doc_id").cast("long"), "text", "spans")
-    return rows.mapInArrow(trimmed(run), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    rows, spans = with_spans(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), partial(repeated_spans, least=least, crowd=crowd))
+    return rows.select("doc_id", "text", spans).mapInArrow(trimmed(run), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def remove_repeats(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """The rows with the repeated bytes gone from text, whole characters only: a character of which a
-    part would stay is kept. Other columns stay as they are."""
+    part would stay is kept. All other columns, whatever their names, stay as they are, and so does a null
+    text; repeated rows lose the same bytes; an empty table gives an empty table."""
 
     @F.pandas_udf("string")
     def cut(text, spans):
@@ -465,5 +471,5 @@ def remove_repeats(docs: DataFrame, least: int = LEAST) -> DataFrame:
 
         return pd.Series(out, dtype=object)
 
-    columns = docs.columns
-    return _with_spans(docs, least).withColumn("text", cut("text", "spans")).select(*columns)
+    rows, spans = with_spans(docs, partial(repeated_spans, least=least))
+    return rows.withColumn("text", cut("text", spans)).select(*docs.columns)

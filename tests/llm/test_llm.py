@@ -82,31 +82,62 @@ def test_shards(spark, docs, empty, rows):
     assert len(load) == 10 and max(load) < 1.03 * min(load)
 
 
-def test_line_dedup(docs, empty, rows):
-    seen, expected = set(), {}
-    for d, t in sorted(set(rows), key=lambda r: (r[0] is not None, r[0] or 0)):
-        text, kept, spans, at = (t or "").encode(), b"", [], 0
-        for line in re.findall(rb"[^\n]*\n|[^\n]+", text):
-            w = tuple(words_of(line.decode()))
-            if len(w) >= 5 and w in seen:
-                spans = [*spans[:-1], (spans[-1][0], at + len(line))] if spans and spans[-1][1] == at else [*spans, (at, at + len(line))]
-            else:
-                kept += line
-                seen.add(w)
-            at += len(line)
-        expected[d] = (len(text), sum(b - a for a, b in spans), len(spans), hashlib.sha256(kept).hexdigest(), [tuple(s) for s in spans])
-    got = {d: (*v[:4], [tuple(s) for s in v[4]]) for d, v in by_id(lines.line_dedup(docs), "n_bytes", "n_removed", "n_spans", "kept_sha256", "removed").items()}
-    assert got == expected
+WIDE = rb"(?<=\xe3\x80\x82)|(?<=\xef\xbc\x81)|(?<=\xef\xbc\x9f)"
+
+
+def units_of(text, sentences):
+    """(start, end, words, normal form) of each unit, word by word."""
+    found, before = [], None
+    for m in re.finditer(rb"[^\x20\x09-\x0d]+", text):
+        at = m.start()
+        for piece in filter(None, re.split(WIDE, m[0]) if sentences else [m[0]]):
+            ended = before is not None and sentences and re.search(rb"([.!?][\"')\]}]{0,2}|\xe3\x80\x82|\xef\xbc[\x81\x9f])$", before)
+            if before is None or ended or b"\n" in text[found[-1][1] : at]:
+                found.append([at, at, 0, []])
+            found[-1][1] = at + len(piece)
+            found[-1][2] += -(-len(piece) // lines.WORD_BYTES)
+            found[-1][3].append(piece.lower())
+            before, at = piece, at + len(piece)
+    starts = [0, *(u[0] for u in found[1:]), len(text)]
+    return [(starts[k], starts[k + 1], n, tuple(w)) for k, (_, _, n, w) in enumerate(found)]
+
+
+def lines_of(rows, least_run, sentences):
+    seen, out = set(), {}
+    tie = lambda r: (r[0] is not None, r[0] or 0)
+    for d, t in sorted(set(rows), key=tie):
+        text, runs = (t or "").encode(), []
+        for a, b, n, w in units_of(text, sentences):
+            if w in seen:
+                runs = [*runs[:-1], (runs[-1][0], b, runs[-1][2] + n)] if runs and runs[-1][1] == a else [*runs, (a, b, n)]
+            seen.add(w)
+        spans = [(a, b) for a, b, n in runs if n >= least_run]
+        kept = b"".join(text[x:y] for x, y in zip([0, *(b for _, b in spans)], [*(a for a, _ in spans), len(text)], strict=True))
+        out[d] = (len(text), sum(b - a for a, b in spans), len(spans), hashlib.sha256(kept).hexdigest(), spans)
+    return out
+
+
+@pytest.mark.parametrize(("least_run", "sentences"), [(30, True), (3, True), (1, False)])
+def test_line_dedup(spark, docs, empty, rows, least_run, sentences):
+    rng = random.Random(31)
+    say = [" ".join(rng.choices(["ab", "cd", "Efg", "日本語", "longerthantwelvebytes"], k=rng.randint(1, 12))) + rng.choice([".", "!", '."', "。", "", "...)"]) for _ in range(25)]
+    more = [(100_000 + i, "".join(rng.choice(say) + rng.choice([" ", "  ", "\n", "\n\n", ""]) for _ in range(rng.randint(0, 12)))) for i in range(120)]
+    both = docs.select("doc_id", "text").unionByName(spark.createDataFrame(more, "doc_id long, text string"))
+    got = {d: (*v[:4], [tuple(s) for s in v[4]]) for d, v in by_id(lines.line_dedup(both, least_run, sentences), "n_bytes", "n_removed", "n_spans", "kept_sha256", "removed").items()}
+    assert got == lines_of([*rows, *more], least_run, sentences)
     assert lines.line_dedup(empty).count() == 0
 
 
-def test_registered_line_dedup_takes_short_lines(spark, tmp_path):
-    """Menu lines and lines without spaces go where they repeat; blank lines stay."""
-    text = ["Home\n\nAbout us\nfirst text\n", "home\n\nabout  us\n日本語の長い行です。\n", "日本語の長い行です。\n\n \nlast text"]
+def test_registered_line_dedup(spark, tmp_path):
+    """Copied paragraphs go wherever lines are broken; stock phrases and single repeated lines stay."""
+    rng = random.Random(32)
+    word = lambda: "".join(rng.choices("abcdefgh", k=5))
+    sentence = lambda n: " ".join(word() for _ in range(n)) + "."
+    passage = [sentence(9) for _ in range(6)]
+    text = ["\n".join([sentence(8), " ".join(passage), sentence(7)]), sentence(5) + " " + " ".join(passage) + " " + sentence(6), "About us\nHome\n" + sentence(12), "About us\nHome\n" + passage[0] + "\n" + sentence(9)]
     spark.createDataFrame(list(enumerate(text)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
-    got = by_id(llm_queries.op4_line_hashing(spark, str(tmp_path)), "n_removed", "removed")
-    size = len("日本語の長い行です。\n".encode())
-    assert {d: (n, [tuple(s) for s in spans]) for d, (n, spans) in got.items()} == {0: (0, []), 1: (15, [(0, 5), (6, 16)]), 2: (size, [(0, size)])}
+    got = by_id(llm_queries.op4_line_hashing(spark, str(tmp_path)), "n_removed")
+    assert {d: n for d, (n,) in got.items()} == {0: 0, 1: len(" ".join(passage)) + 1, 2: 0, 3: 0}
 
 
 def repeats(rows, least=100):
@@ -130,12 +161,38 @@ def test_suffix_dedup(docs, empty, rows, crowd):
     assert suffix.removal_digests(empty).count() == 0
 
 
-def test_suffix_text_and_mixed_ids(spark, docs, rows):
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Ids at the ends of the range, null ids, one id with several texts, columns whose names clash with ours."""
+    rng = random.Random(41)
+    word = lambda: "".join(rng.choices("abcdefghij", k=6))
+    base = " ".join(word() for _ in range(60))
+    rows = [(d, base + f" {k} {word()}") for k, d in enumerate([2**62, -(2**62), 5, 5, 9, None, None, 2**63 - 1, -(2**63)])] + [(5, " ".join(word() for _ in range(60))), (7, None), (7, "")]
+    rows += [rows[2], rows[5]]
+    extra = "_key long, key long, tie long, spans long, _size long, _doc long, _row long, row long, node long, n long, _root long"
+    table = [(d, t, *(100 * i + k for k in range(11))) for i, (d, t) in enumerate(rows)]
+    return spark.createDataFrame(table, "doc_id long, text string, " + extra).repartition(3)
+
+
+def others(rows):
+    return Counter((r["doc_id"], *r[2:]) for r in rows)
+
+
+def test_suffix_with_odd_ids_and_names(spark, docs, odd, rows):
     out = suffix.remove_repeats(docs)
     assert out.columns == docs.columns and out.count() == len(rows)
     mixed = spark.createDataFrame([(1, "p" * 150 + "q"), (1, "r" * 150), (2, "q" + "p" * 150), (None, "r" * 120)], "doc_id long, text string")
     got = sorted((r["doc_id"] or 0, r["n_bytes"], r["n_removed"]) for r in suffix.removal_digests(mixed).collect())
     assert [g[0] for g in got] == [0, 1, 1, 2] and got[0][2] == 119 and got[3][2] == 150
+    before, after = odd.collect(), suffix.remove_repeats(odd)
+    assert after.columns == odd.columns and others(after.collect()) == others(before)
+    # a null id is the least, and of the other ids the smallest: only the first of these texts stays whole
+    digests = suffix.removal_digests(odd).collect()
+    assert Counter(r["doc_id"] for r in digests) == Counter(r["doc_id"] for r in before)
+    whole = [r for r in digests if r["n_bytes"] > 300 and r["n_removed"] == 0]
+    assert {r["doc_id"] for r in whole} == {None, 5} and len({r["kept_sha256"] for r in whole}) == 2
+    by_line = lines.line_dedup(odd).collect()
+    assert Counter((r["doc_id"], r["n_bytes"]) for r in by_line) == Counter((r["doc_id"], len((r["text"] or "").encode())) for r in before)
 
 
 def test_expansion_groups_equal_strings():
