@@ -59,13 +59,26 @@ def pcg_u32(seed: int, sequence: int, draws: np.ndarray) -> np.ndarray:
     return _output(_advanced(start, step, np.asarray(draws)))
 
 
-def pcg_range(seed: int, sequence: int, draws: np.ndarray, size: int) -> np.ndarray:
-    """Range draws 0 .. size - 1 by number, two outputs each, high half first. A draw that the unbiased rule
-    would reject moves all later ones; that needs a 64-bit value below 2^64 mod size, and is refused here."""
+def pcg_u64(seed: int, sequence: int, draws: np.ndarray) -> np.ndarray:
+    """64-bit values by number: two outputs each, high half first."""
     high, low = (pcg_u32(seed, sequence, 2 * np.asarray(draws) + i).astype(np.uint64) for i in (0, 1))
-    value = (high << np.uint64(32)) | low
-    if (value < np.uint64(WORD % size)).any():
-        raise ArithmeticError("a draw would be rejected: draw in order")
+    return (high << np.uint64(32)) | low
+
+
+def pcg_range(seed: int, sequence: int, draws: np.ndarray, size: int) -> np.ndarray:
+    """Range draws 0 .. size - 1 by number. A value below 2^64 mod size is rejected and the next one drawn, which
+    moves all later draws. Where the values asked for show a rejection, all earlier ones are counted, so draws from 0
+    on are those of drawing in order."""
+    draws, least = np.asarray(draws), np.uint64(WORD % size)
+    value = pcg_u64(seed, sequence, draws)
+    if (value < least).any():
+        # the numbers of the values that are accepted, as far as the last draw asked for
+        found, at, wanted, step = [], 0, int(draws.max()) + 1, 1 << 20
+        while sum(map(len, found)) < wanted:
+            number = np.arange(at, at + min(step, 2 * wanted + 64))
+            found.append(number[pcg_u64(seed, sequence, number) >= least])
+            at += len(number)
+        value = pcg_u64(seed, sequence, np.concatenate(found)[draws])
     return (value % np.uint64(size)).astype(np.int64)
 
 
@@ -87,9 +100,17 @@ def pcg_normal(seed: int, sequence: int, n: int) -> np.ndarray:
 
 
 def shuffled(n: int, seed: int, sequence: int) -> np.ndarray:
-    """A permutation of 0 .. n - 1 by exchanges from the end."""
-    out = np.arange(n)
-    for k, i in enumerate(range(n - 1, 0, -1)):
-        j = int(pcg_range(seed, sequence, np.array([k]), i + 1)[0])
-        out[[i, j]] = out[[j, i]]
-    return out
+    """A permutation of 0 .. n - 1 by exchanges from the end, a draw each; rejected draws are drawn again."""
+    out = list(range(n))
+    values, at = pcg_u64(seed, sequence, np.arange(n + 64)).tolist(), 0
+    for i in range(n - 1, 0, -1):
+        while values[at] < WORD % (i + 1):
+            at += 1
+            if at == len(values):
+                values += pcg_u64(seed, sequence, np.arange(at, 2 * at)).tolist()
+        j = values[at] % (i + 1)
+        at += 1
+        if at == len(values):
+            values += pcg_u64(seed, sequence, np.arange(at, 2 * at)).tolist()
+        out[i], out[j] = out[j], out[i]
+    return np.array(out, np.int64)

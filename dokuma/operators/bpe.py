@@ -5,11 +5,12 @@ from __future__ import annotations
 import heapq
 from collections import defaultdict
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-# Words of a training list, and bytes of a word that are encoded.
+# Words of a training list, and bytes of a word that are encoded in strict mode.
 WORDS, WORD_BYTES = 100_000, 192
 
 
@@ -107,16 +108,33 @@ class Merges:
         for a, b, _ in merges:
             self.bytes.append(self.bytes[a] + self.bytes[b])
 
-    def encode(self, word: str | bytes) -> list[int]:
-        """Symbols of a word (its first WORD_BYTES bytes): the pair of least rank merges first, leftmost first."""
-        out = list((word.encode("utf-8") if isinstance(word, str) else word)[:WORD_BYTES])
-        while len(out) > 1:
-            known = [(self.rank[p], i) for i, p in enumerate(zip(out, out[1:], strict=False)) if p in self.rank]
-            if not known:
-                break
-            (_, new), i = min(known)
-            out[i : i + 2] = [new]
-        return out
+    def encode(self, word: str | bytes, strict: bool = False) -> list[int]:
+        """Symbols of a word: the pair of least rank merges first, leftmost first. strict takes the first WORD_BYTES
+        bytes only. Open pairs wait in a heap, so a word of any length takes n log n steps."""
+        syms = list(word.encode("utf-8", "surrogateescape") if isinstance(word, str) else word)
+        if strict:
+            del syms[WORD_BYTES:]
+        n, rank = len(syms), self.rank
+        heap = [(rank[p][0], i, p) for i, p in enumerate(zip(syms, syms[1:], strict=False)) if p in rank]
+        if not heap:
+            return syms
+        heapq.heapify(heap)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        while heap:
+            _, i, pair = heapq.heappop(heap)
+            j = after[i]
+            if j >= n or (syms[i], syms[j]) != pair:
+                continue  # one of the two has merged since
+            syms[i], syms[j] = rank[pair][1], -1
+            after[i] = k = after[j]
+            if k < n:
+                before[k] = i
+                if (p := (syms[i], syms[k])) in rank:
+                    heapq.heappush(heap, (rank[p][0], i, p))
+            h = before[i]
+            if h >= 0 and (p := (syms[h], syms[i])) in rank:
+                heapq.heappush(heap, (rank[p][0], h, p))
+        return [s for s in syms if s >= 0]
 
     def decode(self, syms: list[int]) -> bytes:
         return b"".join(self.bytes[s] for s in syms)
@@ -135,7 +153,7 @@ def encode_words(words: DataFrame, merges: Merges) -> DataFrame:
 
     @F.pandas_udf("array<int>")
     def encode(column: pd.Series) -> pd.Series:
-        return column.map(merges.encode)
+        return column.map(lambda w: np.array(merges.encode(w), np.int32))
 
     return words.select("word").distinct().select("word", encode("word").alias("symbols"))
 

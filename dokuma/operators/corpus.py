@@ -77,7 +77,7 @@ def majority(long: DataFrame, seen: DataFrame) -> DataFrame:
     return long.join(first, "text", "left").groupBy("block_id").agg(F.count("*").alias("n_long"), F.sum(dup.cast("long")).alias("n_dup"))
 
 
-def dedup_blocks(long: DataFrame, rounds: int = 50) -> DataFrame:
+def dedup_blocks(long: DataFrame) -> DataFrame:
     """block_id, n_long, n_dup, kept. A block goes if most of its long lines occur in earlier kept blocks.
 
     What a block sees depends on the decisions for earlier blocks only, so rounds that apply the last
@@ -86,14 +86,13 @@ def dedup_blocks(long: DataFrame, rounds: int = 50) -> DataFrame:
     """
     long = stage(long, "long")
     kept, last = long, None
-    for _ in range(rounds):
+    while True:
         now = stage(majority(long, kept).withColumn("kept", F.col("n_dup") * 2 <= F.col("n_long")), "blocks")
         sign = now.agg(F.count_if("kept"), F.coalesce(F.sum(F.when(F.col("kept"), F.xxhash64("block_id").cast("decimal(20,0)"))), F.lit(0))).first()
         if last == tuple(sign):
             return now
         last = tuple(sign)
         kept = long.join(now.where("kept").select("block_id"), "block_id", "left_semi")
-    raise RuntimeError("the blocks have not settled")
 
 
 def sample_blocks(kept: DataFrame) -> DataFrame:

@@ -81,6 +81,16 @@ def _peeled(form: str, outer: tuple[int, ...], kind: str, slot: int) -> Iterator
                 yield stem[:-1] + HARDENS[stem[-1]], *rest
 
 
+def may_parse(word: str, known: frozenset[str] | set[str]) -> bool:
+    """Whether some prefix of the word is a root, its last letter hardened or not: without one there is no parse."""
+    if word in known:
+        return True
+    for n in range(1, len(word)):
+        if word[:n] in known or (word[n - 1] in HARDENS and word[: n - 1] + HARDENS[word[n - 1]] in known):
+            return True
+    return False
+
+
 def best(parses: list[tuple[str, tuple[int, ...]]], frequency: dict[str, int]) -> tuple[str, tuple[int, ...]] | None:
     """The parse of the most frequent root, then of the fewest suffixes, then the first."""
     return min(parses, key=lambda p: (-frequency.get(p[0], 0), len(p[1])), default=None)
@@ -97,7 +107,7 @@ def analyze_words(words: DataFrame, known: DataFrame, limit: int = 2_000_000) ->
 
     @F.pandas_udf(kind)
     def parse(column: pd.Series) -> pd.Series:
-        return column.map(lambda w: [{"root": r, "suffixes": list(s)} for r, s in analyze(w, shared.value)[0]])
+        return column.map(lambda w: [{"root": r, "suffixes": list(s)} for r, s in (analyze(w, shared.value)[0] if may_parse(w, shared.value) else [])])
 
     rows = words.select("word").distinct().select("word", F.posexplode(parse("word")).alias("parse_no", "p"))
     return rows.select("word", "parse_no", F.col("p.root").alias("root"), F.col("p.suffixes").alias("suffixes"))

@@ -31,6 +31,19 @@ def numbered(df: DataFrame, order: list[str], name: str = "line_no", within: lis
     return out.drop("_part", "_from")
 
 
+def running(df: DataFrame, order: list[str], size: str, name: str, within: str) -> DataFrame:
+    """Adds the sum of `size` over all earlier rows of the same group `within` (a column of few values, or of many), in
+    the given order, from one range partitioning; what the rows carry moves once. The order must tell rows apart."""
+    rows = ordered(df, within, *order)
+    local = Window.partitionBy("_part", within).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    sums = rows.groupBy("_part", within).agg(F.sum(size).alias("_n"))
+    # a row for each partition and the groups that it holds: groups are ranges, so nearly one row for each of either
+    before = Window.partitionBy(within).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sums.select("_part", within, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_from"))
+    out = rows.withColumn(name, F.coalesce(F.sum(size).over(local), F.lit(0))).join(offsets, ["_part", within])
+    return out.withColumn(name, F.col(name) + F.col("_from")).drop("_part", "_from")
+
+
 def with_neighbour(df: DataFrame, order: list[str], value: str, name: str, ahead: bool = False) -> DataFrame:
     """Adds `value` of the row before (or after) in the global order; null at the end."""
     rows = ordered(df, *order)

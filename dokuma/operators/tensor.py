@@ -89,14 +89,15 @@ def rmsnorm(a: DataFrame, weight: DataFrame | None = None, eps: float = 1e-5) ->
     return out if weight is None else out.join(weight, "j").select("i", "j", (F.col("v") * F.col("w")).alias("v"))
 
 
-def rope(a: DataFrame, width: int, inverse: bool = False, base: float = 10000.0, position: Column | None = None) -> DataFrame:
-    """Pairs (2k, 2k + 1) of row i turned by position * base^(-2k / width); the position is i by default."""
+def rope(a: DataFrame, width: int, inverse: bool = False, base: float = 10000.0, position: Column | None = None, by: tuple[str, ...] = ()) -> DataFrame:
+    """Pairs (2k, 2k + 1) of row i turned by position * base^(-2k / width); the position is i by default. Sequences
+    and heads in `by`."""
     k = F.floor(F.col("j") / 2)
-    pairs = a.groupBy("i", k.alias("k")).agg(F.max(F.when(F.col("j") % 2 == 0, F.col("v"))).alias("x"), F.max(F.when(F.col("j") % 2 == 1, F.col("v"))).alias("y"))
+    pairs = a.groupBy(*by, "i", k.alias("k")).agg(F.max(F.when(F.col("j") % 2 == 0, F.col("v"))).alias("x"), F.max(F.when(F.col("j") % 2 == 1, F.col("v"))).alias("y"))
     angle = (F.col("i") if position is None else position) * F.pow(F.lit(base), -2 * F.col("k") / F.lit(width)) * (-1 if inverse else 1)
     x, y, c, s = F.col("x"), F.col("y"), F.cos(angle), F.sin(angle)
     both = F.array(F.struct((2 * F.col("k")).alias("j"), (x * c - y * s).alias("v")), F.struct((2 * F.col("k") + 1).alias("j"), (x * s + y * c).alias("v")))
-    return pairs.select("i", F.inline(both)).select("i", F.col("j").cast("int").alias("j"), "v")
+    return pairs.select(*by, "i", F.inline(both)).select(*by, "i", F.col("j").cast("int").alias("j"), "v")
 
 
 def causal_attention(q: DataFrame, k: DataFrame, v: DataFrame, width: int, by: tuple[str, ...] = ()) -> DataFrame:
@@ -121,6 +122,28 @@ def block(x: DataFrame, weights: dict[str, DataFrame], width: int) -> DataFrame:
     return combine(x, swiglu(matmul(h, weights["gate"]), matmul(h, weights["up"]), weights["down"]), lambda a, b: a + b)
 
 
+def multi_head_attention(x: DataFrame, weights: dict[str, DataFrame], heads: int, width: int, length: int) -> DataFrame:
+    """Causal self-attention of a batch: rows i are positions of sequences of `length` rows, one after another; no row
+    sees another sequence. weights: qkv (i, j, v: queries, keys and values side by side), qkv_bias (j, b), out, out_bias."""
+    size, by = width // heads, ("s", "h")
+    fused = add_bias(matmul(x, weights["qkv"]), weights["qkv_bias"])
+    split = [F.floor(F.col("i") / length).alias("s"), F.floor(F.col("j") / size).alias("h"), (F.col("i") % length).alias("i"), (F.col("j") % size).cast("int").alias("j"), "v"]
+    q, k, v = (slice_cols(fused, n * width, (n + 1) * width).select(*split) for n in range(3))
+    seen = causal_attention(rope(q, size, by=by), rope(k, size, by=by), v, size, by)
+    joined = seen.select((F.col("s") * length + F.col("i")).alias("i"), (F.col("h") * size + F.col("j")).cast("int").alias("j"), "v")
+    return add_bias(matmul(joined, weights["out"]), weights["out_bias"])
+
+
+def multi_head_block(x: DataFrame, weights: dict[str, DataFrame], heads: int, width: int, hidden: int, length: int) -> DataFrame:
+    """A pre-norm block with the parameters of plans.model: attn_norm and ffn_norm (j, w), the attention's, gate_up (gates
+    and ups side by side), gate_up_bias, down and down_bias."""
+    plus = lambda a, b: a + b
+    x = combine(x, multi_head_attention(rmsnorm(x, weights["attn_norm"]), weights, heads, width, length), plus)
+    both = add_bias(matmul(rmsnorm(x, weights["ffn_norm"]), weights["gate_up"]), weights["gate_up_bias"])
+    out = swiglu(slice_cols(both, 0, hidden), slice_cols(both, hidden, 2 * hidden), weights["down"])
+    return combine(x, add_bias(out, weights["down_bias"]), plus)
+
+
 def forward(ids: DataFrame, embedding: DataFrame, layers: list[dict[str, DataFrame]], norm: DataFrame, width: int) -> DataFrame:
     """Logits of a sequence (i, token): embedding, blocks, a last norm and the embedding's transpose."""
     x = embed(ids, embedding)
@@ -152,6 +175,45 @@ def cross_entropy_grad(logits: DataFrame, targets: DataFrame, n: int) -> DataFra
     return p.select("i", "j", ((F.col("v") - (F.col("j") == F.col("target")).cast("double")) / n).alias("v"))
 
 
+def sum_all(a: DataFrame) -> DataFrame:
+    """v: the sum of all entries."""
+    return a.agg(F.coalesce(F.sum("v"), F.lit(0.0)).alias("v"))
+
+
+def sum_all_grad(a: DataFrame, g: float) -> DataFrame:
+    """The one gradient of the sum, at every place of a."""
+    return a.select("i", "j", F.lit(float(g)).alias("v"))
+
+
+def scale_grad(g: DataFrame, by: float) -> DataFrame:
+    return each(g, lambda v: v * by)
+
+
+def add_grad(g: DataFrame) -> tuple[DataFrame, DataFrame]:
+    return g, g
+
+
+def sub_grad(g: DataFrame) -> tuple[DataFrame, DataFrame]:
+    return g, scale_grad(g, -1.0)
+
+
+def slice_cols_grad(g: DataFrame, lo: int) -> DataFrame:
+    """Back to the slice's place; entries outside it have no row, which stands for zero."""
+    return g.withColumn("j", F.col("j") + lo)
+
+
+def slice_rows_grad(g: DataFrame, lo: int) -> DataFrame:
+    return g.withColumn("i", F.col("i") + lo)
+
+
+def concat_cols_grad(g: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
+    return g.where(F.col("j") < width), g.where(F.col("j") >= width).withColumn("j", F.col("j") - width)
+
+
+def concat_rows_grad(g: DataFrame, height: int) -> tuple[DataFrame, DataFrame]:
+    return g.where(F.col("i") < height), g.where(F.col("i") >= height).withColumn("i", F.col("i") - height)
+
+
 def softmax_grad(y: DataFrame, g: DataFrame) -> DataFrame:
     both = y.join(g.withColumnRenamed("v", "g"), ["i", "j"])
     return both.select("i", "j", (F.col("v") * (F.col("g") - F.sum(F.col("v") * F.col("g")).over(_row()))).alias("v"))
@@ -230,13 +292,36 @@ def warmup_cosine(step: Column, warmup: int, total: int, peak: float, least: flo
 
 
 def ema(rows: DataFrame, order: str, value: str, keep: float = 0.98, by: tuple[str, ...] = ()) -> DataFrame:
-    """Running average of each series in `by`, seeded by its first value: a weighted sum over all earlier
-    rows, in closed form (a series of up to 30,000 rows at the usual factor; doubles end beyond)."""
+    """Running average of each series in `by`, seeded by its first value: a weighted sum over the earlier rows in
+    closed form, in blocks over which the weights stay within doubles. A block starts from the average at the end of
+    the block before; what lies before that block weighs less than e^-500 and is nothing in doubles."""
+    size = max(int(500 / -math.log(keep)), 1) if 0 < keep < 1 else 1 << 62
     w = Window.partitionBy(*by).orderBy(order)
-    seq = rows.withColumns({"_n": F.row_number().over(w) - 1})
-    part = F.when(F.col("_n") == 0, F.col(value)).otherwise((1 - keep) * F.col(value)) * F.pow(F.lit(keep), -F.col("_n"))
-    total = F.sum(part).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    return seq.withColumn("ema", total * F.pow(F.lit(keep), F.col("_n"))).drop("_n")
+    seq = rows.withColumn("_n", F.row_number().over(w) - 1).withColumn("_block", F.floor(F.col("_n") / size)).withColumn("_at", F.col("_n") % size)
+    part = F.when(F.col("_n") == 0, F.col(value)).otherwise((1 - keep) * F.col(value)) * F.pow(F.lit(keep), -F.col("_at"))
+    inner = F.sum(part).over(Window.partitionBy(*by, "_block").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)) * F.pow(F.lit(keep), F.col("_at"))
+    own = seq.withColumn("_own", inner)
+    ends = own.where(F.col("_at") == size - 1).select(*by, (F.col("_block") + 1).alias("_block"), F.col("_own").alias("_given"))
+    carried = F.coalesce("_given", F.lit(0.0)) * F.pow(F.lit(keep), F.col("_at") + 1)
+    return own.join(ends, [*by, "_block"], "left").withColumn("ema", F.col("_own") + carried).drop("_n", "_at", "_own", "_given", "_block")
+
+
+def mean_of_means(losses: DataFrame, by: str, value: str = "loss") -> DataFrame:
+    """loss: the mean over the sequences in `by` of each one's mean."""
+    return losses.groupBy(by).agg(F.avg(value).alias("_m")).agg(F.avg("_m").alias("loss"))
+
+
+def weighted_metric(metrics: DataFrame, weights: dict[str, int]) -> DataFrame:
+    """metric: the corpora's values (corpus, loss), weighted by their shares in a batch."""
+    share = F.create_map(*(F.lit(x) for c, n in weights.items() for x in (c, n / sum(weights.values()))))
+    return metrics.agg(F.sum(F.col("loss") * share[F.col("corpus")]).alias("metric"))
+
+
+def fixed3(value: Column) -> Column:
+    """A number with three decimals, halves away from zero."""
+    thousandths = F.floor(F.abs(value) * 1000 + 0.5)
+    whole = F.floor(thousandths / 1000).cast("string")
+    return F.concat(F.when(value < 0, "-").otherwise(""), whole, F.lit("."), F.lpad((thousandths % 1000).cast("string"), 3, "0"))
 
 
 def best_so_far(rows: DataFrame, order: str, value: str, by: tuple[str, ...] = ()) -> DataFrame:

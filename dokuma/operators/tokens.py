@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dokuma.functions import hashing, turkish
 from dokuma.functions.turkish import SUFFIXES
 from dokuma.operators import morphology
 from dokuma.operators.bpe import Merges
-from dokuma.operators.order import numbered, with_neighbour
+from dokuma.operators.order import running, with_neighbour
 
 # Bytes of a piece, share of validation tokens in 1000, sequences of a mixture by corpus.
 PIECE, VALIDATION = 100, 10
@@ -33,9 +34,11 @@ def eos_count(text: Column) -> Column:
     return F.regexp_count(text, F.lit("\n{2,}"))
 
 
-def cut(piece: str, size: int = PIECE) -> list[str]:
-    """Pieces of at most `size` bytes, cut between characters."""
-    raw, out = piece.encode("utf-8"), []
+def cut(piece: str, size: int = PIECE, safe: bool = True) -> list[str]:
+    """Pieces of at most `size` bytes, cut between characters; unless `safe`, anywhere (lone bytes are escaped)."""
+    raw, out = piece.encode("utf-8", "surrogateescape"), []
+    if not safe:
+        return [raw[i : i + size].decode("utf-8", "surrogateescape") for i in range(0, len(raw), size)]
     while len(raw) > size:
         at = size
         while raw[at] & 0xC0 == 0x80:
@@ -46,11 +49,12 @@ def cut(piece: str, size: int = PIECE) -> list[str]:
 
 
 def segments(text: str, eos: bool = True) -> list[str | None]:
-    """Pieces of a text in order; None stands for an end of passage. Without eos, line feeds are plain text."""
+    """Pieces of a text in order; None stands for an end of passage. Without eos, as a prompt is encoded, line feeds
+    are plain text and long pieces are cut at any byte."""
     out: list[str | None] = []
     for m in _RUN.finditer(text):
         if m[1] or not eos:
-            out += cut(m[0])
+            out += cut(m[0], safe=eos)
             continue
         for i, gap in enumerate(re.split("\n{2,}", m[0])):
             out += ([None] if i else []) + cut(gap)
@@ -66,7 +70,7 @@ class Vocabulary:
         self.bos, self.eos, self.size = self.pad + 1, self.pad + 2, self.pad + 3
 
     def encode_word(self, word: str, known: frozenset[str], frequency: dict[str, int]) -> list[int]:
-        parse = morphology.best(morphology.analyze(word, known)[0], frequency)
+        parse = morphology.best(morphology.analyze(word, known)[0], frequency) if morphology.may_parse(word, known) else None
         root, suffixes = parse or (word, ())
         return [self.base + s for s in self.merges.encode(root)] + list(suffixes)
 
@@ -94,35 +98,52 @@ class Vocabulary:
         return (done.encode("utf-8", "surrogateescape") + word).decode("utf-8", "replace")
 
 
+#: Pieces that a worker remembers at most, and what it remembers: by the tokenizer's digest, ids by piece.
+REMEMBERED = 1_000_000
+_remembered: dict[str, dict[str | None, list[int]]] = {}
+
+
 def tokenize(docs: DataFrame, vocabulary: Vocabulary, known: frozenset[str], frequency: dict[str, int], id_col: str = "doc_id") -> DataFrame:
-    """doc_id, tokens. Each batch analyses its distinct pieces once."""
+    """doc_id, tokens. A worker analyses each piece once and remembers it over its batches and tasks."""
+    digest = hashlib.sha256(repr((vocabulary.merges.merges, sorted(known), sorted(frequency.items()))).encode()).hexdigest()
+    shared = docs.sparkSession.sparkContext.broadcast((vocabulary, known, frequency))
 
     @F.pandas_udf("array<int>")
     def encode(column: pd.Series) -> pd.Series:
-        seen: dict[str | None, list[int]] = {None: [vocabulary.eos]}
+        from dokuma.operators import tokens as here  # the module's own memory, not a copy sent along
 
-        def one(text: str) -> list[int]:
+        if digest not in here._remembered:
+            here._remembered.clear()
+            here._remembered[digest] = {None: [shared.value[0].eos]}
+        seen = here._remembered[digest]
+
+        def one(text: str | None) -> np.ndarray:
             out: list[int] = []
             for piece in segments(text or ""):
                 ids = seen.get(piece)
                 if ids is None:
-                    ids = seen[piece] = vocabulary.encode_word(piece, known, frequency)
+                    if len(seen) > REMEMBERED:
+                        seen.clear()
+                        seen[None] = [shared.value[0].eos]
+                    ids = seen[piece] = shared.value[0].encode_word(piece, *shared.value[1:])
                 out += ids
-            return out
+            return np.array(out, np.int32)
 
         return column.map(one)
 
     return docs.select(id_col, encode("text").alias("tokens"))
 
 
-def stream(tokens: DataFrame, corpus: Column, order: list[str]) -> DataFrame:
-    """corpus, pos, token: positions run on through each corpus in the given order."""
-    return numbered(tokens.withColumn("corpus", corpus), order, "pos", within=["corpus"]).select("corpus", "pos", "token")
+def stream(texts: DataFrame, order: list[str]) -> DataFrame:
+    """corpus, pos, token: positions run on through each corpus in the given order of its texts. texts: corpus,
+    tokens (an array) and the order's columns; a text's first position is the sum of the sizes before it."""
+    placed = running(texts.withColumn("_size", F.size("tokens").cast("long")).where("_size > 0"), order, "_size", "_start", "corpus")
+    return placed.select("corpus", "_start", F.posexplode("tokens").alias("_at", "token")).select("corpus", (F.col("_start") + F.col("_at")).alias("pos"), "token")
 
 
-def split(tokens: DataFrame) -> DataFrame:
-    """num_tokens, train_tokens, val_tokens of each corpus: the last VALIDATION in 1000 validate."""
-    n = F.count("*")
+def split(tokens: DataFrame, n: Column | None = None) -> DataFrame:
+    """num_tokens, train_tokens, val_tokens of each corpus: the last VALIDATION in 1000 validate. A row is a token, or n tokens."""
+    n = F.count("*") if n is None else F.sum(n)
     val = F.floor(n * VALIDATION / 1000).cast("long")
     return tokens.groupBy("corpus").agg(n.alias("num_tokens"), (n - val).alias("train_tokens"), val.alias("val_tokens"))
 
@@ -145,10 +166,15 @@ def window_tokens(windows: DataFrame, tokens: DataFrame, length: int) -> DataFra
     return rows.select(*keys, "start", F.slice("t", 1, length).alias("ids"), F.slice("t", 2, length).alias("targets"))
 
 
-def next_tokens(tokens: DataFrame) -> DataFrame:
-    """corpus, pos, token, next: the pairs that a model learns from."""
-    rows = with_neighbour(tokens.withColumn("_both", F.struct("corpus", "token")), ["corpus", "pos"], "_both", "_next", ahead=True)
-    return rows.where(F.col("_next.corpus") == F.col("corpus")).select("corpus", "pos", "token", F.col("_next.token").alias("next"))
+def next_tokens(texts: DataFrame, order: list[str]) -> DataFrame:
+    """corpus, token, next: the pairs that a model learns from. Pairs within a text need no shuffle; those over
+    the texts' borders come from each text's first and last token, in the order of the texts."""
+    full = texts.where(F.size("tokens") > 0)
+    n = F.size("tokens")
+    inner = full.where(n > 1).select("corpus", F.explode(F.arrays_zip(F.slice("tokens", F.lit(1), n - 1).alias("token"), F.slice("tokens", F.lit(2), n - 1).alias("next"))).alias("p")).select("corpus", "p.token", "p.next")
+    ends = full.select("corpus", *order, F.struct("corpus", F.get("tokens", F.lit(0)).alias("first")).alias("_head"), F.get("tokens", n - 1).alias("token"))
+    over = with_neighbour(ends, ["corpus", *order], "_head", "_next", ahead=True).where(F.col("_next.corpus") == F.col("corpus"))
+    return inner.unionByName(over.select("corpus", "token", F.col("_next.first").alias("next")))
 
 
 def random_windows(size: int, length: int, batch: int, seed: int) -> np.ndarray:
@@ -168,11 +194,23 @@ def mixture(sizes: DataFrame, step: int, length: int) -> DataFrame:
 
 
 def sample_next(probabilities: DataFrame, draw: Column) -> DataFrame:
-    """The first j whose running probability reaches the draw; columns i, j, p."""
-    from pyspark.sql import Window
-
+    """The first j whose running probability reaches the draw (the last j if rounding leaves none); columns i, j, p."""
     run = F.sum("p").over(Window.partitionBy("i").orderBy("j"))
-    return probabilities.withColumn("_run", run).where(F.col("_run") >= draw).groupBy("i").agg(F.min("j").alias("j"))
+    hit = F.min(F.when(F.col("_run") >= draw, F.col("j")))
+    return probabilities.withColumn("_run", run).groupBy("i").agg(F.coalesce(hit, F.max("j")).alias("j"))
+
+
+def sample_logits(logits: DataFrame, draw: Column, temperature: float = 1.0) -> DataFrame:
+    """i, j: a draw from the softmax of logits (i, j, v) over the temperature."""
+    row = Window.partitionBy("i")
+    e = F.exp((F.col("v") - F.max("v").over(row)) / temperature)
+    weights = logits.withColumn("_e", e)
+    return sample_next(weights.withColumn("p", F.col("_e") / F.sum("_e").over(row)).drop("_e"), draw)
+
+
+def token_class(token: Column, base: int, symbols: int) -> Column:
+    """suffix, piece or special, by a token's id: suffixes first, then merge symbols."""
+    return F.when(token < base, "suffix").when(token < base + symbols, "piece").otherwise("special")
 
 
 def context(ids: Column, length: int = 1024) -> Column:

@@ -65,10 +65,13 @@ def _lines(spark: SparkSession, sf: str) -> DataFrame:
     return corpus.numbered_lines(_docs(spark, sf))
 
 
-def _stream(spark: SparkSession, sf: str) -> DataFrame:
+def _texts(spark: SparkSession, sf: str) -> DataFrame:
     kept = F.filter(F.split("text", "[ \n]+"), lambda x: x != "")
-    toks = _docs(spark, sf).select("doc_id", F.posexplode(kept).alias("wpos", "w")).select("doc_id", "wpos", F.octet_length("w").alias("token"))
-    return tokens.stream(toks, F.when(F.col("doc_id") % 2 == 0, "sub").otherwise("wiki"), ["doc_id", "wpos"])
+    return _docs(spark, sf).select(F.when(F.col("doc_id") % 2 == 0, "sub").otherwise("wiki").alias("corpus"), "doc_id", F.transform(kept, F.octet_length).alias("tokens"))
+
+
+def _stream(spark: SparkSession, sf: str) -> DataFrame:
+    return tokens.stream(_texts(spark, sf), ["doc_id"])
 
 
 @query(WORDS_SQL.format("documents").replace("SELECT translate", "SELECT word, count(*) AS cnt FROM (SELECT translate", 1) + ") GROUP BY word")
@@ -186,7 +189,21 @@ def q13_block_dedup_first_seen(spark: SparkSession, sf: str) -> DataFrame:
     return corpus.majority(long, long).withColumn("duplicate", F.col("n_dup") * 2 > F.col("n_long"))
 
 
-@query()
+_BLOCKS_SQL = f"""
+WITH RECURSIVE {LINES_SQL},
+l AS (SELECT line_no, line_no // 200 AS block_id, text FROM numbered WHERE strlen(text) >= 24),
+has AS (SELECT DISTINCT text, block_id FROM l),
+earlier AS (SELECT l.line_no, l.block_id, list(has.block_id) FILTER (WHERE has.block_id < l.block_id) AS seen FROM l JOIN has USING (text) GROUP BY 1, 2),
+b AS (SELECT block_id, row_number() OVER (ORDER BY block_id) AS k, list(coalesce(seen, [])) AS seen, count(*) AS n_long FROM earlier GROUP BY block_id),
+r AS (
+  SELECT CAST(0 AS BIGINT) AS k, CAST(-1 AS BIGINT) AS block_id, CAST(0 AS BIGINT) AS n_long, CAST(0 AS BIGINT) AS n_dup, CAST([] AS BIGINT[]) AS kept_blocks
+  UNION ALL
+  SELECT k, block_id, n_long, n_dup, CASE WHEN 2 * n_dup <= n_long THEN list_append(kept_blocks, block_id) ELSE kept_blocks END
+  FROM (SELECT b.k, b.block_id, b.n_long, CAST(len(list_filter(b.seen, lambda s: list_has_any(s, r.kept_blocks))) AS BIGINT) AS n_dup, r.kept_blocks FROM r JOIN b ON b.k = r.k + 1))
+SELECT block_id, n_long, n_dup, 2 * n_dup <= n_long AS kept FROM r WHERE k > 0"""
+
+
+@query(_BLOCKS_SQL)
 def q14_block_dedup_exact(spark: SparkSession, sf: str) -> DataFrame:
     return corpus.dedup_blocks(corpus.long_lines(_lines(spark, sf)))
 
@@ -198,7 +215,7 @@ def q15_block_sample(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"WITH {STREAM_SQL} SELECT corpus, count(*) AS num_tokens, count(*) - count(*) * 10 // 1000 AS train_tokens, count(*) * 10 // 1000 AS val_tokens FROM stream GROUP BY corpus")
 def q16_train_val_split(spark: SparkSession, sf: str) -> DataFrame:
-    return tokens.split(_stream(spark, sf))
+    return tokens.split(_texts(spark, sf).where(F.size("tokens") > 0), F.size("tokens").cast("long"))
 
 
 @query(
@@ -219,7 +236,7 @@ def q17_val_windows(spark: SparkSession, sf: str) -> DataFrame:
     "SELECT corpus, token, next, count(*) AS n FROM p WHERE next IS NOT NULL GROUP BY 1, 2, 3"
 )
 def q18_next_token_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    return tokens.next_tokens(_stream(spark, sf)).groupBy("corpus", "token", "next").agg(F.count("*").alias("n"))
+    return tokens.next_tokens(_texts(spark, sf), ["doc_id"]).groupBy("corpus", "token", "next").agg(F.count("*").alias("n"))
 
 
 @query()
@@ -290,8 +307,15 @@ def q23_bpe_apply_merge(spark: SparkSession, sf: str) -> DataFrame:
     return merged.groupBy("word").agg(F.count("*").alias("n_symbols"), F.count_if(F.col("sym") == 256).alias("n_merged"))
 
 
+_trained: dict[tuple[str, str], bpe.Merges] = {}
+
+
 def _merges(spark: SparkSession, sf: str) -> bpe.Merges:
-    return bpe.Merges(bpe.train(corpus.word_counts(_docs(spark, sf)), 200))
+    """The merges of a data folder's words, trained once a session."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _trained:
+        _trained[key] = bpe.Merges(bpe.train(corpus.word_counts(_docs(spark, sf)), 200))
+    return _trained[key]
 
 
 @query()
@@ -304,7 +328,7 @@ def q25_bpe_encode(spark: SparkSession, sf: str) -> DataFrame:
     return bpe.encode_words(corpus.word_counts(_docs(spark, sf)), _merges(spark, sf))
 
 
-@query()
+@query(f"SELECT DISTINCT word, word AS decoded, true AS same FROM ({WORDS_SQL.format('documents')})")
 def q26_decode_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     rows = bpe.decode_words(q25_bpe_encode(spark, sf), _merges(spark, sf))
     return rows.select("word", "decoded", (F.col("word") == F.col("decoded")).alias("same"))
@@ -511,7 +535,12 @@ def q49_turn_neighbours(spark: SparkSession, sf: str) -> DataFrame:
     return rows.withColumn("before", F.lag("role").over(Window.partitionBy("conv_id").orderBy("turn")))
 
 
-@query()
+@query(
+    f"WITH {LINES_SQL}, h AS (SELECT doc_id, pos, list_reduce(list_prepend(CAST({hashing.OFFSET} AS HUGEINT), list_transform(range(strlen(text)), "
+    "lambda i: CAST(('0x' || substring(hex(encode(text)), CAST(2 * i + 1 AS INTEGER), 2)) AS HUGEINT))), "
+    f"lambda a, x: xor(a, x) * {hashing.PRIME} % 18446744073709551616) AS h FROM lines) "
+    "SELECT doc_id, CAST(pos AS INTEGER) AS pos, CAST(CASE WHEN h >= 9223372036854775808 THEN h - 18446744073709551616 ELSE h END AS BIGINT) AS hash FROM h"
+)
 def q50_fnv1a(spark: SparkSession, sf: str) -> DataFrame:
     return corpus.lines(_docs(spark, sf)).select("doc_id", "pos", hashing.fnv1a_col("text").alias("hash"))
 

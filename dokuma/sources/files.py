@@ -7,9 +7,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
+from dokuma.operators.order import numbered
+
 PAGE = "title STRING, ns INT, redirect STRUCT<_title: STRING>, revision STRUCT<text: STRUCT<_VALUE: STRING>>"
 
 
@@ -25,6 +27,23 @@ def read_lines(spark: SparkSession, path: str, longest: int = 65536) -> DataFram
     return spark.read.text(path).select(F.col("value").alias("text")).where(F.octet_length("text") <= longest)
 
 
+def read_numbered_lines(spark: SparkSession, path: str, longest: int = 65536) -> DataFrame:
+    """text and line_no, from 0 in the order of the files' names and of the lines in them; overlong lines are
+    counted, but left out."""
+    place = [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block")]
+    # a task reads its blocks in order, each from start to end
+    rows = spark.read.text(path).select(F.col("value").alias("text"), *place, F.monotonically_increasing_id().alias("_at"))
+    out = numbered(rows, ["_file", "_block", "_at"], "line_no")
+    return out.where(F.octet_length("text") <= longest).select("line_no", "text")
+
+
+def progress(df: DataFrame, name: str, **counted: Column) -> tuple[DataFrame, Observation]:
+    """df, and what is counted as it is written: rows, and the rows for which each given condition holds. Read the
+    observation after an action."""
+    seen = Observation(name)
+    return df.observe(seen, F.count(F.lit(1)).alias("rows"), *(F.count_if(c).alias(n) for n, c in counted.items())), seen
+
+
 def read_counts(spark: SparkSession, path: str) -> DataFrame:
     """word, cnt of a tab-separated file; carriage returns go, lines without a tab are left out."""
     parts = F.split(F.regexp_replace("value", "\r$", ""), "\t")
@@ -44,18 +63,23 @@ def write_words(words: DataFrame, path: str) -> None:
 
 
 def read_tokens(spark: SparkSession, path: str, corpus: str) -> DataFrame:
-    """corpus, pos, token of a headerless little-endian 32-bit token file, for exchange with other programs
-    (one file is one task's read: keep larger streams as Parquet). Bytes past the last token are dropped."""
+    """corpus, pos, token of headerless little-endian 32-bit token files, for exchange with other programs.
+    Positions run on over the files in the order of their names. A file is one task's read, of 2 GB at most, as
+    export_tokens writes them; bytes past a file's last token are dropped."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for raw in batch.column(0).to_pylist():
+            for raw, start in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 ids = np.frombuffer(raw[: len(raw) // 4 * 4], "<u4").astype(np.int64)
                 for lo in range(0, len(ids), 500_000):
                     part = ids[lo : lo + 500_000]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.arange(lo, lo + len(part))), pa.array(part)], names=["pos", "token"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.arange(start + lo, start + lo + len(part))), pa.array(part)], names=["pos", "token"])
 
-    files = spark.read.format("binaryFile").load(path).select("content")
+    found = spark.read.format("binaryFile").load(path)
+    # a row for each file
+    before = Window.orderBy("path").rowsBetween(Window.unboundedPreceding, -1)
+    starts = found.select("path", F.coalesce(F.sum(F.floor(F.col("length") / 4)).over(before), F.lit(0)).cast("long").alias("start"))
+    files = found.join(F.broadcast(starts), "path").select("content", "start")
     return files.mapInArrow(run, "pos long, token long").select(F.lit(corpus).alias("corpus"), "pos", "token")
 
 
@@ -73,6 +97,38 @@ def write_tokens(tokens: DataFrame, path: str) -> None:
     chunks.write.partitionBy("corpus").parquet(path)
 
 
+def export_tokens(spark: SparkSession, chunks: str, corpus: str, path: str, size: int = 1 << 30) -> None:
+    """Token files of at most `size` bytes from the chunks that write_tokens wrote, chunk after chunk: no more than one is
+    in memory. For exchange with programs that read one stream."""
+    place, conf = spark.sparkContext._jvm.org.apache.hadoop.fs.Path, spark.sparkContext._jsc.hadoopConfiguration()
+    rows = spark.read.parquet(chunks).where(F.col("corpus") == corpus).select("chunk", "ids").orderBy("chunk").toLocalIterator()
+    out, number, held = None, 0, 0
+    for row in rows:
+        if out is None or held + len(row["ids"]) > size:
+            if out is not None:
+                out.close()
+            target = place(f"{path.rstrip('/')}/tokens-{number:06d}.bin")
+            out, number, held = target.getFileSystem(conf).create(target, True), number + 1, 0
+        out.write(bytearray(row["ids"]))
+        held += len(row["ids"])
+    if out is not None:
+        out.close()
+
+
+def save_best(spark: SparkSession, value: float, path: str) -> None:
+    """The best metric so far, beside a checkpoint."""
+    spark.createDataFrame([(float(value),)], "best float").coalesce(1).write.mode("overwrite").parquet(path)
+
+
+def load_best(spark: SparkSession, path: str, worst: float = 3.0e38) -> float:
+    """The best metric so far; `worst` where there is none, or not exactly one value."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if not place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place):
+        return worst
+    rows = spark.read.parquet(path).take(2)
+    return rows[0][0] if len(rows) == 1 and rows[0][0] is not None else worst
+
+
 def write_merges(merges: list[tuple[int, int, int]], spark: SparkSession, path: str) -> None:
     rows = [(i, *m) for i, m in enumerate(merges)]
     spark.createDataFrame(rows, "rank int, left int, right int, new_id int").coalesce(1).write.parquet(path)
