@@ -82,6 +82,45 @@ def test_shards(spark, docs, empty, rows):
     assert len(load) == 10 and max(load) < 1.03 * min(load)
 
 
+def test_written_shards(spark, odd, tmp_path):
+    """Every record once, null and repeated ids included, in the order of its slot, with all its columns."""
+    sharding.write_shards(odd, str(tmp_path / "out"), 3, rows_per_file=2)
+    back = spark.read.parquet(str(tmp_path / "out"))
+    assert Counter(tuple(r)[: len(odd.columns)] for r in back.select(*odd.columns).collect()) == Counter(map(tuple, odd.collect()))
+    for r in back.groupBy("shard").agg(F.sort_array(F.collect_list("slot")).alias("s")).collect():
+        assert r["s"] == list(range(len(r["s"])))
+    with pytest.raises(ValueError):
+        sharding.write_shards(odd.withColumn("Slot", F.lit(1)), str(tmp_path / "no"), 3)
+    named = sharding.shard(odd, F.xxhash64("text"), F.col("doc_id"), F.lit(1), 4)
+    assert named.columns == [*odd.columns, "shard", "slot"] and Counter(tuple(r)[: len(odd.columns)] for r in named.collect()) == Counter(map(tuple, odd.collect()))
+
+
+def test_near_duplicates_with_odd_ids_and_names(spark, odd):
+    before = odd.collect()
+    got = forest.near_duplicates(odd).collect()
+    assert Counter(r["doc_id"] for r in got) == Counter(r["doc_id"] for r in before)
+    linked = [r for r in got if r["n_shingles"] and r["component_id"] is None]
+    assert {r["doc_id"] for r in linked} == {2**62, -(2**62), 5, 9, None, 2**63 - 1, -(2**63)} and len(linked) == 11
+    assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in got)
+    pairs = spark.createDataFrame([(5, "a b c d e f g h i j k l m n"), (5, "a b c d e f g h i j k l m n o"), (9, "a b c d e f g h i j k l m n o p")], "doc_id long, text string")
+    assert sorted(tuple(r) for r in forest.near_duplicates(pairs).collect()) == [(5, 10, 5, True), (5, 11, 5, True), (9, 12, 5, False)]
+    kept = forest.drop_near_duplicates(odd)
+    assert kept.columns == odd.columns
+    rows = kept.collect()
+    assert not set(map(tuple, rows)) - set(map(tuple, before)) and sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in rows) == [(False, 5), (False, 7), (False, 7), (True, 0)]
+    bench = spark.createDataFrame([(1, next(r["text"] for r in before if r["doc_id"] == 9))], "item_id long, text string")
+    clean = decontaminate.drop_leaks(odd, bench).collect()
+    assert sorted((r["doc_id"], r["text"] is None) for r in clean) == [(5, False), (7, False), (7, True)] and not set(map(tuple, clean)) - set(map(tuple, before))
+    marks = spark.createDataFrame([(5, 1, 0)], "doc_id long, quality int, toxic int")
+    assert Counter(map(tuple, resample.keep_quality(odd, marks).collect())) == Counter(map(tuple, before))
+
+
+def test_hubs_are_spread(spark):
+    star = [(0, i) for i in range(1, 400)] + [(i, 1000 + i) for i in range(1, 400, 7)]
+    got = {r["node"]: r["root"] for r in components(spark.createDataFrame(star, "a long, b long").repartition(4), hub=20).collect()}
+    assert set(got.values()) == {0} and len(got) == 400 + len(range(1, 400, 7))
+
+
 WIDE = rb"(?<=\xe3\x80\x82)|(?<=\xef\xbc\x81)|(?<=\xef\xbc\x9f)"
 
 
@@ -357,6 +396,24 @@ def test_top_k(spark):
     assert topk.top_k(df.limit(0), "vec_id", "embedding", F.col("vec_id") % 20 == 0, 20).count() == 0
 
 
+def test_top_k_with_norms_that_differ(spark):
+    """Blocks by falling norm, floors shared between them, sums beyond 2^53, and components that leave 64 bits."""
+    rng = np.random.default_rng(16)
+    for scale in (1.0, 1e7):
+        rows = [(i, (rng.normal(size=24) * scale * 10 ** (-2 * rng.random())).tolist()) for i in range(900)]
+        df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)
+        got = {}
+        for r in topk.top_k(df, "vec_id", "embedding", F.col("vec_id") % 20 == 0, 7, query_block=16, row_block=60).collect():
+            got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+        whole = [(i, [math.floor(64 * x) for x in v]) for i, v in rows]
+        for q, v in whole[::20]:
+            scored = sorted((-sum(a * b for a, b in zip(v, w, strict=True)), i) for i, w in whole if i != q)[:7]
+            assert sorted(got[q]) == [(n + 1, i, -s) for n, (s, i) in enumerate(scored)]
+    large = spark.createDataFrame([(0, [1e18]), (1, [1.0])], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="64 bits"):
+        topk.top_k(large, "vec_id", "embedding", F.col("vec_id") % 20 == 0, 20).collect()
+
+
 def test_language_model(docs, empty, rows):
     held = lambda d: d is not None and zlib.crc32(str(d).encode()) % 7 == 2
     toks = [(d, [*words_of(t), None]) for d, t in rows]
