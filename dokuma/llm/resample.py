@@ -107,7 +107,7 @@ def _counts(labelled: DataFrame) -> np.ndarray:
 
     out = np.zeros((3 * SLICES, width))
     # COUNTERS blobs a slice, and 3 * SLICES rows at the driver, 24 MB at most, whatever the input
-    dealt = labelled.select("text", "kind", "weight").repartition(COUNTERS)
+    dealt = labelled.select("text", "kind", "weight").coalesce(COUNTERS)
     for row in dealt.mapInArrow(trimmed(run), "slice int, blob binary").groupBy("slice").applyInArrow(join, "slice int, blob binary").collect():
         out[row[0]] = np.frombuffer(row[1], np.float64)
     return out.reshape(3, BUCKETS)
@@ -140,13 +140,13 @@ def log_weights(data: np.ndarray, offsets: np.ndarray, ratios: np.ndarray, prior
     return (np.minimum.reduceat(own, first[:-1]) if len(first) > 1 else own) + 0.0  # never -0.0: Parquet's row-group filters tell it from 0.0
 
 
-def _weighted(docs: DataFrame, classes: DataFrame) -> DataFrame:
+def _weighted(base: DataFrame, classes: DataFrame) -> DataFrame:
     """text, kind and weight of the labelled rows. Copies and near copies, known by two minima over their
     shingles, share one row's weight: a text that was copied a thousand times is evidence once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            offsets, data = texts(batch.column(1))
+            offsets, data = texts(batch.column(2))
             low = [np.zeros(0, U64), np.zeros(0, U64)]
             for lo, hi in parts(offsets):
                 hashes, at = shingles(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
@@ -156,16 +156,17 @@ def _weighted(docs: DataFrame, classes: DataFrame) -> DataFrame:
                     if len(full):
                         least[full] = np.minimum.reduceat(mix(hashes ^ seed), at[full])
                     low[i] = np.concatenate([low[i], least])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(x.astype(np.int64)) for x in low)], names=["kind", "text", "m0", "m1"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(x.astype(np.int64)) for x in low)], names=["row", "kind", "m0", "m1"])
 
-    rows = stage(docs.join(F.broadcast(classes), "doc_id").select("kind", "text").mapInArrow(trimmed(run), "kind int, text string, m0 long, m1 long"), "minima")
+    labelled = base.join(F.broadcast(classes), "doc_id")
+    rows = stage(labelled.select("row", "kind", "text").mapInArrow(trimmed(run), "row long, kind int, m0 long, m1 long"), "minima")
     out = rows
     for m in ("m0", "m1"):
-        # single ones are left out: LABELLED / 2 rows at most, if labelled ids are not repeated
         times = rows.groupBy(m, "kind").agg(F.count("*").alias(f"n{m}")).where(f"n{m} > 1")
         out = out.join(times, [m, "kind"], "left")
     one = F.lit(1).cast("long")
-    return out.select("text", "kind", (1 / F.greatest(F.coalesce("nm0", one), F.coalesce("nm1", one))).alias("weight"))
+    weights = out.select("row", (1 / F.greatest(F.coalesce("nm0", one), F.coalesce("nm1", one))).alias("weight"))
+    return labelled.select("row", "kind", "text").join(weights, "row").select("text", "kind", "weight")
 
 
 def _kth(rows: DataFrame, column: str, k: int) -> float:
@@ -187,7 +188,7 @@ def _kth(rows: DataFrame, column: str, k: int) -> float:
 
 
 def _draws(base: DataFrame, labels: DataFrame) -> DataFrame:
-    """base (row, doc_id, text_hash, text) without the text, and with log_weight, draw and kept."""
+    """base (row, which tells rows apart, doc_id, text_hash, text) without the text, and with log_weight, draw and kept."""
     per_doc = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("q"), F.max(F.coalesce("toxic", F.lit(0))).alias("t"))
     kind = F.when(F.col("t") == 1, TOXIC).when(F.col("q") == 0, LOW).otherwise(TARGET)
     classes = per_doc.select(F.col("doc_id").cast("long").alias("doc_id"), kind.cast("int").alias("kind"))
@@ -199,7 +200,7 @@ def _draws(base: DataFrame, labels: DataFrame) -> DataFrame:
     total = max(sum(share.values()), 1)
     ratios, prior = np.zeros((2, BUCKETS), np.float32), [1.0, 1e-9, 1e-9]
     if share.get(TARGET):
-        ratios = log_ratios(_counts(_weighted(base.select("doc_id", "text"), classes)))
+        ratios = log_ratios(_counts(_weighted(base, classes)))
         prior = [max(share.get(k, 0), 1e-9) / total for k in (TARGET, LOW, TOXIC)]
         ratios[[k not in share for k in (LOW, TOXIC)]] = 0
     # two arrays of BUCKETS floats, 8 MB whatever the input
@@ -220,8 +221,8 @@ def _draws(base: DataFrame, labels: DataFrame) -> DataFrame:
     return drawn.withColumn("kept", F.col("draw") >= F.lit(_kth(drawn, "draw", k)))
 
 
-def _base(docs: DataFrame, row) -> DataFrame:
-    return docs.select(row.cast("long").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
+def _base(rows: Rows) -> DataFrame:
+    return rows.df.select(F.col(rows.id).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
 
 
 def resample(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -233,7 +234,7 @@ def resample(docs: DataFrame, labels: DataFrame) -> DataFrame:
     share its noise and, if labelled, each count. Ties in draw stay together. An empty table gives an empty
     table; columns other than doc_id and text are not looked at.
     """
-    return _draws(_base(docs, F.lit(0)), labels).drop("row")
+    return _draws(_base(Rows(docs.select("doc_id", "text"), "texts")), labels).drop("row")
 
 
 def _cut(drawn: DataFrame, classes: DataFrame) -> float:
@@ -252,5 +253,5 @@ def keep_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows that resampling keeps, with all their columns, whatever their names; nulls, repeated rows and empty tables
     are treated as in resample."""
     rows = Rows(docs, "texts")
-    drawn = _draws(_base(rows.df, F.col(rows.id)), labels)
+    drawn = _draws(_base(rows), labels)
     return rows.where(drawn.where("not kept").select("row"), keep=False).select(*docs.columns)
