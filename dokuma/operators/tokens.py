@@ -53,8 +53,9 @@ def segments(text: str, eos: bool = True) -> list[str | None]:
     are plain text and long pieces are cut at any byte."""
     out: list[str | None] = []
     for m in _RUN.finditer(text):
-        if m[1] or not eos:
-            out += cut(m[0], safe=eos)
+        if m[1] or not eos or "\n\n" not in m[0]:
+            # a character has four bytes at most: short pieces need no cut
+            out += [m[0]] if 4 * len(m[0]) <= PIECE else cut(m[0], safe=eos)
             continue
         for i, gap in enumerate(re.split("\n{2,}", m[0])):
             out += ([None] if i else []) + cut(gap)
