@@ -26,6 +26,8 @@ TREES, DEPTH, ROOT = 16, 8, 3
 SMALL, NEAR = 9, 3
 #: Rows and shingles of a block of a larger region, about, and shingles that are compared at a time.
 BLOCK_ROWS, BLOCK_SHINGLES, COLUMNS = 512, 400_000, 4096
+#: Pairs that are counted one by one at a time, and how much dearer that is than their product in a matrix.
+PAIRS, DENSE = 1 << 21, 64
 #: Bytes of a sketch, and how many must agree: 15 of 32 is 3.7 deviations below a similarity of 0.75.
 SKETCH, AGREE = 32, 15
 
@@ -192,19 +194,45 @@ def _wide(body: bytes) -> np.ndarray:
 
 
 def common_counts(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
-    """How many values each set of x shares with each of y."""
+    """How many values each set of x shares with each of y. Values that lie in the same sets count together;
+    those in few sets are counted pair by pair, the others by products of bit matrices."""
     sizes = np.array([len(s) for s in (*x, *y)])
     _, column, times = np.unique(np.concatenate([*x, *y]), return_inverse=True, return_counts=True)
-    row, keep = np.repeat(np.arange(len(sizes)), sizes), times[column] > 1
-    row, column = row[keep], (np.cumsum(times > 1) - 1)[column[keep]]
-    order = np.argsort(column, kind="stable")
-    row, column = row[order], column[order]
-    total = np.zeros((len(x), len(y)), np.float32)  # whole numbers, exact up to 2^24
-    for lo in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
-        a, b = np.searchsorted(column, [lo, lo + COLUMNS])
-        has = np.zeros((len(sizes), COLUMNS), np.float32)
-        has[row[a:b], column[a:b] - lo] = 1
-        total += has[: len(x)] @ has[len(x) :].T
+    row, first = np.repeat(np.arange(len(sizes)), sizes), len(x)
+    in_x = np.bincount(column[row < first], minlength=len(times))
+    both = (in_x > 0) & (in_x < times)
+    total = np.zeros(len(x) * len(y))
+    if not both.any():
+        return total.astype(np.int64).reshape(len(x), len(y))
+    keep = both[column]
+    row, column = row[keep], (np.cumsum(both) - 1)[column[keep]]
+    order = np.argsort(column, kind="stable")  # by value, rows of x before rows of y
+    row, column, in_x, times = row[order], column[order], in_x[both], times[both]
+    tag = np.random.Generator(np.random.PCG64(31)).integers(0, 2**64, len(sizes), dtype=U64)
+    start = np.concatenate([[0], np.cumsum(times)])
+    _, pick, weight = np.unique(np.add.reduceat(tag[row], start[:-1]), return_index=True, return_counts=True)
+    start, in_x, in_y = start[pick], in_x[pick], times[pick] - in_x[pick]
+    few = in_x * in_y * DENSE < len(x) * len(y)
+
+    # each row of x with each of y, for values in few sets
+    at = np.repeat(np.flatnonzero(few), in_x[few])
+    left = row[start[at] + ramp(in_x[few])]
+    ends = np.cumsum(in_y[at])
+    lo = 0
+    while lo < len(at):
+        hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] - in_y[at[lo]] + PAIRS, "right")))
+        part, n = at[lo:hi], in_y[at[lo:hi]]
+        right = row[np.repeat(start[part] + in_x[part], n) + ramp(n)] - first
+        total += np.bincount(np.repeat(left[lo:hi], n) * len(y) + right, np.repeat(weight[part], n), len(total))
+        lo = hi
+
+    total, many = total.reshape(len(x), len(y)), np.flatnonzero(~few)
+    for lo in range(0, len(many), COLUMNS):
+        part = many[lo : lo + COLUMNS]
+        n = in_x[part] + in_y[part]
+        has = np.zeros((len(sizes), len(part)), np.float32)  # whole numbers, exact up to 2^24
+        has[row[np.repeat(start[part], n) + ramp(n)], np.repeat(np.arange(len(part)), n)] = 1
+        total += (has[:first] * weight[part].astype(np.float32)) @ has[first:].T
     return total.astype(np.int64)
 
 
@@ -219,7 +247,10 @@ def _join_crowds(crowds: DataFrame, roots: DataFrame, sets: DataFrame, percent:
         bodies = table.column("body").to_pylist()
         x, y = np.flatnonzero(block == i), np.flatnonzero(block == j)
         links = []
-        if len(x) and len(y) and (root != root[0]).any():
+        # sizes alone rule some pairs out
+        open_ = (100 * np.minimum(n[x][:, None], n[y][None]) >= percent * np.maximum(n[x][:, None], n[y][None])) & (root[x][:, None] != root[y][None])
+        x, y = x[open_.any(1)], y[open_.any(0)]
+        if len(x):
             sets_ = [_wide(b) for b in bodies]
             common = common_counts([sets_[k] for k in x], [sets_[k] for k in y])
             hit = (100 * common >= percent * (n[x][:, None] + n[y][None] - common)) & (root[x][:, None] != root[y][None])

@@ -117,7 +117,7 @@ def test_near_duplicates_with_odd_ids_and_names(spark, odd):
 
 def test_hubs_are_spread(spark):
     star = [(0, i) for i in range(1, 400)] + [(i, 1000 + i) for i in range(1, 400, 7)]
-    got = {r["node"]: r["root"] for r in components(spark.createDataFrame(star, "a long, b long").repartition(4), hub=20).collect()}
+    got = {r["node"]: r["root"] for r in components(spark.createDataFrame(star, "a long, b long").repartition(4), held=20).collect()}
     assert set(got.values()) == {0} and len(got) == 400 + len(range(1, 400, 7))
 
 
