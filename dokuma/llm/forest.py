@@ -26,6 +26,8 @@ TREES, DEPTH, ROOT = 16, 8, 3
 SMALL, NEAR = 9, 3
 #: Rows and shingles of a block of a larger region, about, and shingles that are compared at a time.
 BLOCK_ROWS, BLOCK_SHINGLES, COLUMNS = 512, 400_000, 4096
+#: Bytes of a group of blocks after which freed memory is given back.
+RELEASE = 4 << 20
 #: Pairs that are counted one by one at a time, and how much dearer that is than their product in a matrix.
 PAIRS, DENSE = 1 << 21, 64
 #: Bytes of a sketch, and how many must agree: 15 of 32 is 3.7 deviations below a similarity of 0.75.
@@ -267,7 +269,8 @@ def _join_crowds(crowds: DataFrame, roots: DataFrame, sets: DataFrame, percent:
                 if (u := find(a)) != (w := find(b)):
                     least[max(u, w)] = min(u, w)
                     links.append((a, b))
-        release()
+        if table.nbytes > RELEASE:
+            release()
         return pa.Table.from_batches([batch_of(links, ["a", "b"], [pa.int64(), pa.int64()])])
 
     joined = stage(crowds.join(roots, F.col("key") == F.col("node"), "left").select("region", "key", F.coalesce("root", "key").alias("root")).join(sets.select("key", "n"), "key"), "joined")
