@@ -65,9 +65,10 @@ def components(links: DataFrame, rounds: int = 60, held: int = HELD) -> DataFram
 
     A task settles what it holds, `held` links at a time, so that a node has one parent for each such part and no
     node's links must be in one place. Links then meet by child, where further parents become links of
-    their own, and jump to their parent's least parent by a join on the parent; a parent of very many links is a
-    skewed side, which AQE splits, as a later shuffle by child does away with the join's order. The number of links never grows. Links of a node
-    with itself, repeated and reversed links are allowed; no links give an empty table.
+    their own, and jump to their parent's least parent by a join on the parent. A parent of very many links is a
+    skewed side, which AQE splits, as the next shuffle by child does away with the join's order. The number
+    of links never grows. Links of a node with itself, repeated and reversed links are allowed; no links
+    give an empty table.
     """
     u, v = F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")
     edges = stage(_settled(_settled(links.select(u, v).where("u <> v"), held).repartition("u"), held), "links")
