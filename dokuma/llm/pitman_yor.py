@@ -1,60 +1,63 @@
 """A hierarchical Pitman-Yor language model over words, and the scores of texts under it.
 
-Every context has a restaurant; all of them share one parent, whose base is uniform. Customers of a
-context's restaurant are the words that followed it in training text; its tables are the parent's
-customers. Seatings are drawn by Gibbs sweeps, in parallel over buckets of words: within a sweep a bucket
-sees the totals of the sweep before. Predictive probabilities are averaged over the sweeps after burn-in.
+Every word that precedes another has a restaurant of its own, so the model grows with the corpus; all of
+them share one parent, whose base is uniform. Customers of a context's restaurant are the words that
+followed it in training text; its tables are the parent's customers. Seatings are drawn by Gibbs sweeps.
+Predictive probabilities are averaged over the sweeps after burn-in.
+
+Words are ranges of hashes. The matrix of (word, context) pairs is cut into q x q cells by both, so a
+frequent word is spread over q cells and a frequent context over q others, and a cell holds a bounded part
+of the text. What a cell needs of a word (its customers and tables at the parent) and of a context (its
+tables) is summed and kept by nodes, one for each fine range of hashes; a cell talks to 2q of them. Only
+pairs that occur more than once are seated anew, as one customer sits at one table.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dokuma.llm.common import LOWER, U64, batch_of, mix, pack, parts, release, span_hash, texts, trimmed, unpack, words
+from dokuma.llm.common import LOWER, U64, batch_of, pack, parts, release, span_hash, texts, trimmed, unpack, words
 from dokuma.session import forget, stage
 
-#: Restaurants: short words have their own (by hash), longer ones share by their last three bytes, and
-#: one is for the start of a text.
-SHORT, ENDINGS = 8192, 4096
-CONTEXTS = SHORT + ENDINGS + 1
 #: Sweeps that are thrown away and sweeps that are averaged; strengths of contexts and of the parent.
-BURN, KEEP, STRENGTH, ROOT_STRENGTH = 2, 2, 20.0, 1.0
+BURN, KEEP, STRENGTH, ROOT_STRENGTH = 2, 2, 2.0, 1.0
 #: Customers of one dish up to which the number of tables is drawn exactly.
 SMALL = 24
-END = U64(0x1F83D9ABFB41BD6B)
-#: Text of a block and of a bucket.
-BLOCK, BUCKET = 8_000_000, 8_000_000
+#: The token after a text's last word, and the context of its first one.
+END, START = U64(0x1F83D9ABFB41BD6B), U64(0x5BE0CD19137E2179)
+#: Text of a block and of a cell.
+BLOCK, CELL = 8_000_000, 8_000_000
 
-PAIR = np.dtype([("word", "<u8"), ("context", "<u2"), ("count", "<u4")])
+NAME = np.dtype([("step", "<u8")])
 HEAD = np.dtype([("step", "<u8"), ("pairs", "<u4")])
-TAIL = np.dtype([("context", "<u2"), ("count", "<u4")])
+TAIL = np.dtype([("context", "<u4"), ("count", "<u4")])
+PAIR = np.dtype([("step", "<u4"), ("context", "<u4"), ("count", "<u4")])
+ENTRY = np.dtype([("step", "<u8"), ("count", "<u4"), ("types", "<u4"), ("active", "u1")])
+LINK = np.dtype([("step", "<u4"), ("active", "u1")])
 COUNT, LOGP = np.dtype([("count", "<u4")]), np.dtype([("p", "<f4")])
 DOC = np.dtype([("id", "<i8"), ("null", "u1"), ("held", "u1"), ("tokens", "<u4")])
 STEP = np.dtype([("delta", "<u4")])
 
+#: Rows between blocks, cells and nodes.
+TEXTS, ASK, CELL_PAIRS, SEATS, TO_NODE, NODE, TO_CELL, ANSWER = range(8)
+ROW = "kind int, place long, sender long, blob binary, more binary, kept array<binary>, links array<binary>, facts array<double>"
 
-def tokenize(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Word hashes, with the end after each text; contexts; and the text of each token."""
+
+def tokenize(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Word hashes, with the end after each text, and the number of tokens of each text."""
     low = LOWER[data]
     w0, w1, first = words(low, offsets)
-    h = span_hash(low, w0, w1)
     number = np.diff(first) + 1
-    doc = np.repeat(np.arange(len(number)), number)
-    last = np.cumsum(number) - 1
-    out = np.full(len(doc), END, U64)
-    is_word = np.ones(len(doc), bool)
-    is_word[last] = False
-    out[is_word] = h
-    own = np.where(w1 - w0 <= 4, (h >> U64(40)) % U64(SHORT), U64(SHORT) + (span_hash(low, np.maximum(w0, w1 - 3), w1) >> U64(40)) % U64(ENDINGS))
-    context = np.full(len(doc), CONTEXTS - 1, np.int64)
-    # the word before; a word's token is followed by another token of the same text
-    context[np.flatnonzero(is_word) + 1] = own.astype(np.int64)
-    return out, context, doc
+    out = np.full(int(number.sum()), END, U64)
+    is_word = np.ones(len(out), bool)
+    is_word[np.cumsum(number) - 1] = False
+    out[is_word] = span_hash(low, w0, w1)
+    return out, number
 
 
 def _stirling(d: float) -> np.ndarray:
@@ -98,73 +101,156 @@ def seat(count: np.ndarray, tables: np.ndarray, total: np.ndarray, base: np.ndar
     return out
 
 
-class Totals:
-    """What a sweep needs of the whole model: customers and tables by context, the parent's, and discounts."""
-
-    def __init__(self, customers: np.ndarray, tables: np.ndarray, root_tables: float, types: int, d: float, root_d: float):
-        self.customers, self.tables, self.root_tables, self.types, self.d, self.root_d = customers, tables, root_tables, types, d, root_d
-        self.root_customers = float(tables.sum())
+def root_chance(customers: np.ndarray, tables: np.ndarray, all_customers: float, all_tables: float, types: int, d: float) -> np.ndarray:
+    """The parent's predictive probability of words with these customers and tables."""
+    return (customers - d * tables + (ROOT_STRENGTH + d * all_tables) / (types + 1)) / (ROOT_STRENGTH + all_customers)
 
-    def root(self, customers: np.ndarray, tables: np.ndarray) -> np.ndarray:
-        """The parent's predictive probability of words with these customers and tables."""
-        return (customers - self.root_d * tables + (ROOT_STRENGTH + self.root_d * self.root_tables) / (self.types + 1)) / (ROOT_STRENGTH + self.root_customers)
 
-    def predict(self, context: np.ndarray, count: np.ndarray, tables: np.ndarray, root: np.ndarray) -> np.ndarray:
-        return (count - self.d * tables + (STRENGTH + self.d * self.tables[context]) * root) / (STRENGTH + self.customers[context])
+def chance(count: np.ndarray, tables: np.ndarray, customers: np.ndarray, all_tables: np.ndarray, root: np.ndarray, d: float) -> np.ndarray:
+    """The predictive probability of a dish in a restaurant with these customers and tables in all."""
+    return (count - d * tables + (STRENGTH + d * all_tables) * root) / (STRENGTH + customers)
 
 
-def pack_pairs(pairs: np.ndarray) -> bytes:
-    """Pairs sorted by word: each word once, as the step from the one before, and its contexts and counts."""
-    heads = np.flatnonzero(np.concatenate([[True], pairs["word"][1:] != pairs["word"][:-1]])) if len(pairs) else np.zeros(0, np.int64)
-    head, tail = np.empty(len(heads), HEAD), np.empty(len(pairs), TAIL)
-    words_ = pairs["word"][heads]
-    head["step"] = np.diff(words_, prepend=U64(0))
-    head["pairs"] = np.diff(np.append(heads, len(pairs)))
-    tail["context"], tail["count"] = pairs["context"], pairs["count"]
-    first = pack(head)
-    return len(first).to_bytes(4, "little") + first + pack(tail)
+def join(*blobs: bytes) -> bytes:
+    return b"".join(len(b).to_bytes(8, "little") + b for b in blobs)
 
 
-def unpack_pairs(blob: bytes) -> np.ndarray:
-    n = int.from_bytes(blob[:4], "little")
-    head, tail = unpack([blob[4 : 4 + n]], HEAD), unpack([blob[4 + n :]], TAIL)
-    out = np.empty(len(tail), PAIR)
-    out["word"] = np.repeat(np.cumsum(head["step"], dtype=U64), head["pairs"])
-    out["context"], out["count"] = tail["context"], tail["count"]
+def split(blob: bytes) -> list[bytes]:
+    out, at = [], 0
+    while at < len(blob):
+        n = int.from_bytes(blob[at : at + 8], "little")
+        out.append(blob[at + 8 : at + 8 + n])
+        at += 8 + n
     return out
 
 
-def _words_of(pairs: np.ndarray) -> np.ndarray:
-    """The number of each pair's word; pairs are sorted by word."""
-    return np.cumsum(np.concatenate([[0], pairs["word"][1:] != pairs["word"][:-1]])) if len(pairs) else np.zeros(0, np.int64)
+def numbers(values: np.ndarray) -> bytes:
+    out = np.empty(len(values), COUNT)
+    out["count"] = values
+    return pack(out)
+
+
+def read_numbers(*blobs: bytes) -> np.ndarray:
+    return unpack(list(blobs), COUNT)["count"].astype(np.int64)
+
+
+def runs(keys: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """(key, from, to) of each run of equal keys."""
+    if len(keys):
+        edges = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+        for a, b in zip(edges.tolist(), [*edges[1:].tolist(), len(keys)], strict=True):
+            yield int(keys[a]), a, b
+
+
+def pack_pairs(word: np.ndarray, context: np.ndarray, count: np.ndarray) -> bytes:
+    """Pairs sorted by word and context: each word once, as the step from the one before, with its number of
+    pairs; each context once; and for each pair its context's number and its count."""
+    heads = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
+    names, at = np.unique(context, return_inverse=True)
+    head, tail, name = np.empty(len(heads), HEAD), np.empty(len(word), TAIL), np.empty(len(names), NAME)
+    head["step"], head["pairs"] = np.diff(word[heads], prepend=U64(0)), np.diff(np.append(heads, len(word)))
+    name["step"], tail["context"], tail["count"] = np.diff(names, prepend=U64(0)), at, count
+    return join(pack(head), pack(name), pack(tail))
+
 
+def unpack_pairs(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    first, names, last = split(blob)
+    head, name, tail = unpack([first], HEAD), unpack([names], NAME), unpack([last], TAIL)
+    return np.repeat(np.cumsum(head["step"], dtype=U64), head["pairs"]), np.cumsum(name["step"], dtype=U64)[tail["context"]], tail["count"]
 
-def _merge(blobs: list[bytes]) -> np.ndarray:
-    """Pairs of all blobs, equal ones added up, by word and context."""
-    got = np.concatenate([unpack_pairs(b) for b in blobs])
-    got = got[np.lexsort((got["context"], got["word"]))]
-    if not len(got):
-        return got
-    new = np.concatenate([[True], (got["word"][1:] != got["word"][:-1]) | (got["context"][1:] != got["context"][:-1])])
-    out = got[new]
-    out["count"] = np.add.reduceat(got["count"].astype(np.int64), np.flatnonzero(new))
+
+def rows_table(rows: list[dict]) -> pa.Table:
+    many = pa.list_(pa.binary())
+    kinds = {"kind": pa.int32(), "place": pa.int64(), "sender": pa.int64(), "blob": pa.binary(), "more": pa.binary(), "kept": many, "links": many, "facts": pa.list_(pa.float64())}
+    release()
+    return pa.table({c: pa.array([r.get(c) for r in rows], k) for c, k in kinds.items()})
+
+
+def read_rows(table: pa.Table) -> dict[int, list[dict]]:
+    """The rows by kind, each kind by sender."""
+    out: dict[int, list[dict]] = {}
+    for row in table.to_pylist():
+        out.setdefault(row["kind"], []).append(row)
+    for rows in out.values():
+        rows.sort(key=lambda r: (r["sender"] or 0, r["kind"]))
     return out
 
 
-def _vector_sum(rows: DataFrame, column: str) -> np.ndarray:
-    """Sum of float vectors; partial sums meet in a few rows."""
+def gather(table: pa.Table, cells: int) -> pa.Table:
+    """A cell's pairs, equal ones added up, where the pairs of each block are among them, the seats of the
+    pairs that occur more than once, and what the cell tells the nodes of its words and contexts."""
+    rows = read_rows(table)[ASK]
+    cell = rows[0]["place"]
+    asked = [unpack_pairs(r["blob"]) for r in rows]
+    (word, at_word), (context, at_context) = (np.unique(np.concatenate([a[i] for a in asked]), return_inverse=True) for i in (0, 1))
+    key, place = np.unique(at_word * len(context) + at_context, return_inverse=True)
+    count = np.bincount(place, weights=np.concatenate([a[2] for a in asked]), minlength=len(key)).astype(np.int64)
+    at_word, at_context = np.divmod(key, len(context))
+    pairs = np.empty(len(key), PAIR)
+    pairs["step"], pairs["context"], pairs["count"] = np.diff(at_word, prepend=0), at_context, count
+    links, done = [], 0
+    for row, (w, _, _) in zip(rows, asked, strict=True):
+        steps = np.empty(len(w), STEP)
+        steps["delta"] = np.diff(place[done : done + len(w)], prepend=0)
+        links.append(join(row["sender"].to_bytes(8, "little"), pack(steps)))
+        done += len(w)
+    live = count > 1
+    out = [
+        {"kind": CELL_PAIRS, "place": cell, "blob": pack(pairs), "links": links},
+        {"kind": SEATS, "place": cell, "blob": join(numbers(at_word[live]), numbers(at_context[live]), numbers(count[live])), "more": numbers(np.ones(int(live.sum()))), "kept": [], "facts": [float((count == 1).sum()), float((count == 2).sum())]},
+    ]
+    for role, (names, at) in enumerate(((word, at_word), (context, at_context))):
+        entry = np.empty(len(names), ENTRY)
+        entry["count"], entry["types"] = np.bincount(at, weights=count), np.bincount(at, weights=count > 0)
+        entry["active"] = np.bincount(at, weights=live) > 0
+        for node, a, b in runs(fine(names, cells)):
+            entry["step"][a:b] = np.diff(names[a:b], prepend=U64(0))
+            out.append({"kind": TO_NODE, "place": node, "sender": 2 * cell + role, "blob": pack(entry[a:b])})
+    return rows_table(out)
+
+
+def fine(hashes: np.ndarray, cells: int) -> np.ndarray:
+    """The node of each hash: one of as many ranges as there are cells."""
+    return (((hashes >> U64(32)) * U64(cells)) >> U64(32)).astype(np.int64)
+
+
+def replies(node: int, links: list[bytes], values: list[list[np.ndarray]], whole: bool) -> list[dict]:
+    """What each cell gets of its words (role 0) or contexts (role 1), in their order: all of them or those
+    of pairs that are seated anew."""
+    out = []
+    for link in links:
+        sender, blob = split(link)
+        cell, role = divmod(int.from_bytes(sender, "little"), 2)
+        steps = unpack([blob], LINK)
+        at = np.cumsum(steps["step"], dtype=np.int64)
+        at = at if whole else at[steps["active"] > 0]
+        if len(at):
+            out.append({"kind": TO_CELL, "place": cell, "sender": 2 * node + role, "blob": join(*(numbers(v[at]) for v in values[role]))})
+    return out
 
-    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = None
-        for batch in batches:
-            for blob in batch.column(0).to_pylist():
-                x = np.frombuffer(blob, np.float64)
-                total = x.copy() if total is None else total + x
-        if total is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["v"])
 
-    once = rows.select(column).mapInArrow(fold, "v binary").repartition(8).mapInArrow(fold, "v binary").collect()
-    return sum((np.frombuffer(r[0], np.float64) for r in once), np.zeros(1))
+def found(table: pa.Table) -> pa.Table:
+    """A node from what the cells tell at first: one table for each dish everywhere."""
+    rows = read_rows(table)[TO_NODE]
+    node, links, held, facts = rows[0]["place"], [], [], []
+    for role in (0, 1):
+        mine = [r for r in rows if r["sender"] % 2 == role]
+        entries = [unpack([r["blob"]], ENTRY) for r in mine]
+        told = np.concatenate([*entries, np.zeros(0, ENTRY)])
+        names, at = np.unique(np.concatenate([*(np.cumsum(e["step"], dtype=U64) for e in entries), np.zeros(0, U64)]), return_inverse=True)
+        held.append([np.bincount(at, weights=told[c], minlength=len(names)).astype(np.int64) for c in ("count", "types")])
+        done = 0
+        for row, entry in zip(mine, entries, strict=True):
+            link = np.empty(len(entry), LINK)
+            link["step"], link["active"] = np.diff(at[done : done + len(entry)], prepend=0), entry["active"]
+            links.append(join(row["sender"].to_bytes(8, "little"), pack(link)))
+            done += len(entry)
+    count, types = held[0]
+    facts = [float(x.sum()) for x in (count > 0, count, types == 1, types == 2, types)]
+    first = np.minimum(types, 1)
+    blob = join(*(numbers(x) for role in held for x in role))
+    out = [{"kind": NODE, "place": node, "blob": blob, "more": numbers(first), "kept": [], "links": links, "facts": facts}]
+    return rows_table(out + replies(node, links, [[types, first], [held[1][1]]], False))
 
 
 def score(docs: DataFrame, held_out: Column, seed: int = 5) -> DataFrame:
@@ -174,11 +260,12 @@ def score(docs: DataFrame, held_out: Column, seed: int = 5) -> DataFrame:
     Rows that repeat a doc_id are separate texts. Without training rows every word is unknown: the base
     and the model are uniform.
     """
-    spark = docs.sparkSession
-    workers = spark.sparkContext.defaultParallelism
+    workers = docs.sparkSession.sparkContext.defaultParallelism
     base = docs.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held"), "text").select(F.col("doc_id").cast("long").alias("doc_id"), "held", "text")
     size = base.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    buckets = max(2 * workers, -(-size // BUCKET))
+    side = int(np.ceil(np.sqrt(max(2 * workers, -(-size // CELL)))))
+    cells = side * side
+    tasks = min(cells, max(4 * workers, cells // 32))
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -188,43 +275,42 @@ def score(docs: DataFrame, held_out: Column, seed: int = 5) -> DataFrame:
         length = 0
 
         def send() -> pa.RecordBatch:
-            word, context, table = (np.concatenate(x) for x in zip(*held, strict=True))
+            word, table = (np.concatenate(x) for x in zip(*held, strict=True))
             held.clear()
             doc = np.repeat(np.arange(len(table)), table["tokens"])
             train = np.repeat(table["held"] == 0, table["tokens"])
-            # a token's pair as one number
-            key = mix(word + U64(0x9E3779B97F4A7C15) * (context.astype(U64) + U64(1)))
-            _, at, inverse, count = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
-            pairs = np.empty(len(at), PAIR)
-            pairs["word"], pairs["context"] = word[at], context[at]
-            pairs["count"] = np.bincount(inverse, weights=train, minlength=len(at))
-            # buckets are ranges of word hashes, so the order by word is the order by bucket
-            order = np.lexsort((pairs["context"], pairs["word"]))
-            place = np.empty(len(at), np.int64)
-            place[order] = np.arange(len(at))
-            mine = np.sort((doc << 32) | place[inverse]) & 0xFFFFFFFF
-            steps = np.empty(len(mine), STEP)
-            before = np.concatenate([[0], mine[:-1]])
-            before[np.flatnonzero(np.diff(doc, prepend=-1))] = 0
-            steps["delta"] = mine - before
+            names, at = np.unique(np.append(word, START), return_inverse=True)
+            mine, before = at[:-1], np.concatenate([at[-1:], at[:-2]])
+            before[np.diff(doc, prepend=-1) > 0] = at[-1]
+            key, inverse = np.unique(mine * len(names) + before, return_inverse=True)
+            count = np.bincount(inverse, weights=train, minlength=len(key))
+            w, u = np.divmod(key, len(names))
+            coarse = fine(names, cells) // side
+            cell = coarse[w] * side + coarse[u]
+            order = np.argsort(cell, kind="stable")
+            place = np.empty(len(key), np.int64)
+            place[order] = np.arange(len(key))
+            where = np.sort((doc << 32) | place[inverse]) & 0xFFFFFFFF
+            steps = np.empty(len(where), STEP)
+            last = np.concatenate([[0], where[:-1]])
+            last[np.diff(doc, prepend=-1) > 0] = 0
+            steps["delta"] = where - last
             block = (task << 24) + number
-            rows = [(0, block, 0, pack(table), pack(steps))]
-            pairs = pairs[order]
-            limits = ((np.arange(buckets + 1, dtype=U64) << U64(32)) + U64(buckets - 1)) // U64(buckets)
-            edges = np.searchsorted(pairs["word"] >> U64(32), limits)
-            rows += [(1, block, b, pack_pairs(pairs[x:y]), b"") for b, (x, y) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if y > x]
-            return batch_of(rows, ["kind", "block", "bucket", "blob", "steps"], [pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary()])
+            rows = [(TEXTS, block, 0, pack(table), pack(steps))]
+            w, u, count = names[w[order]], names[u[order]], count[order]
+            rows += [(ASK, c, block, pack_pairs(w[a:b], u[a:b], count[a:b]), b"") for c, a, b in runs(cell[order])]
+            return batch_of(rows, ["kind", "place", "sender", "blob", "more"], [pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary()])
 
         for batch in batches:
             offsets, data = texts(batch.column(2))
             ids, out = batch.column(0), batch.column(1).to_numpy(zero_copy_only=False)
             for lo, hi in parts(offsets, 1_000_000):
-                word, context, doc = tokenize(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
+                word, tokens = tokenize(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
                 table = np.empty(hi - lo, DOC)
                 own = ids.slice(lo, hi - lo)
                 table["id"], table["null"] = own.fill_null(0).to_numpy(), own.is_null().to_numpy(zero_copy_only=False)
-                table["held"], table["tokens"] = out[lo:hi], np.bincount(doc, minlength=hi - lo)
-                held.append((word, context.astype(np.uint16), table))
+                table["held"], table["tokens"] = out[lo:hi], tokens
+                held.append((word, table))
                 length += int(offsets[hi] - offsets[lo]) + 40 * (hi - lo)
                 if length > BLOCK:
                     yield send()
@@ -232,117 +318,130 @@ def score(docs: DataFrame, held_out: Column, seed: int = 5) -> DataFrame:
         if held:
             yield send()
 
-    sent = stage(base.mapInArrow(trimmed(digest), "kind int, block long, bucket long, blob binary, steps binary"), "tokens")
-    asked = sent.where("kind = 1").select("block", "bucket", "blob")
-
-    def gather(table: pa.Table) -> pa.Table:
-        pairs = _merge(table.column("blob").to_pylist())
-        pairs = pairs[pairs["count"] > 0]
-        word = _words_of(pairs)
-        count = pairs["count"].astype(np.int64)
-        customers = np.bincount(pairs["context"], weights=count, minlength=CONTEXTS)
-        tables = np.bincount(pairs["context"], minlength=CONTEXTS).astype(float)
-        types = int(word[-1]) + 1 if len(word) else 0
-        in_contexts = np.bincount(word, minlength=types)
-        facts = np.concatenate([customers, tables, [types, count.sum(), (count == 1).sum(), (count == 2).sum(), (in_contexts == 1).sum(), (in_contexts == 2).sum()]])
-        first = np.zeros(len(pairs), "<u4") + np.uint32(1)
-        return pa.table({"bucket": table.column("bucket")[:1], "pairs": pa.array([pack_pairs(pairs)], pa.binary()), "t": pa.array([first.tobytes()], pa.binary()), "t0": pa.array([np.ones(types, "<u4").tobytes()], pa.binary()), "kept": pa.array([[]], pa.list_(pa.binary())), "facts": pa.array([facts.tobytes()], pa.binary())})
-
-    kind = "bucket long, pairs binary, t binary, t0 binary, kept array<binary>, facts binary"
-    state = stage(asked.groupBy("bucket").applyInArrow(gather, kind), "restaurants")
-    facts = _vector_sum(state, "facts")
-    if len(facts) == 1:
-        facts = np.zeros(2 * CONTEXTS + 6)
-    customers, tables = facts[:CONTEXTS], facts[CONTEXTS : 2 * CONTEXTS]
-    types, total, n1, n2, m1, m2 = facts[2 * CONTEXTS :]
+    def first_seats(table: pa.Table) -> pa.Table:
+        return gather(table, cells)
+
+    def meet(run: Callable[[pa.Table], pa.Table], *rows: DataFrame, out: str = ROW) -> DataFrame:
+        """run() on the rows of each place."""
+        every = rows[0]
+        for more in rows[1:]:
+            every = every.unionByName(more)
+        return every.repartition(tasks, "place").groupBy("place").applyInArrow(run, out)
+
+    def of_kind(rows: DataFrame, *kinds: int) -> DataFrame:
+        return rows.where(F.col("kind").isin(*kinds))
+
+    def facts_of(rows: DataFrame, n: int) -> list[float]:
+        return [x or 0.0 for x in rows.agg(*(F.sum(F.col("facts")[i]) for i in range(n))).first()]
+
+    sent = stage(base.mapInArrow(trimmed(digest), "kind int, place long, sender long, blob binary, more binary"), "tokens")
+    gathered = stage(meet(first_seats, of_kind(sent, ASK)), "gathered")
+    text_rows = stage(of_kind(sent, TEXTS), "texts")
+    forget(sent)
+    nodes = stage(meet(found, of_kind(gathered, TO_NODE)), "nodes")
+    fixed = stage(of_kind(gathered, CELL_PAIRS, SEATS), "cells")
+    forget(gathered)
+    n1, n2 = facts_of(of_kind(fixed, SEATS), 2)
+    types, total, m1, m2, all_customers = facts_of(of_kind(nodes, NODE), 5)
+    all_tables = types
     discount = lambda a, b: min(max(a / (a + 2 * b), 0.05), 0.95) if a and b else 0.5
     d, root_d = discount(n1, n2), discount(m1, m2)
-    totals = Totals(customers, tables, types, int(types), d, root_d)
-    samples: list[Totals] = []
+    seats, samples = fixed, []
 
     for sweep in range(BURN + KEEP):
-        shared, keep = spark.sparkContext.broadcast(totals), sweep >= BURN
-
-        def reseat(batches: Iterator[pa.RecordBatch], shared=shared, keep=keep, sweep=sweep) -> Iterator[pa.RecordBatch]:
-            known = shared.value
-            for batch in batches:
-                for row in batch.to_pylist():
-                    pairs = unpack_pairs(row["pairs"])
-                    t, t0 = np.frombuffer(row["t"], "<u4").astype(np.int64), np.frombuffer(row["t0"], "<u4").astype(np.int64)
-                    word, context = _words_of(pairs), pairs["context"].astype(np.int64)
-                    rng = np.random.Generator(np.random.PCG64([seed, sweep, row["bucket"]]))
-                    root = known.root(np.bincount(word, weights=t, minlength=len(t0)), t0)
-                    t = seat(pairs["count"].astype(np.int64), t, known.tables[context], root[word], known.d, STRENGTH, rng)
-                    c0 = np.bincount(word, weights=t, minlength=len(t0)).astype(np.int64)
-                    t0 = seat(c0, t0, np.full(len(t0), known.root_tables), np.full(len(t0), 1 / (known.types + 1)), known.root_d, ROOT_STRENGTH, rng)
-                    a, b = t.astype("<u4").tobytes(), t0.astype("<u4").tobytes()
-                    new = np.concatenate([np.bincount(context, weights=t, minlength=CONTEXTS), [t0.sum()]])
-                    yield pa.RecordBatch.from_arrays([pa.array([row["bucket"]], pa.int64()), pa.array([row["pairs"]], pa.binary()), pa.array([a], pa.binary()), pa.array([b], pa.binary()), pa.array([(row["kept"] or []) + ([a, b] if keep else [])], pa.list_(pa.binary())), pa.array([new.astype(float).tobytes()], pa.binary())], names=["bucket", "pairs", "t", "t0", "kept", "facts"])
-
-        old, state = state, stage(state.mapInArrow(trimmed(reseat), kind), "seating")
-        forget(old)
-        new = _vector_sum(state, "facts")
-        if len(new) > 1:
-            totals = Totals(customers, new[:CONTEXTS], float(new[CONTEXTS]), int(types), d, root_d)
+        # both functions below run before the next sweep begins
+        keep, last = sweep >= BURN, sweep == BURN + KEEP - 1
+
+        def reseat(table: pa.Table) -> pa.Table:
+            rows = read_rows(table)
+            own = rows[SEATS][0]
+            word, context, count = (read_numbers(x) for x in split(own["blob"]))
+            sent_back = [[r for r in rows.get(TO_CELL, []) if r["sender"] % 2 == role] for role in (0, 1)]
+            told = [[split(r["blob"]) for r in of_role] for of_role in sent_back]
+            customers, tables = (read_numbers(*(x[i] for x in told[0])) for i in (0, 1))
+            in_all = read_numbers(*(x[0] for x in told[1]))
+            at = [np.unique(x, return_inverse=True)[1] for x in (word, context)]
+            root = root_chance(customers, tables, all_customers, all_tables, types, root_d)
+            rng = np.random.Generator(np.random.PCG64([seed, sweep, own["place"], 0]))
+            t = seat(count, read_numbers(own["more"]), in_all[at[1]], root[at[0]], d, STRENGTH, rng)
+            own |= {"more": numbers(t), "kept": own["kept"] + [numbers(t)] * keep}
+            out = [own]
+            for role in (0, 1):
+                extra, done = np.bincount(at[role], weights=t - 1).astype(np.int64), 0
+                for r, blobs in zip(sent_back[role], told[role], strict=True):
+                    n = int.from_bytes(blobs[0][:4], "little")
+                    out.append({"kind": TO_NODE, "place": r["sender"] // 2, "sender": 2 * own["place"] + role, "blob": numbers(extra[done : done + n])})
+                    done += n
+            return rows_table(out)
+
+        def settle(table: pa.Table) -> pa.Table:
+            rows = read_rows(table)
+            own = rows[NODE][0]
+            count, types0, customers, types1 = (read_numbers(x) for x in split(own["blob"]))
+            held = [types0.copy(), types1.copy()]
+            extra = {r["sender"]: read_numbers(r["blob"]) for r in rows.get(TO_NODE, [])}
+            for link in own["links"]:
+                sender, blob = split(link)
+                number = int.from_bytes(sender, "little")
+                steps = unpack([blob], LINK)
+                if number in extra:
+                    # a cell names each word once
+                    held[number % 2][np.cumsum(steps["step"], dtype=np.int64)[steps["active"] > 0]] += extra[number]
+            c0, in_all = held
+            rng = np.random.Generator(np.random.PCG64([seed, sweep, own["place"], 1]))
+            t0 = seat(c0, read_numbers(own["more"]), np.full(len(c0), int(all_tables)), np.full(len(c0), 1 / (types + 1)), root_d, ROOT_STRENGTH, rng)
+            own |= {"more": numbers(t0), "kept": own["kept"] + [numbers(x) for x in (c0, t0, in_all)] * keep, "facts": [float(c0.sum()), float(t0.sum())]}
+            if not last:
+                return rows_table([own, *replies(own["place"], own["links"], [[c0, t0], [in_all]], False)])
+            kept = [read_numbers(x) for x in own["kept"]]
+            values = [[count, *(kept[3 * s + i] for s in range(KEEP) for i in (0, 1))], [customers, *(kept[3 * s + 2] for s in range(KEEP))]]
+            # nothing is asked of a node after the last sweep
+            return rows_table([{"kind": NODE, "place": own["place"], "facts": own["facts"]}, *replies(own["place"], own["links"], values, True)])
+
+        new_seats = stage(meet(reseat, of_kind(seats, SEATS), of_kind(nodes, TO_CELL)), "seats")
+        new_nodes = stage(meet(settle, of_kind(nodes, NODE), of_kind(new_seats, TO_NODE)), "nodes")
+        forget(nodes, *([] if seats is fixed else [seats]))
+        seats, nodes = new_seats, new_nodes
+        all_customers, all_tables = facts_of(of_kind(nodes, NODE), 2)
         if keep:
-            samples.append(totals)
-
-    every = spark.sparkContext.broadcast(samples)  # KEEP * CONTEXTS numbers
+            samples.append((all_customers, all_tables))
 
     def answer(table: pa.Table) -> pa.Table:
-        blocks, blobs, pairs_ = table.column("block").to_pylist(), table.column("blob").to_pylist(), table.column("pairs").to_pylist()
-        at = next((i for i, b in enumerate(pairs_) if b is not None), None)
-        pairs = unpack_pairs(pairs_[at]) if at is not None else np.zeros(0, PAIR)
-        kept = table.column("kept")[at].as_py() if at is not None else [b"", b""] * KEEP
-        word = _words_of(pairs)
-        heads = np.flatnonzero(np.diff(word, prepend=-1))
-        names, n_words = pairs["word"][heads], len(heads)
-        counts = np.bincount(word, weights=pairs["count"], minlength=n_words).astype(np.int64)
-        key = mix(pairs["word"] + U64(0x9E3779B97F4A7C15) * (pairs["context"].astype(U64) + U64(1)))
-        by_key = np.argsort(key)
-        key = key[by_key]
-        rows = []
-        for block, blob in zip(blocks, blobs, strict=True):
-            if blob is None:
-                continue
-            ask = unpack_pairs(blob)
-            w = np.searchsorted(names, ask["word"])
-            w[w == n_words] = 0
-            known = names[w] == ask["word"] if n_words else np.zeros(len(ask), bool)
-            own = mix(ask["word"] + U64(0x9E3779B97F4A7C15) * (ask["context"].astype(U64) + U64(1)))
-            k = np.searchsorted(key, own)
-            k[k == len(key)] = 0
-            seen = key[k] == own if len(key) else np.zeros(len(ask), bool)
-            k = by_key[k] if len(key) else k
-            pick = lambda values, index, mask: np.where(mask, values[index], 0) if len(values) else np.zeros(len(mask))
-            p = np.zeros(len(ask))
-            for s, sample in enumerate(every.value):
-                t, t0 = (np.frombuffer(x, "<u4").astype(np.int64) for x in kept[2 * s : 2 * s + 2])
-                c0 = np.bincount(word, weights=t, minlength=n_words)
-                root = sample.root(pick(c0, w, known), pick(t0, w, known))
-                p += sample.predict(ask["context"].astype(np.int64), pick(pairs["count"], k, seen), pick(t, k, seen), root)
-            heads_ = np.flatnonzero(np.concatenate([[True], ask["word"][1:] != ask["word"][:-1]]))
-            count, value = np.empty(len(heads_), COUNT), np.empty(len(ask), LOGP)
-            count["count"], value["p"] = pick(counts, w, known)[heads_], np.log10(p / len(every.value))
-            first, times = pack(count), np.diff(np.append(heads_, len(ask))).astype("<u2")
-            rows.append((block, table.column("bucket")[0].as_py(), len(first).to_bytes(4, "little") + first + pack(value), times.tobytes()))
-        release()
-        return pa.Table.from_batches([batch_of(rows, ["block", "bucket", "blob", "steps"], [pa.int64(), pa.int64(), pa.binary(), pa.binary()])])
-
-    none = lambda c, t: F.lit(None).cast(t).alias(c)
-    mixed = asked.select("bucket", "block", "blob", none("pairs", "binary"), none("kept", "array<binary>")).unionByName(state.select("bucket", none("block", "long"), none("blob", "binary"), "pairs", "kept"))
-    answers = mixed.groupBy("bucket").applyInArrow(answer, "block long, bucket long, blob binary, steps binary")
-    n, v = float(total), float(types)
+        rows = read_rows(table)
+        own = rows[CELL_PAIRS][0]
+        pairs = unpack([own["blob"]], PAIR)
+        word, context, count = np.cumsum(pairs["step"], dtype=np.int64), pairs["context"], pairs["count"].astype(np.int64)
+        told = [[split(r["blob"]) for r in rows.get(TO_CELL, []) if r["sender"] % 2 == role] for role in (0, 1)]
+        of_word, of_context = ([read_numbers(*(x[i] for x in told[role])) for i in range(n)] for role, n in ((0, 1 + 2 * KEEP), (1, 1 + KEEP)))
+        live, customers, p = count > 1, of_context[0][context], np.zeros(len(pairs))
+        for s, (sample, seated) in enumerate(zip(samples, rows[SEATS][0]["kept"], strict=True)):
+            t = np.minimum(count, 1)
+            t[live] = read_numbers(seated)
+            root = root_chance(of_word[1 + 2 * s], of_word[2 + 2 * s], *sample, types, root_d)
+            p += chance(count, t, customers, of_context[1 + s][context], root[word], d)
+        p = np.log10(p / len(samples))
+        out = []
+        for link in own["links"]:
+            block, blob = split(link)
+            at = np.cumsum(unpack([blob], STEP)["delta"], dtype=np.int64)
+            heads = np.flatnonzero(np.diff(word[at], prepend=-1))
+            value = np.empty(len(at), LOGP)
+            value["p"] = p[at]
+            times = np.diff(np.append(heads, len(at)))
+            out.append({"kind": ANSWER, "place": int.from_bytes(block, "little"), "sender": own["place"], "blob": join(numbers(of_word[0][word[at[heads]]]), pack(value), numbers(times))})
+        return rows_table(out).select(["kind", "place", "sender", "blob", "more"])
+
+    short = "kind int, place long, sender long, blob binary, more binary"
+    answers = meet(answer, of_kind(fixed, CELL_PAIRS), of_kind(seats, SEATS), of_kind(nodes, TO_CELL), out=short)
+    n, v = total, types
 
     def finish(table: pa.Table) -> pa.Table:
-        kinds = table.column("kind").to_pylist()
-        head = kinds.index(0)
-        docs_, steps = unpack([table.column("blob")[head].as_py()], DOC), unpack([table.column("steps")[head].as_py()], STEP)
-        got = sorted((b, blob, times) for k, b, blob, times in zip(kinds, table.column("bucket").to_pylist(), table.column("blob").to_pylist(), table.column("steps").to_pylist(), strict=True) if k == 2)
-        size = [int.from_bytes(blob[:4], "little") for _, blob, _ in got]
-        counts = unpack([blob[4 : 4 + n_] for (_, blob, _), n_ in zip(got, size, strict=True)], COUNT)["count"]
-        logp = unpack([blob[4 + n_ :] for (_, blob, _), n_ in zip(got, size, strict=True)], LOGP)["p"]
-        counts = np.repeat(counts, np.frombuffer(b"".join(t for _, _, t in got), "<u2"))
+        rows = read_rows(table)
+        own = rows[TEXTS][0]
+        docs_, steps = unpack([own["blob"]], DOC), unpack([own["more"]], STEP)
+        got = [split(r["blob"]) for r in rows.get(ANSWER, [])]
+        counts = np.repeat(read_numbers(*(g[0] for g in got)), read_numbers(*(g[2] for g in got)))
+        logp = unpack([g[1] for g in got], LOGP)["p"]
         doc = np.repeat(np.arange(len(docs_)), docs_["tokens"])
         sums = np.cumsum(steps["delta"].astype(np.int64))
         start = np.cumsum(docs_["tokens"].astype(np.int64)) - docs_["tokens"]
@@ -354,8 +453,7 @@ def score(docs: DataFrame, held_out: Column, seed: int = 5) -> DataFrame:
         release()
         return pa.table({"doc_id": ids, "held_out": docs_["held"].astype(bool), "n_tokens": docs_["tokens"].astype(np.int64), "n_known": total_(count > 0).astype(np.int64), "train_tokens": np.full(len(docs_), int(n)), "base_score": total_(plain), "score": total_(logp[place].astype(float))})
 
-    back = sent.where("kind = 0").unionByName(answers.select(F.lit(2).alias("kind"), "block", "bucket", "blob", "steps"))
-    return back.groupBy("block").applyInArrow(finish, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return meet(finish, text_rows, answers, out="doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def perplexity(scored: DataFrame) -> DataFrame:

@@ -434,16 +434,15 @@ def test_predictive_sums_to_one():
     t = pitman_yor.seat(count, np.ones(len(count), np.int64), np.bincount(pairs[:, 0])[pairs[:, 0]], np.full(len(count), 0.05), 0.5, 1.0, rng)
     assert (t >= 1).all() and (t <= count).all()
     c0, t0 = np.bincount(pairs[:, 1], weights=t, minlength=20), np.ones(20)
-    customers, tables = (np.bincount(pairs[:, 0], weights=x, minlength=pitman_yor.CONTEXTS) for x in (count, t))
-    model = pitman_yor.Totals(customers, tables, 20.0, 20, 0.5, 0.5)
-    root = model.root(c0, t0)
-    unseen = model.root(np.zeros(1), np.zeros(1))[0]
-    assert abs(root.sum() + unseen - 1) < 1e-9
+    customers, tables = (np.bincount(pairs[:, 0], weights=x, minlength=5) for x in (count, t))
+    root = pitman_yor.root_chance(c0, t0, c0.sum(), 20.0, 20, 0.5)
+    unseen = pitman_yor.root_chance(np.zeros(1), np.zeros(1), c0.sum(), 20.0, 20, 0.5)
+    assert abs(root.sum() + unseen[0] - 1) < 1e-9
     for u in range(5):
         own = pairs[:, 0] == u
         c, k = np.zeros(20), np.zeros(20)
         c[pairs[own, 1]], k[pairs[own, 1]] = count[own], t[own]
-        p = model.predict(np.full(20, u), c, k, root).sum() + model.predict(np.array([u]), np.zeros(1), np.zeros(1), np.array([unseen]))[0]
+        p = pitman_yor.chance(c, k, customers[u], tables[u], root, 0.5).sum() + pitman_yor.chance(np.zeros(1), np.zeros(1), customers[u], tables[u], unseen, 0.5)[0]
         assert abs(p - 1) < 1e-9
 
 
