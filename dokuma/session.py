@@ -41,13 +41,14 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def stage(df: DataFrame, name: str = "stage") -> DataFrame:
-    """Write df as Parquet to the shared folder and read it back: lineage ends there, and a lost
-    executor costs no recomputation. The files go when the JVM's file system is closed."""
+def stage(df: DataFrame, name: str = "stage", by: str | None = None) -> DataFrame:
+    """Write df as Parquet to the shared folder, one folder for each value of `by` if given, and read it back:
+    lineage ends there, and a lost executor costs no recomputation. The files go when the JVM's file system is
+    closed."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/dokuma-{name}-{uuid.uuid4().hex}"
     schema = df.schema
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").parquet(path, partitionBy=by)
     jvm = spark.sparkContext._jvm
     place = jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
@@ -56,13 +57,13 @@ def stage(df: DataFrame, name: str = "stage") -> DataFrame:
     return out
 
 
-def forget(*staged: DataFrame) -> None:
-    """Delete tables that stage() wrote, once all that was read from them has been written elsewhere, and let
-    the cleaner drop the shuffle files of plans that are gone."""
+def forget(*staged: DataFrame, part: str = "") -> None:
+    """Delete tables that stage() wrote, or only their folder `part`, once all that was read from them has been
+    written elsewhere, and let the cleaner drop the shuffle files of plans that are gone."""
     for df in staged:
         spark = df.sparkSession
         jvm = spark.sparkContext._jvm
-        place = jvm.org.apache.hadoop.fs.Path(df._staged_at)
+        place = jvm.org.apache.hadoop.fs.Path(f"{df._staged_at}/{part}" if part else df._staged_at)
         place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
     gc.collect()
     spark.sparkContext._jvm.System.gc()
