@@ -31,7 +31,7 @@ SMALL = 24
 #: The token after a text's last word, and the context of its first one.
 END, START = U64(0x1F83D9ABFB41BD6B), U64(0x5BE0CD19137E2179)
 #: Text of a block and of a cell.
-BLOCK, CELL = 8_000_000, 8_000_000
+BLOCK, CELL = 8_000_000, 16_000_000
 
 NAME = np.dtype([("step", "<u8")])
 HEAD = np.dtype([("step", "<u8"), ("pairs", "<u4")])
@@ -178,8 +178,12 @@ def read_rows(table: pa.Table) -> dict[int, list[dict]]:
 
 def gather(table: pa.Table, cells: int) -> pa.Table:
     """A cell's pairs, equal ones added up, where the pairs of each block are among them, the seats of the
-    pairs that occur more than once, and what the cell tells the nodes of its words and contexts."""
-    rows = read_rows(table)[ASK]
+    pairs that occur more than once, and what the cell tells the nodes of its words and contexts. A block's own
+    row stays as it is."""
+    rows = read_rows(table)
+    if ASK not in rows:
+        return rows_table(rows[TEXTS])
+    rows = rows[ASK]
     cell = rows[0]["place"]
     asked = [unpack_pairs(r["blob"]) for r in rows]
     (word, at_word), (context, at_context) = (np.unique(np.concatenate([a[i] for a in asked]), return_inverse=True) for i in (0, 1))
@@ -192,7 +196,7 @@ def gather(table: pa.Table, cells: int) -> pa.Table:
     for row, (w, _, _) in zip(rows, asked, strict=True):
         steps = np.empty(len(w), STEP)
         steps["delta"] = np.diff(place[done : done + len(w)], prepend=0)
-        links.append(join(row["sender"].to_bytes(8, "little"), pack(steps)))
+        links.append(join(row["sender"].to_bytes(8, "little", signed=True), pack(steps)))
         done += len(w)
     live = count > 1
     out = [
@@ -295,7 +299,7 @@ def score(docs: DataFrame, held_out: Column, seed: int = 5) -> DataFrame:
             last = np.concatenate([[0], where[:-1]])
             last[np.diff(doc, prepend=-1) > 0] = 0
             steps["delta"] = where - last
-            block = (task << 24) + number
+            block = -1 - ((task << 24) + number)  # cells and nodes count from 0
             rows = [(TEXTS, block, 0, pack(table), pack(steps))]
             w, u, count = names[w[order]], names[u[order]], count[order]
             rows += [(ASK, c, block, pack_pairs(w[a:b], u[a:b], count[a:b]), b"") for c, a, b in runs(cell[order])]
@@ -334,13 +338,10 @@ def score(docs: DataFrame, held_out: Column, seed: int = 5) -> DataFrame:
     def facts_of(rows: DataFrame, n: int) -> list[float]:
         return [x or 0.0 for x in rows.agg(*(F.sum(F.col("facts")[i]) for i in range(n))).first()]
 
-    sent = stage(base.mapInArrow(trimmed(digest), "kind int, place long, sender long, blob binary, more binary"), "tokens")
-    gathered = stage(meet(first_seats, of_kind(sent, ASK)), "gathered")
-    text_rows = stage(of_kind(sent, TEXTS), "texts")
-    forget(sent)
-    nodes = stage(meet(found, of_kind(gathered, TO_NODE)), "nodes")
-    fixed = stage(of_kind(gathered, CELL_PAIRS, SEATS), "cells")
-    forget(gathered)
+    sent = base.mapInArrow(trimmed(digest), "kind int, place long, sender long, blob binary, more binary")
+    fixed = stage(meet(first_seats, sent), "cells", "kind")
+    nodes = stage(meet(found, of_kind(fixed, TO_NODE)), "nodes", "kind")
+    forget(fixed, part=f"kind={TO_NODE}")
     n1, n2 = facts_of(of_kind(fixed, SEATS), 2)
     types, total, m1, m2, all_customers = facts_of(of_kind(nodes, NODE), 5)
     all_tables = types
@@ -398,8 +399,8 @@ def score(docs: DataFrame, held_out: Column, seed: int = 5) -> DataFrame:
             # nothing is asked of a node after the last sweep
             return rows_table([{"kind": NODE, "place": own["place"], "facts": own["facts"]}, *replies(own["place"], own["links"], values, True)])
 
-        new_seats = stage(meet(reseat, of_kind(seats, SEATS), of_kind(nodes, TO_CELL)), "seats")
-        new_nodes = stage(meet(settle, of_kind(nodes, NODE), of_kind(new_seats, TO_NODE)), "nodes")
+        new_seats = stage(meet(reseat, of_kind(seats, SEATS), of_kind(nodes, TO_CELL)), "seats", "kind")
+        new_nodes = stage(meet(settle, of_kind(nodes, NODE), of_kind(new_seats, TO_NODE)), "nodes", "kind")
         forget(nodes, *([] if seats is fixed else [seats]))
         seats, nodes = new_seats, new_nodes
         all_customers, all_tables = facts_of(of_kind(nodes, NODE), 2)
@@ -428,7 +429,7 @@ def score(docs: DataFrame, held_out: Column, seed: int = 5) -> DataFrame:
             value = np.empty(len(at), LOGP)
             value["p"] = p[at]
             times = np.diff(np.append(heads, len(at)))
-            out.append({"kind": ANSWER, "place": int.from_bytes(block, "little"), "sender": own["place"], "blob": join(numbers(of_word[0][word[at[heads]]]), pack(value), numbers(times))})
+            out.append({"kind": ANSWER, "place": int.from_bytes(block, "little", signed=True), "sender": own["place"], "blob": join(numbers(of_word[0][word[at[heads]]]), pack(value), numbers(times))})
         return rows_table(out).select(["kind", "place", "sender", "blob", "more"])
 
     short = "kind int, place long, sender long, blob binary, more binary"
@@ -453,7 +454,7 @@ def score(docs: DataFrame, held_out: Column, seed: int = 5) -> DataFrame:
         release()
         return pa.table({"doc_id": ids, "held_out": docs_["held"].astype(bool), "n_tokens": docs_["tokens"].astype(np.int64), "n_known": total_(count > 0).astype(np.int64), "train_tokens": np.full(len(docs_), int(n)), "base_score": total_(plain), "score": total_(logp[place].astype(float))})
 
-    return meet(finish, text_rows, answers, out="doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return meet(finish, of_kind(fixed, TEXTS).select(answers.columns), answers, out="doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def perplexity(scored: DataFrame) -> DataFrame:
