@@ -31,7 +31,7 @@ SMALL = 24
 #: The token after a text's last word, and the context of its first one.
 END, START = U64(0x1F83D9ABFB41BD6B), U64(0x5BE0CD19137E2179)
 #: Text of a block and of a cell.
-BLOCK, CELL = 8_000_000, 16_000_000
+BLOCK, CELL = 8_000_000, 12_000_000
 
 NAME = np.dtype([("step", "<u8")])
 HEAD = np.dtype([("step", "<u8"), ("pairs", "<u4")])
@@ -269,7 +269,8 @@ def score(docs: DataFrame, held_out: Column, seed: int = 5) -> DataFrame:
     size = base.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     side = int(np.ceil(np.sqrt(max(2 * workers, -(-size // CELL)))))
     cells = side * side
-    tasks = min(cells, max(4 * workers, cells // 32))
+    # a task takes a few cells or blocks, one at a time
+    tasks = max(16 * workers, cells // 8)
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
