@@ -118,7 +118,7 @@ def binary_rows(blobs: list[bytes]) -> pa.Array:
 
 def pack(table: np.ndarray) -> bytes:
     """A structured array as bytes, byte plane by byte plane: the planes of small numbers compress to nothing."""
-    planes = [np.ascontiguousarray(table[f]).view(np.uint8).reshape(len(table), -1).T.tobytes() for f in table.dtype.names]
+    planes = [np.ascontiguousarray(table[f]).view(np.uint8).reshape(len(table), table.dtype[f].itemsize).T.tobytes() for f in table.dtype.names]
     return len(table).to_bytes(4, "little") + b"".join(planes)
 
 

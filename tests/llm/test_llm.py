@@ -427,6 +427,73 @@ def test_language_model(docs, empty, rows):
     assert pitman_yor.score(empty, pitman_yor.held_out_rows(F.col("doc_id"))).count() == 0
 
 
+def seated_by_hand(train, asked, sweeps, burn, rng):
+    """Mean predictive probabilities of (context, word) pairs under one customer at a time being taken away and
+    seated again: restaurants as lists of table sizes."""
+    pairs = Counter(train)
+    ratio = lambda c: (lambda a, b: min(max(a / (a + 2 * b), 0.05), 0.95) if a and b else 0.5)(sum(x == 1 for x in c), sum(x == 2 for x in c))
+    d, root_d = ratio(pairs.values()), ratio(Counter(w for _, w in pairs).values())
+    types = len({w for _, w in train})
+    own, root = {}, {w: [] for _, w in train}
+
+    def parent(w):
+        tables = root.get(w, [])
+        total, n = sum(len(x) for x in root.values()), sum(sum(x) for x in root.values())
+        return (sum(tables) - root_d * len(tables) + (pitman_yor.ROOT_STRENGTH + root_d * total) / (types + 1)) / (pitman_yor.ROOT_STRENGTH + n)
+
+    def predict(u, w):
+        here = own.get(u, {})
+        tables, total, n = here.get(w, []), sum(len(x) for x in here.values()), sum(sum(x) for x in here.values())
+        return (sum(tables) - d * len(tables) + (pitman_yor.STRENGTH + d * total) * parent(w)) / (pitman_yor.STRENGTH + n)
+
+    def sit(tables, discount, fresh):
+        at = rng.choices(range(len(tables) + 1), [x - discount for x in tables] + [fresh])[0]
+        if at < len(tables):
+            tables[at] += 1
+            return False
+        tables.append(1)
+        return True
+
+    def leave(tables):
+        at = rng.choices(range(len(tables)), tables)[0]
+        tables[at] -= 1
+        if tables[at]:
+            return False
+        del tables[at]
+        return True
+
+    def add(u, w):
+        here = own.setdefault(u, {})
+        if sit(here.setdefault(w, []), d, (pitman_yor.STRENGTH + d * sum(len(x) for x in here.values())) * parent(w)):
+            total = sum(len(x) for x in root.values())
+            sit(root[w], root_d, (pitman_yor.ROOT_STRENGTH + root_d * total) / (types + 1))
+
+    for u, w in train:
+        add(u, w)
+    out = Counter()
+    for sweep in range(sweeps):
+        for u, w in train:
+            if leave(own[u][w]):
+                leave(root[w])
+            add(u, w)
+        if sweep >= burn:
+            for pair in asked:
+                out[pair] += predict(*pair) / (sweeps - burn)
+    return out
+
+
+def test_language_model_against_seating_by_hand(spark):
+    """The parallel sweeps give the scores of a sampler that moves one customer at a time, up to its noise."""
+    rng = random.Random(14)
+    rows = [(i, " ".join(rng.choices("abcdefghijkl", [9, 7, 5, 4, 3, 2, 2, 1, 1, 1, 1, 1], k=rng.randint(5, 25)))) for i in range(60)]
+    held = lambda d: zlib.crc32(str(d).encode()) % 7 == 2
+    pairs = {d: list(zip(["<", *t.split()], [*t.split(), ">"], strict=True)) for d, t in rows}
+    p = seated_by_hand([x for d, ps in pairs.items() if not held(d) for x in ps], {x for ps in pairs.values() for x in ps}, 60, 20, rng)
+    got = by_id(pitman_yor.score(spark.createDataFrame(rows, "doc_id long, text string"), pitman_yor.held_out_rows(F.col("doc_id"))), "score", "n_tokens")
+    gaps = [(got[d][0] - sum(math.log10(p[x]) for x in ps)) / got[d][1] for d, ps in pairs.items()]
+    assert max(map(abs, gaps)) < 0.05 and abs(sum(gaps) / len(gaps)) < 0.01
+
+
 def test_predictive_sums_to_one():
     rng = np.random.default_rng(8)
     context, word = rng.integers(0, 5, 300), rng.integers(0, 20, 300)
