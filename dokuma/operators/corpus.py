@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dokuma.functions import hashing, markup, turkish
-from dokuma.operators.order import numbered, with_neighbour
+from dokuma.operators.order import numbered, ordered, with_neighbour
 from dokuma.session import stage
 
 #: Lines of a block, bytes from which a line counts for duplication, bytes that an article must exceed,
@@ -77,22 +80,80 @@ def majority(long: DataFrame, seen: DataFrame) -> DataFrame:
     return long.join(first, "text", "left").groupBy("block_id").agg(F.count("*").alias("n_long"), F.sum(dup.cast("long")).alias("n_dup"))
 
 
-def dedup_blocks(long: DataFrame) -> DataFrame:
-    """block_id, n_long, n_dup, kept. A block goes if most of its long lines occur in earlier kept blocks.
-
-    What a block sees depends on the decisions for earlier blocks only, so rounds that apply the last
-    decisions to all blocks settle: after n rounds the first n blocks are final, and far sooner all are.
-    Each round is linear: a first block for each line, one join, one sum for each block.
-    """
-    long = stage(long, "long")
-    kept, last = long, None
-    while True:
-        now = stage(majority(long, kept).withColumn("kept", F.col("n_dup") * 2 <= F.col("n_long")), "blocks")
-        sign = now.agg(F.count_if("kept"), F.coalesce(F.sum(F.when(F.col("kept"), F.xxhash64("block_id").cast("decimal(20,0)"))), F.lit(0))).first()
-        if last == tuple(sign):
-            return now
-        last = tuple(sign)
-        kept = long.join(now.where("kept").select("block_id"), "block_id", "left_semi")
+def _settle(part: pa.Table) -> pa.Table:
+    """block_id and kept of the blocks of one part that can be settled, block after block in their order. A line is seen if an
+    earlier kept block holds it, open if none does yet, but an earlier open one might."""
+    column = lambda name: part.column(name).to_numpy()
+    line = part.column("line").combine_chunks().dictionary_encode().indices.to_numpy()
+    block, times, n_long, seen, open_before = (column(c) for c in ("block_id", "times", "n_long", "seen", "open_before"))
+    order = np.argsort(block, kind="stable")
+    edges = np.flatnonzero(np.concatenate([[True], block[order][1:] != block[order][:-1], [True]])) if len(order) else np.zeros(1, int)
+    kept_here, open_here = (np.zeros(line.max(initial=-1) + 1, bool) for _ in range(2))
+    blocks, kept = [], []
+    for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+        at = order[lo:hi]
+        own = line[at]
+        sure = seen[at] | kept_here[own]
+        maybe = ~sure & (open_before[at] | open_here[own])
+        n_sure, n_maybe, n = int(times[at][sure].sum()), int(times[at][maybe].sum()), int(n_long[at[0]])
+        if 2 * n_sure > n or 2 * (n_sure + n_maybe) <= n:
+            blocks.append(int(block[at[0]]))
+            kept.append(2 * n_sure <= n)
+            kept_here[own] |= kept[-1]
+        else:
+            open_here[own] = True
+    return pa.table({"block_id": pa.array(blocks, pa.int64()), "kept": pa.array(kept, pa.bool_())})
+
+
+def dedup_blocks(long: DataFrame, rows_a_part: int = 500_000) -> DataFrame:
+    """block_id, n_long, n_dup, kept. A block goes if most of its long lines occur in earlier kept blocks. long: block_id, text
+    and, if lines from elsewhere count as earlier kept ones, seen (boolean).
+
+    A block is settled as soon as the settled ones among its predecessors decide it: dropped if most of its lines are seen,
+    kept if the seen and the open ones together are no majority. Only lines that several blocks hold matter. Blocks that the
+    first sums settle go no further; the rest is cut into ranges of blocks of about `rows_a_part` lines, in each of which
+    blocks are settled in order, so a chain within a range costs one pass. A chain over ranges takes a round for each;
+    rounds touch only open blocks, and only the ranges in which a line's state has changed. The first open block can always
+    be settled. Lines stand by their 128-bit digests."""
+    given = F.coalesce("seen", F.lit(False)) if "seen" in long.columns else F.lit(False)
+    marked = long.where("text is not null").select("block_id", F.unhex(F.md5(F.col("text").cast("binary"))).alias("line"), given.alias("seen"))
+    held = stage(marked.groupBy("block_id", "line").agg(F.count("*").alias("times"), F.max("seen").alias("seen")), "held")
+    sizes = held.groupBy("block_id").agg(F.sum("times").alias("n_long"))
+    lines_ = held.groupBy("line").agg(F.min("block_id").alias("first"), F.count("*").alias("holders"), F.max("seen").alias("known"))
+    shared = held.drop("seen").join(lines_.where("holders > 1 or known"), "line").withColumnRenamed("known", "seen")
+    maybe = F.sum(F.when(F.col("seen") | (F.col("first") < F.col("block_id")), F.col("times")).otherwise(0))
+    sums = shared.groupBy("block_id").agg(maybe.alias("maybe"))
+    # without a majority even if every open line counted
+    tight = sizes.join(sums, "block_id").where("2 * maybe > n_long").select("block_id", "n_long")
+    rows = shared.join(tight, "block_id", "left")
+    free = rows.where(F.col("n_long").isNull()).groupBy("line").agg(F.min("block_id").alias("kept_at"))
+    rest = rows.where(F.col("n_long").isNotNull()).join(free, "line", "left")
+    rest = stage(rest.select("block_id", "line", "times", "n_long", (F.col("seen") | F.coalesce(F.col("kept_at") < F.col("block_id"), F.lit(False))).alias("seen")), "open")
+    n_parts = max(-(-rest.count() // rows_a_part), 1)
+    rest = ordered(rest, "block_id", partitions=n_parts) if n_parts > 1 else rest.withColumn("_part", F.lit(0))
+    settled, due = [], None
+    while not rest.isEmpty():
+        firsts = rest.groupBy("line").agg(F.min("block_id").alias("first"), F.min("_part").alias("first_part"))
+        now = rest.join(firsts, "line").withColumn("open_before", (F.col("first") < F.col("block_id")) & (F.col("first_part") < F.col("_part")))
+        if due is not None:
+            now = now.join(due, "_part", "left_semi")
+        done = stage(now.drop("first", "first_part").groupBy("_part").applyInArrow(_settle, "block_id long, kept boolean"), "settled")
+        settled.append(done)
+        told = rest.join(done, "block_id").groupBy("line").agg(F.min(F.when(F.col("kept"), F.col("block_id"))).alias("kept_at"))
+        now_seen = F.col("seen") | F.coalesce(F.col("kept_at") < F.col("block_id"), F.lit(False))
+        rest = rest.join(done, "block_id", "left_anti").join(told.withColumn("told", F.lit(True)), "line", "left").withColumn("seen", now_seen)
+        rest = stage(rest.select("block_id", "line", "times", "n_long", "seen", "_part", F.coalesce("told", F.lit(False)).alias("told")), "open")
+        due = rest.where("told").select("_part").distinct()
+        rest = rest.drop("told")
+    kept = sizes.select("block_id", F.lit(True).alias("kept"))
+    if settled:
+        gone = reduce(DataFrame.unionByName, settled).where("not kept").select("block_id")
+        kept = kept.join(gone, "block_id", "left_anti")
+    first_kept = held.join(kept, "block_id").groupBy("line").agg(F.min("block_id").alias("kept_at"))
+    known = held.groupBy("line").agg(F.max("seen").alias("known"))
+    dup = F.col("known") | F.coalesce(F.col("kept_at") < F.col("block_id"), F.lit(False))
+    out = held.join(known, "line").join(first_kept, "line", "left").groupBy("block_id").agg(F.sum("times").alias("n_long"), F.sum(F.when(dup, F.col("times")).otherwise(0)).alias("n_dup"))
+    return out.withColumn("kept", F.col("n_dup") * 2 <= F.col("n_long"))
 
 
 def sample_blocks(kept: DataFrame) -> DataFrame:

@@ -1,6 +1,8 @@
 """Tensors as rows (i, j, v): products, activations, norms, attention, losses, gradients, optimiser steps.
 
-Contractions are joins on the shared index and sums; reductions over a row are windows or groups.
+Contractions are joins on the shared index and sums; reductions over a row are windows or groups. An entry without a row
+is zero in sums, products and every gradient: what flows back through a slice has rows at the slice's places only. Values
+that go through a function with f(0) other than 0, or are averaged over rows, need all their entries; dense() gives them.
 """
 
 from __future__ import annotations
@@ -11,6 +13,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
+from dokuma.operators.order import ordered
+from dokuma.session import stage
+
+
 def _row() -> WindowSpec:
     return Window.partitionBy("i")
 
@@ -52,8 +58,16 @@ def reshape(a: DataFrame, old_width: int, new_width: int) -> DataFrame:
 
 
 def combine(a: DataFrame, b: DataFrame, how) -> DataFrame:
-    """how(x, y) of the entries at equal places."""
-    return a.join(b.withColumnRenamed("v", "w"), ["i", "j"]).select("i", "j", how(F.col("v"), F.col("w")).alias("v"))
+    """how(x, y) of the entries at equal places; where one of the two has no row, it is zero."""
+    zero = F.lit(0.0)
+    both = a.join(b.withColumnRenamed("v", "w"), ["i", "j"], "full")
+    return both.select("i", "j", how(F.coalesce("v", zero), F.coalesce("w", zero)).alias("v"))
+
+
+def dense(a: DataFrame, height: int, width: int) -> DataFrame:
+    """a with a row for every place of a height x width tensor, zeros among them."""
+    places = a.sparkSession.range(height).select(F.col("id").alias("i"), F.explode(F.sequence(F.lit(0), F.lit(width - 1))).alias("j"))
+    return places.join(a, ["i", "j"], "left").select("i", "j", F.coalesce("v", F.lit(0.0)).alias("v"))
 
 
 def each(a: DataFrame, how) -> DataFrame:
@@ -93,7 +107,8 @@ def rope(a: DataFrame, width: int, inverse: bool = False, base: float = 10000.0,
     """Pairs (2k, 2k + 1) of row i turned by position * base^(-2k / width); the position is i by default. Sequences
     and heads in `by`."""
     k = F.floor(F.col("j") / 2)
-    pairs = a.groupBy(*by, "i", k.alias("k")).agg(F.max(F.when(F.col("j") % 2 == 0, F.col("v"))).alias("x"), F.max(F.when(F.col("j") % 2 == 1, F.col("v"))).alias("y"))
+    one = lambda odd: F.coalesce(F.max(F.when(F.col("j") % 2 == odd, F.col("v"))), F.lit(0.0))
+    pairs = a.groupBy(*by, "i", k.alias("k")).agg(one(0).alias("x"), one(1).alias("y"))
     angle = (F.col("i") if position is None else position) * F.pow(F.lit(base), -2 * F.col("k") / F.lit(width)) * (-1 if inverse else 1)
     x, y, c, s = F.col("x"), F.col("y"), F.cos(angle), F.sin(angle)
     both = F.array(F.struct((2 * F.col("k")).alias("j"), (x * c - y * s).alias("v")), F.struct((2 * F.col("k") + 1).alias("j"), (x * s + y * c).alias("v")))
@@ -215,13 +230,13 @@ def concat_rows_grad(g: DataFrame, height: int) -> tuple[DataFrame, DataFrame]:
 
 
 def softmax_grad(y: DataFrame, g: DataFrame) -> DataFrame:
-    both = y.join(g.withColumnRenamed("v", "g"), ["i", "j"])
+    both = y.join(g.withColumnRenamed("v", "g"), ["i", "j"], "left").withColumn("g", F.coalesce("g", F.lit(0.0)))
     return both.select("i", "j", (F.col("v") * (F.col("g") - F.sum(F.col("v") * F.col("g")).over(_row()))).alias("v"))
 
 
 def rmsnorm_grad(x: DataFrame, weight: DataFrame, g: DataFrame, eps: float = 1e-5) -> tuple[DataFrame, DataFrame]:
     """Gradients of x (i, j, v) and of the weight (j, v)."""
-    both = x.join(g.withColumnRenamed("v", "g"), ["i", "j"]).join(weight, "j")
+    both = x.join(g.withColumnRenamed("v", "g"), ["i", "j"], "left").withColumn("g", F.coalesce("g", F.lit(0.0))).join(weight, "j")
     r = 1 / F.sqrt(F.avg(F.col("v") * F.col("v")).over(_row()) + eps)
     s = F.sum(F.col("g") * F.col("w") * F.col("v")).over(_row())
     rows = both.withColumns({"r": r, "s": s, "n": F.count("*").over(_row())})
@@ -247,7 +262,7 @@ def activation_grad(name: str, x: DataFrame, y: DataFrame, g: DataFrame) -> Data
 
 def swiglu_grad(gate: DataFrame, up: DataFrame, g: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Gradients of gate and up through silu(gate) * up."""
-    rows = gate.withColumnRenamed("v", "a").join(up.withColumnRenamed("v", "b"), ["i", "j"]).join(g, ["i", "j"])
+    rows = gate.withColumnRenamed("v", "a").join(up.withColumnRenamed("v", "b"), ["i", "j"]).join(g, ["i", "j"], "left").withColumn("v", F.coalesce("v", F.lit(0.0)))
     s = sigmoid(F.col("a"))
     da = F.col("v") * F.col("b") * (s + F.col("a") * s * (1 - s))
     return rows.select("i", "j", da.alias("v")), rows.select("i", "j", (F.col("v") * silu(F.col("a"))).alias("v"))
@@ -265,9 +280,12 @@ def accumulate(*grads: DataFrame) -> DataFrame:
     return total.groupBy("i", "j").agg(F.sum("v").alias("v"))
 
 
-def mean_grad(grads: DataFrame) -> DataFrame:
-    """Gradients of several workers (worker, i, j, v) averaged."""
-    return grads.groupBy("i", "j").agg((F.sum("v") / F.lit(1)).alias("s"), F.count_distinct("worker").alias("n")).select("i", "j", (F.col("s") / F.col("n")).alias("v"))
+def mean_grad(grads: DataFrame, workers: int | None = None) -> DataFrame:
+    """Gradients of several workers (worker, i, j, v) averaged; a worker without a row at a place has zero there. workers: their
+    number, or null to count those that have a row anywhere."""
+    if workers is None:
+        workers = grads.agg(F.count_distinct("worker")).first()[0]
+    return grads.groupBy("i", "j").agg((F.sum("v") / F.lit(max(workers, 1))).alias("v"))
 
 
 def clip_scale(grads: DataFrame) -> DataFrame:
@@ -292,18 +310,32 @@ def warmup_cosine(step: Column, warmup: int, total: int, peak: float, least: flo
 
 
 def ema(rows: DataFrame, order: str, value: str, keep: float = 0.98, by: tuple[str, ...] = ()) -> DataFrame:
-    """Running average of each series in `by`, seeded by its first value: a weighted sum over the earlier rows in
-    closed form, in blocks over which the weights stay within doubles. A block starts from the average at the end of
-    the block before; what lies before that block weighs less than e^-500 and is nothing in doubles."""
-    size = max(int(500 / -math.log(keep)), 1) if 0 < keep < 1 else 1 << 62
-    w = Window.partitionBy(*by).orderBy(order)
-    seq = rows.withColumn("_n", F.row_number().over(w) - 1).withColumn("_block", F.floor(F.col("_n") / size)).withColumn("_at", F.col("_n") % size)
-    part = F.when(F.col("_n") == 0, F.col(value)).otherwise((1 - keep) * F.col(value)) * F.pow(F.lit(keep), -F.col("_at"))
-    inner = F.sum(part).over(Window.partitionBy(*by, "_block").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)) * F.pow(F.lit(keep), F.col("_at"))
-    own = seq.withColumn("_own", inner)
-    ends = own.where(F.col("_at") == size - 1).select(*by, (F.col("_block") + 1).alias("_block"), F.col("_own").alias("_given"))
-    carried = F.coalesce("_given", F.lit(0.0)) * F.pow(F.lit(keep), F.col("_at") + 1)
-    return own.join(ends, [*by, "_block"], "left").withColumn("ema", F.col("_own") + carried).drop("_n", "_at", "_own", "_given", "_block")
+    """Running average of each series in `by` (of all rows, without), seeded by its first value, as a scan of pairs: n steps
+    turn an average c into keep^n c + s, and two such pairs (keep^n, s) compose. Rows are range-partitioned once by series
+    and order, so a series of any length is spread over tasks; each part sums its own s, and the parts' pairs, one for
+    each part and series, are folded in order. The order must tell the rows of a series apart.
+
+    Within a part, s is a weighted sum in closed form, in blocks over which the weights stay within doubles; what lies
+    before the block before weighs less than e^-500 and is nothing in doubles."""
+    size = max(int(500 / -math.log(keep)), 1) if 0 < keep < 1 else 1 if keep == 0 else 1 << 62
+    parts = ordered(rows, *by, order)
+    w = Window.partitionBy("_part", *by).orderBy(order)
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    seq = parts.withColumn("_n", F.row_number().over(w) - 1).withColumn("_at", F.col("_n") % size).withColumn("_block", F.floor(F.col("_n") / size))
+    part = (1 - keep) * F.col(value) * F.pow(F.lit(keep), -F.col("_at"))
+    inner = F.sum(part).over(Window.partitionBy("_part", *by, "_block").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)) * F.pow(F.lit(keep), F.col("_at"))
+    seq = seq.withColumn("_inner", inner)
+    end = F.last(F.when(F.col("_at") == size - 1, F.col("_inner")), ignorenulls=True).over(before)
+    own = seq.withColumn("_own", F.col("_inner") + F.coalesce(end, F.lit(0.0)) * F.pow(F.lit(keep), F.col("_at") + 1))
+    own = stage(own.drop("_inner", "_at", "_block"), "scan")
+    pairs = own.groupBy(*by, "_part").agg(F.pow(F.lit(keep), F.count("*")).alias("f"), F.max_by("_own", "_n").alias("s"), F.min_by(value, "_n").alias("v"))
+    # a part and its pair; a series has one for each part that it lies in
+    chain = F.sort_array(F.collect_list(F.struct("_part", "f", "s", "v")))
+    step = lambda acc, x: F.struct((x["f"] * acc["c"] + x["s"]).alias("c"), F.concat(acc["given"], F.array(F.struct(x["_part"].alias("_part"), acc["c"].alias("_given")))).alias("given"))
+    first = F.struct(F.get("chain", F.lit(0))["v"].cast("double").alias("c"), F.expr("cast(array() as array<struct<_part: int, _given: double>>)").alias("given"))
+    given = pairs.groupBy(*by).agg(chain.alias("chain")).select(*by, F.inline(F.aggregate("chain", first, step)["given"]))
+    out = own.join(given, ["_part", *by])
+    return out.withColumn("ema", F.col("_own") + F.col("_given") * F.pow(F.lit(keep), F.col("_n") + 1)).drop("_part", "_n", "_own", "_given")
 
 
 def mean_of_means(losses: DataFrame, by: str, value: str = "loss") -> DataFrame:
@@ -325,9 +357,15 @@ def fixed3(value: Column) -> Column:
 
 
 def best_so_far(rows: DataFrame, order: str, value: str, by: tuple[str, ...] = ()) -> DataFrame:
-    before = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    best = F.min(value).over(before)
-    return rows.withColumn("best_before", best).withColumn("is_best", best.isNull() | (F.col(value) < best))
+    """best_before, the least value of the earlier rows of a series, and is_best, whether a row is below it; by one range
+    partitioning and one row for each part and series, like ema()."""
+    parts = ordered(rows, *by, order)
+    before = Window.partitionBy("_part", *by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    own = parts.withColumn("_own", F.min(value).over(before))
+    earlier = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    least = parts.groupBy(*by, "_part").agg(F.min(value).alias("_least")).select(*by, "_part", F.min("_least").over(earlier).alias("_given"))
+    out = own.join(least, ["_part", *by]).withColumn("best_before", F.least("_own", "_given")).drop("_part", "_own", "_given")
+    return out.withColumn("is_best", F.col("best_before").isNull() | (F.col(value) < F.col("best_before")))
 
 
 def grow_depth(params: DataFrame, layers: int, target: int) -> DataFrame:

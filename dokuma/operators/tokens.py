@@ -48,17 +48,17 @@ def cut(piece: str, size: int = PIECE, safe: bool = True) -> list[str]:
     return [*out, raw.decode("utf-8")] if raw else out
 
 
-def segments(text: str, eos: bool = True) -> list[str | None]:
+def segments(text: str, eos: bool = True, longest: int = PIECE) -> list[str | None]:
     """Pieces of a text in order; None stands for an end of passage. Without eos, as a prompt is encoded, line feeds
-    are plain text and long pieces are cut at any byte."""
+    are plain text and long pieces are cut at any byte. longest: bytes of a piece."""
     out: list[str | None] = []
     for m in _RUN.finditer(text):
         if m[1] or not eos or "\n\n" not in m[0]:
             # a character has four bytes at most: short pieces need no cut
-            out += [m[0]] if 4 * len(m[0]) <= PIECE else cut(m[0], safe=eos)
+            out += [m[0]] if 4 * len(m[0]) <= longest else cut(m[0], longest, eos)
             continue
         for i, gap in enumerate(re.split("\n{2,}", m[0])):
-            out += ([None] if i else []) + cut(gap)
+            out += ([None] if i else []) + cut(gap, longest)
     return out
 
 
@@ -135,11 +135,18 @@ def tokenize(docs: DataFrame, vocabulary: Vocabulary, known: frozenset[str], fre
     return docs.select(id_col, encode("text").alias("tokens"))
 
 
+def placed(texts: DataFrame, order: list[str]) -> DataFrame:
+    """corpus, pos, tokens: each text's tokens and the position of the first one, which run on through each corpus in the given
+    order of its texts. texts: corpus, tokens (an array) and the order's columns; a text's first position is the sum of the
+    sizes before it."""
+    rows = running(texts.withColumn("_size", F.size("tokens").cast("long")).where("_size > 0"), order, "_size", "_start", "corpus")
+    return rows.select("corpus", F.col("_start").alias("pos"), "tokens")
+
+
 def stream(texts: DataFrame, order: list[str]) -> DataFrame:
-    """corpus, pos, token: positions run on through each corpus in the given order of its texts. texts: corpus,
-    tokens (an array) and the order's columns; a text's first position is the sum of the sizes before it."""
-    placed = running(texts.withColumn("_size", F.size("tokens").cast("long")).where("_size > 0"), order, "_size", "_start", "corpus")
-    return placed.select("corpus", "_start", F.posexplode("tokens").alias("_at", "token")).select("corpus", (F.col("_start") + F.col("_at")).alias("pos"), "token")
+    """corpus, pos, token: the tokens of placed(), one by one."""
+    rows = placed(texts, order)
+    return rows.select("corpus", "pos", F.posexplode("tokens").alias("_at", "token")).select("corpus", (F.col("pos") + F.col("_at")).alias("pos"), "token")
 
 
 def split(tokens: DataFrame, n: Column | None = None) -> DataFrame:

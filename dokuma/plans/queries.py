@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from dokuma.functions import hashing, markup, turkish
+from dokuma.functions import hashing, markup, tables, turkish
 from dokuma.functions.turkish import LETTERS, LOWER, SUFFIXES, UPPER
 from dokuma.operators import bpe, corpus, morphology, tensor, tokens
 from dokuma.operators.order import numbered, with_neighbour
-from dokuma.session import stage, table
+from dokuma.session import forget_at_exit, shared_dir, stage, table
+from dokuma.sources import tokenfiles
+from dokuma.streaming import shards
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -582,6 +585,65 @@ def q55_next_line(spark: SparkSession, sf: str) -> DataFrame:
     return with_neighbour(rows, ["doc_id", "pos"], "bytes", "next_bytes", ahead=True).select("doc_id", "pos", "next_bytes")
 
 
+@query(f"SELECT doc_id, CAST(pos - 1 AS BIGINT) AS pos, runs[pos] AS token, regexp_matches(runs[pos], '^{LETTERS}') AS letters FROM (SELECT doc_id, runs, unnest(range(1, len(runs) + 1)) AS pos FROM (SELECT doc_id, regexp_extract_all(text, '{LETTERS}+|{_OTHER}+') AS runs FROM documents))")
+def q56_document_tokens(spark: SparkSession, sf: str) -> DataFrame:
+    name = tables.register_document_tokens(spark)
+    return spark.sql(f"SELECT d.doc_id, t.pos, t.token, t.letters FROM {{documents}} d, LATERAL {name}(d.text, kind => 'runs') t", documents=_docs(spark, sf))
+
+
+@query(f"WITH {STREAM_SQL} SELECT corpus, pos // 10000 AS part, count(*) AS n, CAST(sum(token) AS BIGINT) AS total, CAST(sum(token * (pos % 1000)) AS BIGINT) AS weighted FROM stream GROUP BY 1, 2")
+def q57_token_files(spark: SparkSession, sf: str) -> DataFrame:
+    """The token streams written to files by the tasks that hold them, and read again by byte ranges."""
+    path = f"{shared_dir(spark).rstrip('/')}/tokens-{uuid.uuid4().hex}"
+    tokenfiles.write_tokens(tokens.placed(_texts(spark, sf), ["doc_id"]), path, per_file=1 << 20)
+    forget_at_exit(spark, path)
+    rows = tokenfiles.read_tokens(spark, path, split_bytes=1 << 20)
+    weighted = F.sum(F.col("token") * (F.col("pos") % 1000))
+    return rows.groupBy("corpus", F.floor(F.col("pos") / 10000).alias("part")).agg(F.count("*").alias("n"), F.sum("token").alias("total"), weighted.alias("weighted"))
+
+
+@query(f"SELECT block_id, n_long FROM ({_BLOCKS_SQL}) WHERE kept")
+def q58_stream_block_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    """The blocks of lines arrive in three shards, one after the other; those that the stream keeps."""
+    long = stage(corpus.long_lines(_lines(spark, sf)), "long")
+    home = f"{shared_dir(spark).rstrip('/')}/shards-{uuid.uuid4().hex}"
+    forget_at_exit(spark, home)
+    last = long.agg(F.max("block_id")).first()[0] or 0
+    shard = F.least(F.floor(F.col("block_id") * 3 / (last + 1)), F.lit(2))
+    query = None
+    for n in range(3):
+        long.where(shard == n).write.mode("append").parquet(f"{home}/in")
+        if query is None:
+            arriving = spark.readStream.schema(long.schema).parquet(f"{home}/in")
+            query = shards.dedup_shards(arriving, f"{home}/seen", f"{home}/out", f"{home}/checkpoint")
+        query.processAllAvailable()
+    query.stop()
+    return spark.read.schema("block_id bigint, text string, part int").parquet(f"{home}/out").groupBy("block_id").agg(F.count("*").alias("n_long"))
+
+
+@query(
+    "WITH n AS (SELECT event_id, value, row_number() OVER (ORDER BY event_id) - 1 AS n FROM events WHERE value IS NOT NULL) "
+    "SELECT event_id, round(a.e, 4) + 0.0 AS ema, coalesce(value < least_before, true) AS is_best "
+    "FROM (SELECT event_id, n, value, min(value) OVER (ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS least_before FROM n) "
+    "JOIN (SELECT x.n, sum(CASE WHEN y.n = 0 THEN 1 ELSE 0.02 END * pow(0.98, x.n - y.n) * y.value) AS e FROM n x JOIN n y ON y.n BETWEEN x.n - 1500 AND x.n GROUP BY x.n) a USING (n)"
+)
+def q59_ema_one_series(spark: SparkSession, sf: str) -> DataFrame:
+    rows = table(spark, sf, "events").where("value is not null").select("event_id", "value")
+    out = tensor.best_so_far(tensor.ema(rows, "event_id", "value"), "event_id", "value")
+    return out.select("event_id", (F.round("ema", 4) + 0.0).alias("ema"), "is_best")
+
+
+@query(
+    f"WITH {E_SQL}, x AS (SELECT i, j, exp(v - max(v) OVER (PARTITION BY i)) AS x FROM e), y AS (SELECT i, j, x / sum(x) OVER (PARTITION BY i) AS y FROM x) "
+    f"SELECT i, j, {R.format('1000 * y * (CASE WHEN j < 16 THEN y ELSE 0 END - sum(CASE WHEN j < 16 THEN y * y ELSE 0 END) OVER (PARTITION BY i))')} AS v FROM y"
+)
+def q60_sliced_softmax_grad(spark: SparkSession, sf: str) -> DataFrame:
+    """The gradient of half the squares of a softmax's first 16 columns: the others' entries come from the sum alone."""
+    y = tensor.softmax(_e(spark, sf))
+    g = tensor.slice_cols_grad(tensor.slice_cols(y, 0, 16), 0)
+    return _rounded(tensor.scale_grad(tensor.softmax_grad(y, g), 1000.0))
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 

@@ -49,14 +49,18 @@ def stage(df: DataFrame, name: str = "stage", by: str | None = None) -> DataFram
     path = f"{shared_dir(spark).rstrip('/')}/dokuma-{name}-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.option("compression", "zstd").parquet(path, partitionBy=by)
-    jvm = spark.sparkContext._jvm
-    place = jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
+    forget_at_exit(spark, path)
     out = spark.read.schema(schema).parquet(path)
     out._staged_at = path
     return out
 
 
+def forget_at_exit(spark: SparkSession, path: str) -> None:
+    """Delete a file or folder when the JVM's file system is closed."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
+
+
 def forget(*staged: DataFrame, part: str = "") -> None:
     """Delete tables that stage() wrote, or only their folder `part`, once all that was read from them has been
     written elsewhere, and let the cleaner drop the shuffle files of plans that are gone."""

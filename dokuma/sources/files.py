@@ -1,13 +1,10 @@
-"""Sources and sinks: XML dumps, lines, TSV counts, word lists, token files, merge lists, checkpoints."""
+"""Sources and sinks: XML dumps, lines, TSV counts, word lists, merge lists, checkpoints. Token files: tokenfiles.py."""
 
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
 
-import numpy as np
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from dokuma.operators.order import numbered
@@ -62,59 +59,6 @@ def write_words(words: DataFrame, path: str) -> None:
     words.select("word").write.text(path)
 
 
-def read_tokens(spark: SparkSession, path: str, corpus: str) -> DataFrame:
-    """corpus, pos, token of headerless little-endian 32-bit token files, for exchange with other programs.
-    Positions run on over the files in the order of their names. A file is one task's read, of 2 GB at most, as
-    export_tokens writes them; bytes past a file's last token are dropped."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for raw, start in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = np.frombuffer(raw[: len(raw) // 4 * 4], "<u4").astype(np.int64)
-                for lo in range(0, len(ids), 500_000):
-                    part = ids[lo : lo + 500_000]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.arange(start + lo, start + lo + len(part))), pa.array(part)], names=["pos", "token"])
-
-    found = spark.read.format("binaryFile").load(path)
-    # a row for each file
-    before = Window.orderBy("path").rowsBetween(Window.unboundedPreceding, -1)
-    starts = found.select("path", F.coalesce(F.sum(F.floor(F.col("length") / 4)).over(before), F.lit(0)).cast("long").alias("start"))
-    files = found.join(F.broadcast(starts), "path").select("content", "start")
-    return files.mapInArrow(run, "pos long, token long").select(F.lit(corpus).alias("corpus"), "pos", "token")
-
-
-def write_tokens(tokens: DataFrame, path: str) -> None:
-    """Chunks of little-endian 32-bit ids, as rows (chunk, ids binary) in order of position; joined in that
-    order they are the token file."""
-    size = 1 << 20
-
-    def packed(table: pa.Table) -> pa.Table:
-        at = table.column("pos").to_numpy().argsort()
-        ids = table.column("token").to_numpy()[at].astype("<u4").tobytes()
-        return pa.table({"corpus": table.column("corpus")[:1], "chunk": table.column("chunk")[:1], "ids": pa.array([ids], pa.binary())})
-
-    chunks = tokens.withColumn("chunk", F.floor(F.col("pos") / size)).groupBy("corpus", "chunk").applyInArrow(packed, "corpus string, chunk long, ids binary")
-    chunks.write.partitionBy("corpus").parquet(path)
-
-
-def export_tokens(spark: SparkSession, chunks: str, corpus: str, path: str, size: int = 1 << 30) -> None:
-    """Token files of at most `size` bytes from the chunks that write_tokens wrote, chunk after chunk: no more than one is
-    in memory. For exchange with programs that read one stream."""
-    place, conf = spark.sparkContext._jvm.org.apache.hadoop.fs.Path, spark.sparkContext._jsc.hadoopConfiguration()
-    rows = spark.read.parquet(chunks).where(F.col("corpus") == corpus).select("chunk", "ids").orderBy("chunk").toLocalIterator()
-    out, number, held = None, 0, 0
-    for row in rows:
-        if out is None or held + len(row["ids"]) > size:
-            if out is not None:
-                out.close()
-            target = place(f"{path.rstrip('/')}/tokens-{number:06d}.bin")
-            out, number, held = target.getFileSystem(conf).create(target, True), number + 1, 0
-        out.write(bytearray(row["ids"]))
-        held += len(row["ids"])
-    if out is not None:
-        out.close()
-
-
 def save_best(spark: SparkSession, value: float, path: str) -> None:
     """The best metric so far, beside a checkpoint."""
     spark.createDataFrame([(float(value),)], "best float").coalesce(1).write.mode("overwrite").parquet(path)
