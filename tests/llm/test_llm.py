@@ -494,6 +494,35 @@ def test_language_model_against_seating_by_hand(spark):
     assert max(map(abs, gaps)) < 0.05 and abs(sum(gaps) / len(gaps)) < 0.01
 
 
+@pytest.mark.parametrize("mass", [None, 5000.0])
+@pytest.mark.parametrize("d", [0.3, 0.7, 0.95])
+def test_seats_are_the_conditional_at_any_count(d, mass):
+    """Mean and deviation of the tables against the whole conditional, from the recurrence of the Stirling numbers."""
+    wanted = {25, 50, 100, 512, 513, 1000, 2000}
+    s, tables = np.full(2001, -np.inf), {}
+    s[0] = 0.0
+    for c in range(1, 2001):
+        t, new = np.arange(1, c + 1), np.full(2001, -np.inf)
+        with np.errstate(divide="ignore"):
+            new[1 : c + 1] = np.logaddexp(s[:c], np.log(np.maximum(c - 1 - d * t, 0)) + s[1 : c + 1])
+        s = new
+        if c in wanted:
+            tables[c] = s[1 : c + 1]
+    rng, n = np.random.default_rng(21), 4000
+    for c, base, rest in ((25, 0.05, 100), (50, 0.05, 100), (50, 0.3, 0), (100, 0.001, 10_000), (512, 0.05, 100), (513, 0.05, 100), (1000, 0.01, 1000), (1000, 1e-6, 10**6), (2000, 0.2, 5000), (2000, 0.001, 0)):
+        k = np.arange(c)
+        base_k = np.log(base) if mass is None else np.log((base * mass + k) / (mass + k))
+        w = np.cumsum(np.log(2.0 + d * (rest + k)) + base_k) + tables[c]
+        p = np.exp(w - w.max())
+        p /= p.sum()
+        mean = (p * (k + 1)).sum()
+        spread = math.sqrt(max((p * (k + 1.0) ** 2).sum() - mean**2, 0))
+        one = np.ones(n, np.int64)
+        got = pitman_yor.seat(c * one, one, one + rest, np.full(n, base), d, 2.0, rng, None if mass is None else np.full(n, mass))
+        assert abs(got.mean() - mean) < 4.5 * spread / math.sqrt(n) + 0.002 * mean
+        assert abs(got.std() - spread) < 0.1 * spread + 0.05
+
+
 def test_predictive_sums_to_one():
     rng = np.random.default_rng(8)
     context, word = rng.integers(0, 5, 300), rng.integers(0, 20, 300)
