@@ -14,7 +14,7 @@ from dokuma.session import stage
 STEP, GROUP, COMPACT = 8, 128, 0.8
 #: Levels of norms at most, by which blocks of rows are told apart.
 LEVELS = 256
-#: Largest magnitude at which float64 products of 64-bit sums stay exact with room to spare.
+#: Magnitude below which float64 products and sums are exact.
 EXACT = 2.0**53
 
 
@@ -64,13 +64,16 @@ def search_block(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, r
             alive = (near + slack >= known[:, None]).any(0)
             if alive.mean() < COMPACT:
                 score, at = np.ascontiguousarray(score[:, alive]), at[alive]
+        if kind is object:
+            score = np.clip(score, -(2**63), 2**63 - 1).astype(np.int64)
         for i in range(len(own)):
             keep = np.flatnonzero((score[i] >= known[i]) & (row_ids[at] != ids[i]))
             if len(keep) > 4 * k:
                 least = np.partition(score[i, keep], len(keep) - k)[len(keep) - k]
                 keep = keep[score[i, keep] >= least]
             value = score[i, keep].astype(np.int64)
-            best = np.lexsort((row_ids[at[keep]], -value))[:k]
+            # ~value falls where value rises, the least long included
+            best = np.lexsort((row_ids[at[keep]], ~value))[:k]
             out.append((np.full(len(best), lo + i), at[keep[best]], value[best]))
     if not out:
         e = np.zeros(0, np.int64)
@@ -83,7 +86,8 @@ def top_k(vectors: DataFrame, id_col: str, vec_col: str, is_query, k: int, query
 
     Vectors are floor(64 * component), components taken as double. A vector that is null, or holds a
     null or non-finite component, takes no part, nor does a row without an id; an empty vector scores 0.
-    Components whose floor(64 * x) leaves 64 bits, and scores that do, raise an error. A query's own row is the row with its
+    Nor does a vector with a component whose floor(64 * x) leaves 64 bits. Products are summed exactly; a score that leaves
+    64 bits is returned, and ranked, as the nearest one that does not. A query's own row is the row with its
     id (repeats of that id included). Fewer than k others: all of them. Ties go to the smaller id; repeated ids
     are separate candidates. An empty table gives an empty table; other columns are not looked at.
 
@@ -94,8 +98,9 @@ def top_k(vectors: DataFrame, id_col: str, vec_col: str, is_query, k: int, query
     """
     spark = vectors.sparkSession
     ok = F.col(id_col).isNotNull() & F.col(vec_col).isNotNull() & F.forall(F.col(vec_col), lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < F.lit(float("inf"))))
-    fits = lambda x: F.when(F.abs(x.cast("double")) < F.lit(2.0**56), F.floor(x.cast("double") * 64)).otherwise(F.raise_error(F.lit("floor(64 * x) leaves 64 bits")).cast("long"))
-    taken = vectors.where(ok).select(F.col(id_col).cast("long").alias("id"), F.transform(F.col(vec_col), fits).alias("v"), is_query.alias("q"))
+    fits = F.forall(F.col(vec_col), lambda x: (x.cast("double") >= F.lit(-(2.0**57))) & (x.cast("double") < F.lit(2.0**57)))
+    whole = F.transform(F.col(vec_col), lambda x: F.floor(x.cast("double") * 64))
+    taken = vectors.where(ok).where(fits).select(F.col(id_col).cast("long").alias("id"), whole.alias("v"), is_query.alias("q"))
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
     base = stage(taken.withColumn("norm", norm), "vectors")
     n, nq = base.agg(F.count("*"), F.count_if("q")).first()

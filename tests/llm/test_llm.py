@@ -5,7 +5,7 @@ import math
 import random
 import re
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
@@ -409,9 +409,18 @@ def test_top_k_with_norms_that_differ(spark):
         for q, v in whole[::20]:
             scored = sorted((-sum(a * b for a, b in zip(v, w, strict=True)), i) for i, w in whole if i != q)[:7]
             assert sorted(got[q]) == [(n + 1, i, -s) for n, (s, i) in enumerate(scored)]
-    large = spark.createDataFrame([(0, [1e18]), (1, [1.0])], "vec_id long, embedding array<double>")
-    with pytest.raises(Exception, match="64 bits"):
-        topk.top_k(large, "vec_id", "embedding", F.col("vec_id") % 20 == 0, 20).collect()
+    # a vector that leaves 64 bits takes no part; scores that do are the nearest that do not
+    least, most = -(2**63), 2**63 - 1
+    vectors = {0: [1e18], 1: [1.0], 20: [1e16, 3.0], 2: [1e16, -1.0], 3: [-1e16, 5.0], 4: [1e11, 1.0], 5: [2e9, 7.0], 40: [-(2.0**57), 1e5], 6: [2.0**57], 7: [float("inf")]}
+    large = spark.createDataFrame(list(vectors.items()), "vec_id long, embedding array<double>")
+    whole = {i: [math.floor(64 * x) for x in v] for i, v in vectors.items() if i not in (0, 6, 7)}
+    got = defaultdict(list)
+    for r in topk.top_k(large, "vec_id", "embedding", F.col("vec_id") % 20 == 0, 20, row_block=2).collect():
+        got[r["query_id"]].append((r["rank"], r["vec_id"], r["score"]))
+    for q in (20, 40):
+        scores = sorted((-min(max(sum(x * y for x, y in zip(whole[q], v, strict=False)), least), most), i) for i, v in whole.items() if i != q)
+        assert sorted(got[q]) == [(n, i, -s) for n, (s, i) in enumerate(scores, 1)]
+    assert set(got) == {20, 40}
 
 
 def test_language_model(docs, empty, rows):
