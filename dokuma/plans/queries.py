@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from dokuma.functions import hashing, markup, tables, turkish
 from dokuma.functions.turkish import LETTERS, LOWER, SUFFIXES, UPPER
-from dokuma.operators import bpe, corpus, morphology, tensor, tokens
+from dokuma.operators import bpe, bpe_train, corpus, morphology, tensor, tokens
 from dokuma.operators.order import numbered, with_neighbour
 from dokuma.session import forget_at_exit, shared_dir, stage, table
 from dokuma.sources import tokenfiles
@@ -22,8 +22,6 @@ SQL: dict[str, str] = {}
 
 # A small lexicon and word list, as documents of the tables hold no Turkish.
 LEXICON = ("kitap", "göz", "araba", "ev", "gitmek", "gidmek", "g", "okul", "ağaç", "süt", "tuz", "kapı", "yapmak", "gelmek", "okumak")
-INFLECTED = ("kitap", "gözlük", "arabası", "evlerde", "kitaplardan", "kitaplarımızdan", "gidiyorlar", "geldi", "okuyabil", "xyz", "ğü" * 22)
-STEMS = ("ev", "araba", "okul", "kitap", "ağaç", "göz", "süt", "kapı", "oku", "git", "tuz", "gel", "yap", "renk")
 
 WORDS_SQL = f"SELECT translate(w, '{UPPER}', '{LOWER}') AS word FROM (SELECT unnest(regexp_extract_all(text, '{LETTERS}+')) AS w FROM {{}})"
 LINES_SQL = """
@@ -337,36 +335,58 @@ def q26_decode_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("word", "decoded", (F.col("word") == F.col("decoded")).alias("same"))
 
 
-def _suffix_table(spark: SparkSession) -> DataFrame:
-    rows = [(i, s.template, s.buffer, s.softening, s.drop_vowel) for i, s in enumerate(SUFFIXES)]
-    return spark.createDataFrame(rows, "suffix_id int, template string, buffer string, softening boolean, drop_vowel boolean")
+_SUFFIX_VALUES = ", ".join(f"({i}, '{x.template}', '{x.buffer}', {x.softening}, {x.drop_vowel}, '{x.kind}', {x.slot})" for i, x in enumerate(SUFFIXES))
+_SUFFIX_SQL = f"t(suffix_id, template, buffer, softening, drop_vowel, kind, slot) AS (VALUES {_SUFFIX_VALUES})"
 
 
-_SUFFIX_VALUES = ", ".join(f"({i}, '{s.template}', '{s.buffer}', {s.softening}, {s.drop_vowel})" for i, s in enumerate(SUFFIXES))
+def _inflected_sql(source: str, columns: str) -> str:
+    """`columns`, and word: what a stem and a suffix of `source` make together."""
+    return f"""(SELECT {columns}, root || replace(replace(replace(replace(body,
+  'A', CASE WHEN v IN ('e','i','ö','ü') THEN 'e' ELSE 'a' END),
+  'I', CASE WHEN v IN ('a','ı') THEN 'ı' WHEN v IN ('o','u') THEN 'u' WHEN v IN ('ö','ü') THEN 'ü' ELSE 'i' END),
+  'D', CASE WHEN hard THEN 't' ELSE 'd' END), 'C', CASE WHEN hard THEN 'ç' ELSE 'c' END) AS made
+ FROM (SELECT *, CASE WHEN opens AND l IN ('a','e','ı','i','o','ö','u','ü') THEN CASE WHEN drop_vowel THEN substring(template, 2) ELSE buffer || template END ELSE template END AS body,
+   CASE WHEN opens AND softening AND l IN ('p','ç','t','k') THEN left(stem, length(stem) - 1) || translate(l, 'pçtk', 'bcdğ') ELSE stem END AS root,
+   l IN ('f','s','t','k','ç','ş','h','p') AS hard
+  FROM (SELECT *, right(stem, 1) AS l, coalesce(right(regexp_replace(stem, '[^aeıioöuü]', '', 'g'), 1), '') AS v, left(template, 1) IN ('A', 'I') AS opens FROM {source})))"""
 
 
 @query(f"""
-WITH t(suffix_id, template, buffer, softening, drop_vowel) AS (VALUES {_SUFFIX_VALUES}),
-s AS (SELECT unnest({list(STEMS)}) AS stem),
-c AS (SELECT *, right(stem, 1) AS l, coalesce(right(regexp_replace(stem, '[^aeıioöuü]', '', 'g'), 1), '') AS v, left(template, 1) IN ('A', 'I') AS opens FROM s, t),
-b AS (SELECT *, CASE WHEN opens AND l IN ('a','e','ı','i','o','ö','u','ü') THEN CASE WHEN drop_vowel THEN substring(template, 2) ELSE buffer || template END ELSE template END AS body,
-  CASE WHEN opens AND softening AND l IN ('p','ç','t','k') THEN left(stem, length(stem) - 1) || translate(l, 'pçtk', 'bcdğ') ELSE stem END AS root,
-  l IN ('f','s','t','k','ç','ş','h','p') AS hard FROM c)
-SELECT stem, CAST(suffix_id AS INTEGER) AS suffix_id, root || replace(replace(replace(replace(body,
-  'A', CASE WHEN v IN ('e','i','ö','ü') THEN 'e' ELSE 'a' END),
-  'I', CASE WHEN v IN ('a','ı') THEN 'ı' WHEN v IN ('o','u') THEN 'u' WHEN v IN ('ö','ü') THEN 'ü' ELSE 'i' END),
-  'D', CASE WHEN hard THEN 't' ELSE 'd' END), 'C', CASE WHEN hard THEN 'ç' ELSE 'c' END) AS word FROM b""")
+WITH {_SUFFIX_SQL}, s AS (SELECT DISTINCT word AS stem FROM ({WORDS_SQL.format('documents')}))
+SELECT stem, CAST(suffix_id AS INTEGER) AS suffix_id, made AS word FROM {_inflected_sql('(SELECT * FROM s, t)', 'stem, suffix_id')}""")
 def q27_suffix_resolve(spark: SparkSession, sf: str) -> DataFrame:
-    # a fixed list of stems with the fixed suffix table
-    rows = _inline(spark, STEMS, "stem").withColumn("_one", F.lit(1)).join(F.broadcast(_suffix_table(spark).withColumn("_one", F.lit(1))), "_one")
+    """Every word of the documents with every suffix of the fixed table."""
+    table_ = F.array(*(F.struct(F.lit(i).alias("suffix_id"), *(F.lit(getattr(x, c)).alias(c) for c in ("template", "buffer", "softening", "drop_vowel"))) for i, x in enumerate(SUFFIXES)))
+    rows = corpus.word_counts(_docs(spark, sf)).select(F.col("word").alias("stem"), F.inline(table_))
     return rows.select("stem", "suffix_id", turkish.resolve_col(*(F.col(c) for c in ("stem", "template", "buffer", "softening", "drop_vowel"))).alias("word"))
 
 
-@query()
+@query(f"""
+WITH RECURSIVE {_SUFFIX_SQL},
+counts AS (SELECT word, count(*) AS cnt FROM ({WORDS_SQL.format('documents')}) GROUP BY word),
+seed AS (SELECT word FROM counts WHERE cnt >= 50 UNION SELECT unnest({list(LEXICON)})),
+known AS (SELECT word FROM seed UNION SELECT substring(word, 1, length(word) - 3) FROM seed WHERE regexp_matches(word, 'm[ae]k$') AND strlen(word) >= 4),
+r AS (
+  SELECT word, word AS form, '' AS path, '' AS suffixes, '' AS kind, 4 AS slot, 0 AS depth FROM counts WHERE strlen(word) < 64
+  UNION ALL
+  SELECT word, form, path, suffixes, kind, slot, depth FROM (
+    SELECT word, unnest(CASE WHEN softening AND right(stem, 1) IN ('b','c','d','ğ') THEN [stem, left(stem, length(stem) - 1) || translate(right(stem, 1), 'bcdğ', 'pçtk')] ELSE [stem] END) AS form,
+      path || printf('%02d%02d', suffix_id, 99 - length(stem)) || unnest(CASE WHEN softening AND right(stem, 1) IN ('b','c','d','ğ') THEN ['0', '1'] ELSE ['0'] END) AS path,
+      CASE WHEN suffixes = '' THEN CAST(suffix_id AS VARCHAR) ELSE suffix_id || ',' || suffixes END AS suffixes, kind, slot, depth
+    FROM {_inflected_sql("""(SELECT r.word, r.form, r.path, r.suffixes, r.depth + 1 AS depth, substring(r.form, 1, CAST(n AS INTEGER)) AS stem, t.suffix_id, t.template, t.buffer, t.softening, t.drop_vowel,
+        CASE WHEN t.kind = 'derivational' THEN r.kind ELSE t.kind END AS kind, CASE WHEN t.slot > 0 THEN t.slot ELSE r.slot END AS slot
+      FROM r, t, range(1, 64) x(n)
+      WHERE r.depth < 6 AND strlen(r.form) >= 2 AND n < length(r.form) AND n >= length(r.form) - 5 AND (t.kind = 'derivational' OR r.kind IN ('', t.kind)) AND (t.slot = 0 OR t.slot < r.slot))""", 'word, form, path, suffixes, depth, stem, suffix_id, softening, kind, slot')}
+    WHERE made = form)),
+p AS (SELECT r.word, form AS root, suffixes, depth, row_number() OVER (PARTITION BY r.word ORDER BY path) - 1 AS parse_no FROM r JOIN known k ON k.word = r.form),
+b AS (SELECT p.*, coalesce(c.cnt, 0) AS cnt, row_number() OVER (PARTITION BY p.word ORDER BY coalesce(c.cnt, 0) DESC, depth, parse_no) AS place FROM p LEFT JOIN counts c ON c.word = p.root WHERE parse_no < 16)
+SELECT word, CAST(parse_no AS INTEGER) AS parse_no, root, suffixes, cnt FROM b WHERE place = 1""")
 def q28_analyze_disambiguate(spark: SparkSession, sf: str) -> DataFrame:
-    known = morphology.lexicon(_inline(spark, LEXICON))
-    frequency = spark.createDataFrame([("git", 1000), ("gid", 1), ("ev", 50)], "word string, cnt long")
-    return morphology.disambiguate(morphology.analyze_words(_inline(spark, INFLECTED), known), frequency)
+    """The words of the documents against their frequent words and a few Turkish roots as the lexicon."""
+    counts = stage(corpus.word_counts(_docs(spark, sf)), "counts")
+    known = morphology.lexicon(counts.where("cnt >= 50").select("word").unionByName(_inline(spark, LEXICON)))
+    best = morphology.disambiguate(morphology.analyze_words(counts, known), counts)
+    return best.select("word", "parse_no", "root", F.concat_ws(",", F.transform("suffixes", lambda x: x.cast("string"))).alias("suffixes"), "cnt")
 
 
 @query()
@@ -492,9 +512,11 @@ def q43_adam_step(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("i", "j", *[(F.round(c, 4) + 0.0).alias(c) for c in ("v", "m", "s")])
 
 
-@query("SELECT s AS step, round(CASE WHEN s < 20 THEN 0.5 * (s + 1) / 20.0 ELSE 0.05 + (0.5 - 0.05) * 0.5 * (1 + cos(pi() * least(1.0, (s - 20) / 80.0))) END, 6) AS lr FROM range(150) r(s)")
+@query("SELECT event_id, round(CASE WHEN s < 20 THEN 0.5 * (s + 1) / 20.0 ELSE 0.05 + (0.5 - 0.05) * 0.5 * (1 + cos(pi() * least(1.0, (s - 20) / 80.0))) END, 6) AS lr FROM (SELECT event_id, event_id % 150 AS s FROM events)")
 def q44_lr_schedule(spark: SparkSession, sf: str) -> DataFrame:
-    return spark.range(150).select(F.col("id").alias("step"), F.round(tensor.warmup_cosine(F.col("id"), 20, 100, 0.5, 0.05), 6).alias("lr"))
+    """The rate of a step for each event, as if each 150 events were a run of steps."""
+    step = F.col("event_id") % 150
+    return table(spark, sf, "events").select("event_id", F.round(tensor.warmup_cosine(step, 20, 100, 0.5, 0.05), 6).alias("lr"))
 
 
 @query(
@@ -509,10 +531,11 @@ def q45_ema_best_so_far(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("user_id", "event_id", (F.round("ema", 4) + 0.0).alias("ema"), "is_best")
 
 
-@query("SELECT CAST(l AS INTEGER) AS layer, CAST(l % 12 AS INTEGER) AS source, CAST(10 * (l % 12) + k AS INTEGER) AS param FROM range(24) a(l), range(10) b(k)")
+@query(f"WITH {E_SQL} SELECT CAST(l AS INTEGER) AS layer, CAST(i % 12 AS INTEGER) AS source, i, j, v FROM e JOIN range(24) r(l) ON l % 12 = i % 12")
 def q46_depth_growth(spark: SparkSession, sf: str) -> DataFrame:
-    params = spark.range(120).select(F.floor(F.col("id") / 10).cast("int").alias("layer"), F.col("id").cast("int").alias("param"))
-    return tensor.grow_depth(params.withColumn("source", F.col("layer")), 12, 24).select("layer", "source", "param")
+    """The vectors as parameters of 12 layers, taken over by 24."""
+    layer = (F.col("i") % 12).cast("int")
+    return tensor.grow_depth(_e(spark, sf).withColumns({"layer": layer, "source": layer}), 12, 24).select("layer", "source", "i", "j", "v")
 
 
 @query(
@@ -644,6 +667,13 @@ def q60_sliced_softmax_grad(spark: SparkSession, sf: str) -> DataFrame:
     return _rounded(tensor.scale_grad(tensor.softmax_grad(y, g), 1000.0))
 
 
+@query()
+def q61_bpe_train_all_words(spark: SparkSession, sf: str) -> DataFrame:
+    """The first merges over every word of the documents, without a list at the driver."""
+    made = bpe_train.train(corpus.word_counts(_docs(spark, sf)), 64)
+    return spark.createDataFrame([(i, *m) for i, m in enumerate(made)], "rank int, left int, right int, new_id int")
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 

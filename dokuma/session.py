@@ -61,16 +61,17 @@ def forget_at_exit(spark: SparkSession, path: str) -> None:
     place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
 
 
-def forget(*staged: DataFrame, part: str = "") -> None:
+def forget(*staged: DataFrame, part: str = "", sweep: bool = True) -> None:
     """Delete tables that stage() wrote, or only their folder `part`, once all that was read from them has been
-    written elsewhere, and let the cleaner drop the shuffle files of plans that are gone."""
+    written elsewhere, and, if `sweep`, let the cleaner drop the shuffle files of plans that are gone."""
     for df in staged:
         spark = df.sparkSession
         jvm = spark.sparkContext._jvm
         place = jvm.org.apache.hadoop.fs.Path(f"{df._staged_at}/{part}" if part else df._staged_at)
         place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    if sweep:
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
 
 
 #: Rows that one bitmap stands for, and bytes of the bitmaps that are broadcast at a time.

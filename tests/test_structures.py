@@ -8,7 +8,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from dokuma.functions import tables
-from dokuma.operators import bpe, corpus, tensor, tokens
+from dokuma.operators import bpe, bpe_train, corpus, tensor, tokens
 from dokuma.sources import tokenfiles
 from dokuma.streaming import shards
 
@@ -216,3 +216,15 @@ def test_gradients_through_slices(spark):
     # a rotation of a gradient with one entry of a pair
     turned = array(tensor.rope(tensor.slice_cols_grad(frame(spark, c[:, :1]), 2), 4, inverse=True), (3, 4))
     assert np.allclose((turned[:, 2:] ** 2).sum(1), c[:, 0] ** 2)
+
+
+@pytest.mark.parametrize(("letters", "merges", "candidates"), [("ab", 60, 256), ("abcé", 60, 3), ("abcé", 10**6, 64)])
+def test_merges_in_rounds(spark, monkeypatch, letters, merges, candidates):
+    """The same merges as one after the other, ties and runs of one symbol among them, until no pair is left."""
+    monkeypatch.setattr(bpe_train, "WORDS_A_ROW", 37)
+    rng = random.Random(merges)
+    words = sorted({"".join(rng.choices(letters, k=rng.randint(1, 12))) for _ in range(200 if merges == 60 else 40)})
+    rows = [(w, rng.randint(1, 5)) for w in words] + [("a" * 40, 3)]
+    df = spark.createDataFrame([*rows, ("", 4), (None, 2), ("ab", 0)], "word string, cnt long").repartition(3)
+    assert bpe_train.train(df, merges, candidates) == bpe.train_local(rows, merges)
+    assert bpe_train.train(df.limit(0), 5) == [] and bpe_train.train(df, 0) == []
