@@ -158,8 +158,9 @@ def repeated_units(keyed: DataFrame, _fetched: Callable, sentences: bool) -> Dat
 
 
 def line_dedup(docs: DataFrame, least_run: int = LEAST_RUN, sentences: bool = True) -> DataFrame:
-    """One row for each document: doc_id, n_bytes, n_removed (bytes), n_spans, kept_sha256, n_lines, and
-    removed: the removed runs as [start, end) in the bytes of the original text.
+    """One row for each document: doc_id, n_bytes, n_removed (bytes), n_spans, kept_sha256, n_lines,
+    removed: the removed runs as [start, end) in the bytes of the original text, and repeated and n_repeated: likewise
+    all runs of repeated units, whatever their length, and their bytes.
 
     Every unit with a word is hashed; of units with one normal form the earliest (smaller doc_id, then earlier
     start) is the original. Adjoining units that are not originals go if together they have `least_run`
@@ -170,25 +171,28 @@ def line_dedup(docs: DataFrame, least_run: int = LEAST_RUN, sentences: bool = Tr
     that repeat doc_id and text are one place and share a result; of different texts with one doc_id the
     order of their hashes decides. Columns other than doc_id and text are not looked at.
     """
-    names = ["n_bytes", "n_removed", "n_spans", "kept_sha256", "n_lines"]
+    names = ["n_bytes", "n_removed", "n_spans", "kept_sha256", "n_lines", "n_repeated"]
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             offsets, data = texts(batch.column(1))
-            rows, removed = [], []
+            rows, removed, repeated = [], [], []
             for i, blobs in enumerate(batch.column(2).to_pylist()):
                 text = data[offsets[i] : offsets[i + 1]].tobytes()
-                a, b = (v.tolist() for v in removed_runs(unpack(blobs or [], RUN), least_run))
+                found = unpack(blobs or [], RUN)
+                a, b = (v.tolist() for v in removed_runs(found, least_run))
+                every = [v.tolist() for v in removed_runs(found, 0)]
                 kept, at = hashlib.sha256(), 0
                 for x, y in zip(a, b, strict=True):
                     kept.update(text[at:x])
                     at = y
                 kept.update(text[at:])
-                rows.append((len(text), sum(b) - sum(a), len(a), kept.hexdigest(), text.count(b"\n") + (not text.endswith(b"\n")) if text else 0))
+                rows.append((len(text), sum(b) - sum(a), len(a), kept.hexdigest(), text.count(b"\n") + (not text.endswith(b"\n")) if text else 0, sum(every[1]) - sum(every[0])))
                 removed.append([{"start": x, "end": y} for x, y in zip(a, b, strict=True)])
-            made = batch_of(rows, names, [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64()])
-            yield pa.RecordBatch.from_arrays([batch.column(0), *made.columns, pa.array(removed, span)], names=["doc_id", *names, "removed"])
+                repeated.append([{"start": x, "end": y} for x, y in zip(*every, strict=True)])
+            made = batch_of(rows, names, [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64()])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *made.columns, pa.array(removed, span), pa.array(repeated, span)], names=["doc_id", *names, "removed", "repeated"])
 
     rows, spans = with_spans(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), lambda keyed, fetched: repeated_units(keyed, fetched, sentences))
-    return rows.select("doc_id", "text", spans).mapInArrow(trimmed(run), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_lines long, removed array<struct<start:bigint,end:bigint>>")
+    return rows.select("doc_id", "text", spans).mapInArrow(trimmed(run), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_lines long, n_repeated long, removed array<struct<start:bigint,end:bigint>>, repeated array<struct<start:bigint,end:bigint>>")

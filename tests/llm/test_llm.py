@@ -164,6 +164,10 @@ def test_line_dedup(spark, docs, empty, rows, least_run, sentences):
     both = docs.select("doc_id", "text").unionByName(spark.createDataFrame(more, "doc_id long, text string"))
     got = {d: (*v[:4], [tuple(s) for s in v[4]]) for d, v in by_id(lines.line_dedup(both, least_run, sentences), "n_bytes", "n_removed", "n_spans", "kept_sha256", "removed").items()}
     assert got == lines_of([*rows, *more], least_run, sentences)
+    # whatever stays because its run is short is listed all the same
+    every = by_id(lines.line_dedup(both, least_run, sentences), "repeated", "n_repeated")
+    wanted = {d: [tuple(x) for x in v[4]] for d, v in lines_of([*rows, *more], 1, sentences).items()}
+    assert {d: [tuple(x) for x in v[0]] for d, v in every.items()} == wanted and all(n == sum(b - a for a, b in v) for v, n in every.values())
     assert lines.line_dedup(empty).count() == 0
 
 
