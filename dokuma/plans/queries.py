@@ -308,15 +308,9 @@ def q23_bpe_apply_merge(spark: SparkSession, sf: str) -> DataFrame:
     return merged.groupBy("word").agg(F.count("*").alias("n_symbols"), F.count_if(F.col("sym") == 256).alias("n_merged"))
 
 
-_trained: dict[tuple[str, str], bpe.Merges] = {}
-
-
 def _merges(spark: SparkSession, sf: str) -> bpe.Merges:
-    """The merges of a data folder's words, trained once a session."""
-    key = (spark.sparkContext.applicationId, sf)
-    if key not in _trained:
-        _trained[key] = bpe.Merges(bpe.train(corpus.word_counts(_docs(spark, sf)), 200))
-    return _trained[key]
+    """The merges of a data folder's words, trained anew by each query that needs them."""
+    return bpe.Merges(bpe.train(corpus.word_counts(_docs(spark, sf)), 200))
 
 
 @query()
@@ -331,7 +325,8 @@ def q25_bpe_encode(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"SELECT DISTINCT word, word AS decoded, true AS same FROM ({WORDS_SQL.format('documents')})")
 def q26_decode_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
-    rows = bpe.decode_words(q25_bpe_encode(spark, sf), _merges(spark, sf))
+    merges = _merges(spark, sf)
+    rows = bpe.decode_words(bpe.encode_words(corpus.word_counts(_docs(spark, sf)), merges), merges)
     return rows.select("word", "decoded", (F.col("word") == F.col("decoded")).alias("same"))
 
 
