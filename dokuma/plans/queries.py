@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from dokuma.functions import hashing, markup, tables, turkish
 from dokuma.functions.turkish import LETTERS, LOWER, SUFFIXES, UPPER
-from dokuma.operators import bpe, bpe_train, corpus, morphology, tensor, tokens
+from dokuma.operators import bpe, bpe_train, corpus, morphology, tensor, tiles, tokens
 from dokuma.operators.order import numbered, with_neighbour
 from dokuma.session import forget_at_exit, shared_dir, stage, table
 from dokuma.sources import tokenfiles
@@ -399,9 +399,8 @@ R = "round({}, 4) + 0.0"
 
 @query(f"WITH {E_SQL} SELECT a.label, a.j AS i, b.j, {R.format('sum(a.v * b.v)')} AS v FROM e a JOIN e b ON a.i = b.i GROUP BY 1, 2, 3")
 def q30_gram_by_label(spark: SparkSession, sf: str) -> DataFrame:
-    label = table(spark, sf, "embeddings").select(F.col("vec_id").alias("i"), "label")
-    e = _e(spark, sf).join(label, "i")
-    return _rounded(tensor.matmul(tensor.transpose(e, ("label",)), e, ("label",)))
+    products = tiles.entries(tiles.gram(table(spark, sf, "embeddings"), "embedding", ("label",)), ("label",))
+    return _rounded(products.select("label", F.col("i").cast("int").alias("i"), "j", "v"))
 
 
 @query(f"WITH {E_SQL} SELECT i, j, {R.format('v + v * v')} AS added, {R.format('v * 3')} AS scaled, {R.format('greatest(v, 0)')} AS relu, {R.format('1 / (1 + exp(-v))')} AS sigmoid, {R.format('(exp(2 * v) - 1) / (exp(2 * v) + 1)')} AS tanh FROM e")
@@ -436,10 +435,6 @@ def q35_rope(spark: SparkSession, sf: str) -> DataFrame:
     return _rounded(tensor.rope(_e(spark, sf), 64, position=F.col("i") % 16))
 
 
-def _sequences(spark: SparkSession, sf: str) -> DataFrame:
-    return _e(spark, sf).select(F.floor(F.col("i") / 16).alias("b"), (F.col("i") % 16).alias("i"), "j", "v")
-
-
 @query(
     f"WITH {E_SQL}, x AS (SELECT i // 16 AS b, i % 16 AS i, j, v FROM e), "
     "s AS (SELECT q.b, q.i, k.i AS j, sum(q.v * k.v) / 8 AS z FROM x q JOIN x k ON q.b = k.b AND q.j = k.j AND k.i <= q.i GROUP BY 1, 2, 3), "
@@ -447,8 +442,9 @@ def _sequences(spark: SparkSession, sf: str) -> DataFrame:
     f"SELECT w.b, w.i, v.j, {R.format('sum(w.p * v.v)')} AS v FROM w JOIN x v ON v.b = w.b AND v.i = w.j GROUP BY 1, 2, 3"
 )
 def q36_causal_attention(spark: SparkSession, sf: str) -> DataFrame:
-    x = _sequences(spark, sf)
-    return _rounded(tensor.causal_attention(x, x, x, 64, ("b",)))
+    x = F.col("embedding")
+    rows = table(spark, sf, "embeddings").select(F.floor(F.col("vec_id") / 16).alias("b"), (F.col("vec_id") % 16).alias("i"), x.alias("q"), x.alias("k"), x.alias("v"))
+    return _rounded(tiles.attention(rows, 64, ("b",)).select("b", "i", F.posexplode("v").alias("j", "v")))
 
 
 @query(

@@ -8,7 +8,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from dokuma.functions import tables
-from dokuma.operators import bpe, bpe_train, corpus, tensor, tokens
+from dokuma.operators import bpe, bpe_train, corpus, tensor, tiles, tokens
 from dokuma.sources import tokenfiles
 from dokuma.streaming import shards
 
@@ -228,3 +228,53 @@ def test_merges_in_rounds(spark, monkeypatch, letters, merges, candidates):
     df = spark.createDataFrame([*rows, ("", 4), (None, 2), ("ab", 0)], "word string, cnt long").repartition(3)
     assert bpe_train.train(df, merges, candidates) == bpe.train_local(rows, merges)
     assert bpe_train.train(df.limit(0), 5) == [] and bpe_train.train(df, 0) == []
+
+
+def matrix(df, shape):
+    out = np.zeros(shape)
+    for r in tiles.entries(df, size=4).collect():
+        if r["i"] < shape[0] and r["j"] < shape[1]:
+            out[r["i"], r["j"]] += r["v"]
+        else:
+            assert r["v"] == 0
+    return out
+
+
+def test_products_of_tiles(spark, monkeypatch):
+    monkeypatch.setattr(tiles, "HELD", 500)
+    rng = np.random.default_rng(9)
+    a, b = rng.normal(size=(10, 13)), rng.normal(size=(13, 6))
+    a[3:8, 2:9] = 0  # a whole tile without a row
+    b[12] = 0
+    A = tiles.of_rows(spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(a)], "i long, v array<double>"), "i", "v", size=4)
+    sparse = spark.createDataFrame([(i, j, float(v)) for (i, j), v in np.ndenumerate(a) if v], "i int, j int, v double")
+    B = tiles.of_entries(spark.createDataFrame([(i, j, float(v)) for (i, j), v in np.ndenumerate(b) if v], "i int, j int, v double"), size=4)
+    assert np.allclose(matrix(A, a.shape), a) and np.allclose(matrix(B, b.shape), b)
+    for left in (A, tiles.of_entries(sparse, size=4)):
+        assert np.allclose(matrix(tiles.product(left, B), (10, 6)), a @ b)
+    assert np.allclose(matrix(tiles.transpose(A), (13, 10)), a.T)
+    two = spark.createDataFrame([(k, i, [float(v) for v in row]) for i, row in enumerate(a) for k in ("x", None, "x")[: 1 + i % 3]], "k string, i long, v array<double>")
+    products = tiles.entries(tiles.gram(two, "v", ("k",), 4), ("k",), 4).collect()
+    for key, times in (("x", [1, 1, 2] * 4), (None, [0, 1, 1] * 4)):
+        want, got = (a * np.array(times[:10])[:, None]).T @ a, np.zeros((13, 13))
+        for r in products:
+            if r["k"] == key:
+                got[r["i"], r["j"]] += r["v"]
+        assert np.allclose(got, want)
+    assert tiles.gram(two.limit(0), "v", ("k",)).isEmpty() and tiles.product(A.limit(0), B).isEmpty()
+
+
+@pytest.mark.parametrize("held", [64 << 20, 1])
+def test_attention_by_bands(spark, monkeypatch, held):
+    monkeypatch.setattr(tiles, "HELD", held)
+    rng = np.random.default_rng(10)
+    q, k, v = (rng.normal(size=(2, 11, 6)) * 3 for _ in range(3))
+    rows = [(b, i, *(x[b, i].tolist() for x in (q, k, v))) for b in range(2) for i in range(11) if (b, i) != (1, 4)]
+    df = spark.createDataFrame(rows, "b int, i int, q array<double>, k array<double>, v array<double>").repartition(3)
+    got = {(r["b"], r["i"]): r["v"] for r in tiles.attention(df, 6, ("b",), 4).collect()}
+    one = {r["i"]: r["v"] for r in tiles.attention(df.where("b = 0").drop("b"), 6, size=4).collect()}
+    assert set(got) == {r[:2] for r in rows} and set(one) == set(range(11))
+    for b, i in got:
+        seen = [j for j in range(i + 1) if (b, j) != (1, 4)]
+        s = np.exp(q[b, i] @ k[b, seen].T / np.sqrt(6))
+        assert np.allclose(got[b, i], s / s.sum() @ v[b, seen]) and (b or np.allclose(one[i], got[b, i]))
