@@ -1,4 +1,4 @@
-"""The parameter table of the transformer: its plan, and its reproducible initial values."""
+"""The parameter table of the transformer: its plan, its reproducible initial values, and the forward pass over it."""
 
 from __future__ import annotations
 
@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dokuma.functions import hashing
+from dokuma.operators import tensor
+from dokuma.session import stage
 
 #: Deviation of the initial matrices.
 SPREAD = 0.02
@@ -53,3 +55,26 @@ def initial(spark: SparkSession, plan: list[Parameter], seed: int, sequence: int
     cells = cells.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("n_cols") - 1)))
     number = F.when(F.col("fill").isNull(), F.col("before") + F.col("i") * F.col("n_cols") + F.col("j")).otherwise(0)
     return cells.withColumn("_d", draw(number)).select("param_idx", "layer", "name", "i", "j", F.coalesce("fill", "_d").alias("v"))
+
+
+def logits(ids: DataFrame, params: DataFrame, heads: int, length: int) -> DataFrame:
+    """i, j, v: the planned model's logits of each token j after row i. ids: i, token, in sequences of `length` rows one after
+    another; params: the parameter table (layer, name, i, j, v). Embedding, a pre-norm block of each layer, the last norm,
+    and the embedding's transpose as the output projection. Each layer's values are written, so plans do not grow with the
+    number of layers."""
+    sizes = {(r["layer"], r["name"]): r["n"] for r in params.groupBy("layer", "name").agg((F.max("j") + 1).alias("n")).collect()}  # a row for each parameter
+    layers = 1 + max(layer for layer, _ in sizes)
+    width = sizes[-1, "norm"]
+
+    def of(layer: int, name: str) -> DataFrame:
+        rows = params.where((F.col("layer") == layer) & (F.col("name") == name))
+        if name.endswith("norm"):
+            return rows.select("j", F.col("v").alias("w"))
+        return rows.select("j", F.col("v").alias("b")) if name.endswith("bias") else rows.select("i", "j", "v")
+
+    embedding = of(-1, "embedding")
+    x = tensor.embed(ids, embedding)
+    for layer in range(layers):
+        weights = {name: of(layer, name) for at, name in sizes if at == layer}
+        x = stage(tensor.multi_head_block(x, weights, heads, width, sizes[layer, "gate_up"] // 2, length), "layer")
+    return tensor.matmul(tensor.rmsnorm(x, of(-1, "norm")), tensor.transpose(embedding))

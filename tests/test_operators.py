@@ -184,6 +184,22 @@ def test_multi_head_block(spark):
     assert np.allclose(got, _plain_block(x, w, 2, width, hidden, length), atol=1e-9)
 
 
+def test_logits_of_the_planned_model(spark):
+    """Embedding, two layers with heads and biases, last norm and tied projection over a parameter table: against numpy."""
+    rng, width, hidden, length, tokens_ = np.random.default_rng(13), 4, 6, 3, 7
+    plan = model.parameters(tokens_, width, 2, hidden)
+    w = {(p.layer, p.name): rng.normal(size=(p.rows, p.cols)) for p in plan}
+    params = spark.createDataFrame([(*key, i, j, float(v)) for key, m in w.items() for (i, j), v in np.ndenumerate(m)], "layer int, name string, i long, j int, v double")
+    ids = rng.integers(0, tokens_, 2 * length)
+    x = w[-1, "embedding"][ids]
+    for layer in range(2):
+        x = _plain_block(x, {name: m for (at, name), m in w.items() if at == layer}, 2, width, hidden, length)
+    x = x / np.sqrt((x * x).mean(1, keepdims=True) + 1e-5) * w[-1, "norm"][0]
+    rows = spark.createDataFrame([(i, int(t)) for i, t in enumerate(ids)], "i int, token long")
+    got = _array(model.logits(rows, params, 2, length), (2 * length, tokens_))
+    assert np.allclose(got, x @ w[-1, "embedding"].T, atol=1e-8)
+
+
 def test_shape_gradients(spark):
     """Sums, differences, scales, slices and concatenations, by finite differences of one function of two matrices."""
     rng = np.random.default_rng(4)
