@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -96,23 +95,6 @@ def best(parses: list[tuple[str, tuple[int, ...]]], frequency: dict[str, int]) -
     return min(parses, key=lambda p: (-frequency.get(p[0], 0), len(p[1])), default=None)
 
 
-def analyze_words(words: DataFrame, known: DataFrame, limit: int = 2_000_000) -> DataFrame:
-    """word, parse_no, root, suffixes of each distinct word. The lexicon goes to every worker; it is a
-    dictionary of a language, of checked size, and larger ones are refused."""
-    n = known.count()
-    if n > limit:
-        raise ValueError(f"a lexicon of {n} words is over the limit of {limit}")
-    shared = words.sparkSession.sparkContext.broadcast(frozenset(r[0] for r in known.select("word").toLocalIterator()))
-    kind = "array<struct<root:string,suffixes:array<int>>>"
-
-    @F.pandas_udf(kind)
-    def parse(column: pd.Series) -> pd.Series:
-        return column.map(lambda w: [{"root": r, "suffixes": list(s)} for r, s in (analyze(w, shared.value)[0] if may_parse(w, shared.value) else [])])
-
-    rows = words.select("word").distinct().select("word", F.posexplode(parse("word")).alias("parse_no", "p"))
-    return rows.select("word", "parse_no", F.col("p.root").alias("root"), F.col("p.suffixes").alias("suffixes"))
-
-
 def disambiguate(parses: DataFrame, frequency: DataFrame) -> DataFrame:
     """One parse of each word; frequency: word, cnt."""
     counts = frequency.select(F.col("word").alias("root"), "cnt")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from dokuma.functions import hashing, markup, tables, turkish
 from dokuma.functions.turkish import LETTERS, LOWER, SUFFIXES, UPPER
-from dokuma.operators import bpe, bpe_train, corpus, morphology, tensor, tiles, tokens
+from dokuma.operators import bpe, bpe_train, corpus, lexicon, morphology, tensor, tiles, tokens
 from dokuma.operators.order import numbered, with_neighbour
 from dokuma.session import forget_at_exit, shared_dir, stage, table
 from dokuma.sources import tokenfiles
@@ -380,7 +380,7 @@ def q28_analyze_disambiguate(spark: SparkSession, sf: str) -> DataFrame:
     """The words of the documents against their frequent words and a few Turkish roots as the lexicon."""
     counts = stage(corpus.word_counts(_docs(spark, sf)), "counts")
     known = morphology.lexicon(counts.where("cnt >= 50").select("word").unionByName(_inline(spark, LEXICON)))
-    best = morphology.disambiguate(morphology.analyze_words(counts, known), counts)
+    best = morphology.disambiguate(lexicon.analyze_words(counts, known), counts)
     return best.select("word", "parse_no", "root", F.concat_ws(",", F.transform("suffixes", lambda x: x.cast("string"))).alias("suffixes"), "cnt")
 
 

@@ -7,8 +7,8 @@ import pytest
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
-from dokuma.functions import tables
-from dokuma.operators import bpe, bpe_train, corpus, tensor, tiles, tokens
+from dokuma.functions import tables, turkish
+from dokuma.operators import bpe, bpe_train, corpus, lexicon, morphology, tensor, tiles, tokens
 from dokuma.sources import tokenfiles
 from dokuma.streaming import shards
 
@@ -278,3 +278,32 @@ def test_attention_by_bands(spark, monkeypatch, held):
         seen = [j for j in range(i + 1) if (b, j) != (1, 4)]
         s = np.exp(q[b, i] @ k[b, seen].T / np.sqrt(6))
         assert np.allclose(got[b, i], s / s.sum() @ v[b, seen]) and (b or np.allclose(one[i], got[b, i]))
+
+
+def test_analysis_by_automaton(spark):
+    """The parses of the word-by-word search, in its order, for a batch; the automaton takes its words and no others."""
+    rng = random.Random(2)
+    roots = ["kitap", "göz", "araba", "ev", "git", "gid", "gitmek", "g", "oku", "ağaç", "süt", "renk", "a", "e", "İs", "kanat", "at", "ata", "atlı", "lı", "ım", "ARABA"]
+    for known in (frozenset(roots), frozenset([*roots, *"abcçdefgğhıijklm", "al", "la", "lal", "alı"]), frozenset()):
+        automaton = lexicon.Automaton(known)
+
+        def taken(word, automaton=automaton):
+            state = np.zeros(1, np.int64)
+            for c in word:
+                state = automaton.step(state, np.array([ord(c)]))
+            return bool(automaton.accepts(state)[0])
+
+        words = []
+        for _ in range(1200):
+            word = rng.choice(roots)
+            for _ in range(rng.randint(0, 5)):
+                word = turkish.attach(word, rng.choice(turkish.SUFFIXES))
+            words.append(word + (rng.choice("abğçI") if rng.random() < 0.2 else ""))
+        words += ["ğü" * 22, "", "lalalalalalalalalala", "lıklılıklılıklılıklı", "ımımımımımımımım", "alımımımımlalalarlalar", "b", "日本"]
+        words += ["".join(rng.choices("alrımknıdeibiytçğ", k=rng.randint(1, 14))) for _ in range(1200)]
+        assert [taken(w) for w in words] == [w in known for w in words]
+        assert lexicon.parses(words, automaton, known) == [morphology.analyze(w, known)[0] for w in words]
+    assert len(lexicon.Automaton(["evler", "atlar", "ev", "at"]).final) < len("evleratlar") + 1
+    df = spark.createDataFrame([(w,) for w in ["arabalar", "arabalar", "xyz", "", None]], "word string")
+    got = lexicon.analyze_words(df, spark.createDataFrame([("araba",), (None,)], "word string")).collect()
+    assert [(r["word"], r["parse_no"], r["root"], list(r["suffixes"])) for r in got] == [("arabalar", n, *p[:1], list(p[1])) for n, p in enumerate(morphology.analyze("arabalar", {"araba"})[0])]
