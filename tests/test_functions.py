@@ -61,10 +61,15 @@ def test_suffixes(gloss, words):
     assert {stem: turkish.attach(stem, suffix) for stem in words} == words
 
 
-def test_suffix_columns_agree(spark):
+def test_suffix_columns_agree(spark, tmp_path):
+    """The column expression against the function, for the words of a table."""
     from dokuma.plans.queries import q27_suffix_resolve
 
-    for r in q27_suffix_resolve(spark, "").collect():
+    text = "Ev araba okul kitap ağaç göz süt kapı oku git tuz gel yap renk, Ğü xyz BRR saat çift İş ISI"
+    spark.createDataFrame([(1, text)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    rows = q27_suffix_resolve(spark, str(tmp_path)).collect()
+    assert len(rows) == 21 * len(turkish.SUFFIXES) and {"brr", "iş", "ısı"} < {r["stem"] for r in rows}
+    for r in rows:
         assert turkish.attach(r["stem"], turkish.SUFFIXES[r["suffix_id"]]) == r["word"]
 
 
