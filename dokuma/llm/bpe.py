@@ -203,7 +203,9 @@ def encode_column(docs: DataFrame, path: str, keep: list[str] | None = None, wit
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every text, the columns in keep, and the ids if asked for.
 
     A null text is empty and gives 0 tokens. A text of over 4 MB is encoded piece by piece, cut where no
-    pre-token is cut. Texts are taken by 1 MB at a time, so memory does not depend on the batch.
+    pre-token is cut. Texts are taken by 1 MB at a time, so memory does not depend on the batch. Each row is
+    encoded by itself: null and repeated ids and repeated rows stay as they are, an empty table gives an
+    empty table, and columns other than doc_id, text and those in keep are not looked at.
     """
     keep = keep or []
     limit = 1_000_000

@@ -352,7 +352,10 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 1024) -> DataFrame:
     no added special tokens, while a special string inside a text is one token.
 
     A null text is empty: 0 tokens. Texts are taken 2 MB at a time; a text of over 8 MB is counted piece by
-    piece, cut where no pre-token is cut, so memory does not depend on the longest text.
+    piece, cut where no pre-token is cut, so memory does not depend on the longest text. Each row is counted by
+    itself: null and repeated ids and repeated rows stay as they are, an empty table gives an empty table, and
+    columns other than doc_id and text are not looked at. Pre-tokens that were counted lately are known again
+    by 64-bit hashes.
     """
     size = 2_000_000
 

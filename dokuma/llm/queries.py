@@ -13,42 +13,52 @@ from dokuma.session import table
 
 
 def op1_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weight, draw and verdict of every document; what nulls, repeats and missing labels do, says resample()."""
     return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op2_seed_and_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and the items of which they hold copies; nulls, repeats, short and empty items as in leaks()."""
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def op3_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 40 shards under the law `bytes`; nulls and repeats as in shard_documents()."""
     return sharding.shard_documents(table(spark, sf_dir, "documents"), 40)
 
 
 def op4_line_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repeated runs of every document; nulls, repeats and ties as in line_dedup()."""
     return lines.line_dedup(table(spark, sf_dir, "documents"))
 
 
 def op5_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of every text, learnt from those not held out (a null id is not); nulls and repeats as in score()."""
     return pitman_yor.score(table(spark, sf_dir, "documents"), pitman_yor.held_out_rows(F.col("doc_id")))
 
 
 def op6_two_tier_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every whole text and their digests; nulls and repeats as in encode_column()."""
     return bpe.encode_column(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
 def op7_interval_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every text without the strings of 100 bytes that start earlier; nulls, ties and repeats as in removal_digests()."""
     return suffix.removal_digests(table(spark, sf_dir, "documents"))
 
 
 def op8_transducer_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of every whole text; nulls, special strings and repeats as in count_tokens()."""
     return fst.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def op9_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate class of every document; nulls, texts without words and repeats as in near_duplicates()."""
     return forest.near_duplicates(table(spark, sf_dir, "documents"))
 
 
 def op10_branch_and_bound(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best vectors for each vector of an id divisible by 20; nulls, ties, repeats and large numbers as in top_k()."""
     return topk.top_k(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", F.col("vec_id") % 20 == 0, 20)
 
 
