@@ -341,6 +341,7 @@ def test_bpe_encodes_as_the_library(spark, docs, rows):
         assert raw[places[at[i]] : places[at[i + 1]]].tobytes() == (text or "").encode()
     expected = {d: (len(x := library.encode_ordinary(t or "")), hashlib.sha256(np.array(x, "<u4").tobytes()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest()) for d, t in rows}
     assert by_id(bpe.encode_column(docs, RANKS), "n_tokens", "ids_sha256", "decoded_sha256") == expected
+    assert bpe.encode_column(docs.limit(0), RANKS).count() == 0
     back = bpe.decode_ids(bpe.encode_ids(docs, RANKS), RANKS)
     assert {r["doc_id"]: bytes(r["bytes"]) for r in back.collect()} == {d: (t or "").encode() for d, t in rows}
 
