@@ -31,10 +31,11 @@ FLUSH, BUCKET = 24_000_000, 16_000_000
 #: Text that is transformed at once, and text that a task fetches for others before it sends it.
 TRANSFORM, FETCHED = 300_000, 4_000_000
 
-SEGMENT = np.dtype([("piece", "<u4"), ("text", "<u8"), *KEY, ("at", "<u4"), ("wins", "u1")])
+# the whole hash of a minimizer: of 32 bits, least ones of 69 at that, ever more different ones are equal as the input grows
+SEGMENT = np.dtype([("piece", "<u8"), ("text", "<u8"), *KEY, ("at", "<u4"), ("wins", "u1")])
 SPAN = np.dtype([("at", "<u4"), ("size", "<u4")])
 ASK = np.dtype([("at", "<u4"), ("wins", "u1"), ("group", "<u8"), ("crowd", "u1")])
-PART = np.dtype([*KEY, ("at", "<u4"), ("size", "<u4"), ("group", "<u4"), ("body", "<u4")])
+PART = np.dtype([*KEY, ("at", "<u4"), ("size", "<u4"), ("group", "<u8"), ("body", "<u4")])
 WINDOW = np.dtype([("a", "<u8"), ("b", "<u8"), *KEY, ("at", "<u4")])
 
 
@@ -96,8 +97,8 @@ def _settle(found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Occurrences by segment, and which of them come after their segment's first one."""
     if not len(found):
         return found, np.zeros(0, bool)
-    found = found[np.argsort((found["piece"].astype(U64) << U64(32)) | (found["text"] >> U64(32)))]
-    near = (found["piece"][1:] == found["piece"][:-1]) & (found["text"][1:] >> U64(32) == found["text"][:-1] >> U64(32))
+    found = found[np.argsort(found["piece"])]
+    near = found["piece"][1:] == found["piece"][:-1]
     several = np.zeros(len(found), bool)
     several[1:] |= near
     several[:-1] |= near
@@ -244,7 +245,7 @@ def repeated_spans(keyed: DataFrame, fetched: Callable[[DataFrame], DataFrame],
         def send() -> Iterator[pa.RecordBatch]:
             found = np.concatenate(held)
             found, later = _settle(found)
-            rows = [(b, 0, blob) for b, blob in by_bucket(found[~later], found["piece"][~later].astype(np.int64) % buckets)]
+            rows = [(b, 0, blob) for b, blob in by_bucket(found[~later], (found["piece"][~later] >> U64(8)).astype(np.int64) % buckets)]
             # later occurrences in this task need no bucket: all their strings start earlier, too
             rows += [((k ^ t) % buckets, 1, keyed_blob(k, t, blob)) for k, t, blob in _whole(found[later], least)]
             for lo in range(0, len(rows), 2000):
@@ -258,7 +259,7 @@ def repeated_spans(keyed: DataFrame, fetched: Callable[[DataFrame], DataFrame],
                 starts, wins, piece, text, _ = segments(data[offsets[lo] : offsets[hi]], own, least)
                 doc = np.searchsorted(own, starts, "right") - 1
                 table = np.empty(len(starts), SEGMENT)
-                table["piece"], table["text"], table["wins"] = (piece >> U64(32)).astype(np.uint32), text, wins
+                table["piece"], table["text"], table["wins"] = piece, text, wins
                 table["key"], table["tie"], table["at"] = keys[lo + doc], ties[lo + doc], starts - own[doc]
                 held.append(table)
                 size += int(own[-1])
@@ -309,7 +310,7 @@ def repeated_spans(keyed: DataFrame, fetched: Callable[[DataFrame], DataFrame],
         def plain() -> Iterator[tuple]:
             """Segments by bucket: packed descriptions and their texts, in the same order."""
             table, raw = np.concatenate(asked_), np.concatenate(bodies)
-            bucket = table["group"].astype(np.int64) * 2654435761 % 2**32 % second
+            bucket = (mix(table["group"]) >> U64(8)).astype(np.int64) % second
             order = np.argsort(bucket, kind="stable")
             table, bucket = table[order], bucket[order]
             edges = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))

@@ -204,6 +204,19 @@ def test_suffix_dedup(docs, empty, rows, crowd):
     assert suffix.removal_digests(empty).count() == 0
 
 
+def test_different_minimizers_do_not_meet(spark):
+    """Texts that share no 32 bytes ask for none to be compared, however many there are."""
+    rng = random.Random(77)
+    docs = spark.createDataFrame([(d, "".join(rng.choices("abcdefghijklmnopqrstuvwxyz012345", k=2000))) for d in range(1500)], "doc_id long, text string")
+    asked = []
+
+    def find(keyed, fetched):
+        return suffix.repeated_spans(keyed, lambda rows: asked.append(rows.count()) or fetched(rows))
+
+    suffix.with_spans(docs, find)
+    assert asked == [0]
+
+
 @pytest.fixture(scope="module")
 def odd(spark):
     """Ids at the ends of the range, null ids, one id with several texts, columns whose names clash with ours."""
