@@ -107,7 +107,7 @@ def _settle(part: pa.Table) -> pa.Table:
 
 def dedup_blocks(long: DataFrame, rows_a_part: int = 500_000) -> DataFrame:
     """block_id, n_long, n_dup, kept. A block goes if most of its long lines occur in earlier kept blocks. long: block_id, text
-    and, if lines from elsewhere count as earlier kept ones, seen (boolean).
+    (or line, its MD5 digest) and, if lines from elsewhere count as earlier kept ones, seen (boolean).
 
     A block is settled as soon as the settled ones among its predecessors decide it: dropped if most of its lines are seen,
     kept if the seen and the open ones together are no majority. Only lines that several blocks hold matter. Blocks that the
@@ -116,7 +116,8 @@ def dedup_blocks(long: DataFrame, rows_a_part: int = 500_000) -> DataFrame:
     rounds touch only open blocks, and only the ranges in which a line's state has changed. The first open block can always
     be settled. Lines stand by their 128-bit digests."""
     given = F.coalesce("seen", F.lit(False)) if "seen" in long.columns else F.lit(False)
-    marked = long.where("text is not null").select("block_id", F.unhex(F.md5(F.col("text").cast("binary"))).alias("line"), given.alias("seen"))
+    line = F.col("line") if "line" in long.columns else F.unhex(F.md5(F.col("text").cast("binary")))
+    marked = long.select("block_id", line.alias("line"), given.alias("seen")).where("line is not null")
     held = stage(marked.groupBy("block_id", "line").agg(F.count("*").alias("times"), F.max("seen").alias("seen")), "held")
     sizes = held.groupBy("block_id").agg(F.sum("times").alias("n_long"))
     lines_ = held.groupBy("line").agg(F.min("block_id").alias("first"), F.count("*").alias("holders"), F.max("seen").alias("known"))

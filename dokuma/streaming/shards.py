@@ -2,12 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.streaming import StreamingQuery
 
 from dokuma.functions import markup
 from dokuma.operators import corpus
@@ -20,29 +17,9 @@ def clean_lines(spark: SparkSession, folder: str) -> DataFrame:
     return lines.select(markup.subtitle_col("value").alias("text")).where("text <> ''")
 
 
-#: Groups that the lines' state is keyed by; each holds its lines in a map of its own, which the state store keeps on disk.
+#: Files at most in which a batch writes the lines that it adds; the next batch lists them.
 BUCKETS = 1024
 _ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-_BLOCKS = "block_id bigint, text string, line binary, seen boolean"
-
-
-class SeenLines(StatefulProcessor):
-    """For the lines of a bucket, whether a kept block of an earlier batch holds them. Rows without a block are lines that the
-    batch before has kept; they enter the state before anything is looked up."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.kept = handle.getMapState("kept", "line binary", "yes boolean")
-
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
-        frames = list(rows)
-        for frame in frames:
-            for line in frame.loc[frame["decided"], "line"].unique():
-                self.kept.updateValue((bytes(line),), (True,))
-        for frame in frames:
-            own = frame.loc[~frame["decided"], ["block_id", "text", "line"]]
-            if len(own):
-                known = {line: self.kept.containsKey((bytes(line),)) for line in own["line"].dropna().unique()}
-                yield own.assign(block_id=own["block_id"].astype("int64"), seen=own["line"].map(known).eq(True))
 
 
 def dedup_shards(blocks: DataFrame, seen: str, out: str, checkpoint: str) -> StreamingQuery:
@@ -50,12 +27,14 @@ def dedup_shards(blocks: DataFrame, seen: str, out: str, checkpoint: str) -> Str
     kept blocks' rows to `out`; returns the running query: processAllAvailable() waits until all that has arrived is
     judged, stop() ends it, and a new call with the same folders goes on where it ended.
 
-    A batch must hold whole blocks, after those of the batches before it. Long lines look up the state of their bucket; the
-    blocks of a batch are then judged together (corpus.dedup_blocks), and the digests of the lines that they add are written
-    to `seen`, which the same query reads as a stream: they are in the state before the next batch's lines are looked
-    up, as its files are listed only after this batch has ended. So a batch costs what it holds, not what came before. A batch
-    that is run again after a failure writes the same folders again. Do not run it with availableNow, which lists all files
-    at the start. State is kept in RocksDB, which is set for the session."""
+    A batch must hold whole blocks, after those of the batches before it. The state is an aggregate: for the digest of each
+    long line, whether a kept block holds it. A batch is the rows that arrive and, beside them, those of the digests it touches
+    that are kept ones, so no text is grouped or goes through the state. The blocks of a batch are judged together
+    (corpus.dedup_blocks), and the digests of the lines that they add are written to `seen`, which the same query reads as a
+    stream: they are in the state before the next batch's lines are looked up, as its files are listed only after this batch
+    has ended. So a batch costs what it holds and what the one before has added, not all that came before. A batch that is run
+    again after a failure writes the same folders again. Do not run it with availableNow, which lists all files at the start.
+    State is kept in RocksDB, which is set for the session."""
     spark = blocks.sparkSession
     if spark.conf.get("spark.sql.streaming.stateStore.providerClass", "") != _ROCKS:
         spark.conf.set("spark.sql.streaming.stateStore.providerClass", _ROCKS)
@@ -63,27 +42,25 @@ def dedup_shards(blocks: DataFrame, seen: str, out: str, checkpoint: str) -> Str
     place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(place)
     digest = F.unhex(F.md5(F.col("text").cast("binary")))
     line = F.when(F.octet_length("text") >= corpus.LONG, digest)
-    arrived = blocks.select("block_id", "text", line.alias("line"), F.lit(False).alias("decided"))
-    decided = spark.readStream.schema("line binary, batch bigint").parquet(seen)
-    decided = decided.select(F.lit(None).cast("long").alias("block_id"), F.lit(None).cast("string").alias("text"), "line", F.lit(True).alias("decided"))
-    # short lines have no state; they go with their block
-    key = F.when(F.col("line").isNull(), F.xxhash64("block_id")).otherwise(F.xxhash64("line"))
-    rows = arrived.unionByName(decided).select(F.pmod(key, F.lit(BUCKETS)).alias("bucket"), "block_id", "text", "line", "decided")
-    looked_up = rows.groupBy("bucket").transformWithStateInPandas(SeenLines(), _BLOCKS, "Append", "None")
+    arrived = blocks.select("block_id", "text", line.alias("line"), F.lit(False).alias("seen"))
+    decided = spark.readStream.schema("line binary, batch bigint").parquet(seen).select("line", F.lit(True).alias("seen"))
+    told = arrived.where("line is not null").select("line", "seen").unionByName(decided).groupBy("line").agg(F.max("seen").alias("seen"))
+    looked_up = arrived.unionByName(told.where("seen"), allowMissingColumns=True)
 
     def judge(batch: DataFrame, number: int) -> None:
         rows = stage(batch, "batch")
-        if rows.isEmpty():  # it only took lines in; a file, even an empty one, would call for another batch
+        own = rows.where("not seen")
+        if own.isEmpty():  # it only took lines in; a file, even an empty one, would call for another batch
             return forget(rows)
-        judged = corpus.dedup_blocks(rows.where("line is not null").select("block_id", "text", "seen"))
-        kept = stage(rows.join(judged.where("not kept").select("block_id"), "block_id", "left_anti"), "kept")
-        kept.select("block_id", "text").write.mode("overwrite").parquet(f"{out.rstrip('/')}/part={number}")
-        new = kept.where("line is not null and not seen").select("line").distinct()
+        lines = own.where("line is not null").select("block_id", "line").join(rows.where("seen").select("line", "seen"), "line", "left")
+        gone = stage(corpus.dedup_blocks(lines).where("not kept").select("block_id"), "gone")
+        own.join(gone, "block_id", "left_anti").select("block_id", "text").write.mode("overwrite").parquet(f"{out.rstrip('/')}/part={number}")
+        new = stage(lines.where("seen is null").join(gone, "block_id", "left_anti").select("line").distinct().coalesce(BUCKETS), "new")
         if not new.isEmpty():
             new.write.mode("overwrite").parquet(f"{seen.rstrip('/')}/batch={number}")
-        return forget(rows, kept)
+        return forget(rows, gone, new)
 
-    return looked_up.writeStream.foreachBatch(judge).option("checkpointLocation", checkpoint).start()
+    return looked_up.writeStream.foreachBatch(judge).outputMode("update").option("checkpointLocation", checkpoint).start()
 
 
 def event_counts(events: DataFrame, window: str = "1 hour", late: str = "2 hours") -> DataFrame:

@@ -135,6 +135,24 @@ def test_stream_of_blocks(spark, tmp_path, monkeypatch):
     assert {r["block_id"]: r["count"] for r in got} == {b: len(blocks[b]) for b, w in want.items() if w[2]}
 
 
+def test_stream_of_many_lines(spark, tmp_path):
+    """No line of a large batch is lost, and none goes through Python on its way to the state."""
+    blocks = {b: [f"a line that only one block holds {b} {i}" for i in range(200)] for b in range(60)}
+    blocks |= {b: blocks[b - 1][:150] + blocks[b][:50] for b in range(1, 60, 3)}
+    rows = spark.createDataFrame([(b, line) for b, ls in blocks.items() for line in ls], "block_id long, text string")
+    at = {n: str(tmp_path / n) for n in ("in", "seen", "out", "state")}
+    rows.limit(0).write.parquet(at["in"])
+    query = shards.dedup_shards(spark.readStream.schema("block_id long, text string").parquet(at["in"]), at["seen"], at["out"], at["state"])
+    for shard in ("block_id < 30", "block_id >= 30"):
+        rows.where(shard).write.mode("append").parquet(at["in"])
+        query.processAllAvailable()
+    kinds = {o.operatorName for p in query.recentProgress for o in p.stateOperators}
+    query.stop()
+    got = spark.read.parquet(at["out"]).groupBy("block_id").count().collect()
+    assert {r["block_id"]: r["count"] for r in got} == {b: 200 for b, w in plain_blocks(blocks).items() if w[2]}
+    assert kinds == {"stateStoreSave"}
+
+
 def test_event_counts(spark, tmp_path):
     rows = "ts timestamp_ntz, event_type string, value double"
     for n, hours in enumerate(([0, 0, 1, 5], [0, 4, 9])):
