@@ -80,6 +80,13 @@ def test_subtitle_corpus(spark, texts):
     assert {(r["line_no"], r["text"]) for r in got} == want and len(got) == len(want)
 
 
+def test_texts_are_cleaned_once(spark):
+    """Filters on clean text don't clean it a second time."""
+    pages = spark.createDataFrame([("a", "b", 0, None)], "title string, text string, ns int, redirect string")
+    for rows in (queries.QUERIES["q21_subtitle_clean"](spark, SF), corpus.articles(pages)):
+        assert rows._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 1
+
+
 def test_wikitext(spark):
     pages = duckdb.sql(f"SELECT page_id, html FROM '{SF}/pages.parquet'").fetchall()
     assert dict(rows_of(spark, "q21_wikitext_clean")) == {p: markup.wikitext_clean(markup.xml_unescape(h)) for p, h in pages}
